@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weftlog.llm.common import prefix_sums, seeded_key
 
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 1024
 KEY_BITS = 60
 
 
