@@ -23,12 +23,14 @@ def json_lines(spark: SparkSession, path: str, schema: str | StructType) -> Data
 def json_blocks(spark: SparkSession, path: str, schema: str | StructType = SESSION_DDL) -> DataFrame:
     """Objects parted by blank lines (pretty-printed or not), one object a file included, or one a line.
 
-    A block that is no object as a whole is read line by line; what still is none is dropped.
+    A block whose first line is a whole object is read line by line; what is no object is dropped.
     """
     blocks = spark.read.option("lineSep", "\n\n").text(path).filter(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("file"))
-    whole = blocks.withColumn("o", F.from_json("value", schema, {"mode": "PERMISSIVE"})).withColumn("is", F.get_json_object("value", "$").startswith("{") & F.try_parse_json("value").isNotNull())
-    lines = F.when(F.col("is"), F.array("value")).otherwise(F.split("value", "\n"))
-    parts = whole.select("file", F.explode(lines).alias("value")).filter(F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{"))
+    is_object = lambda x: F.trim(x).startswith("{") & F.rtrim(x).endswith("}") & F.try_parse_json(x).isNotNull()
+    first = F.substring_index(F.ltrim("value"), "\n", 1)
+    lines = F.when(is_object(first), F.split("value", "\n")).otherwise(F.array("value"))
+    parts = blocks.select("file", F.explode(lines).alias("value"))
+    parts = parts.filter(is_object(F.regexp_replace("value", r"^\s+|\s+$", "")))
     return parts.select("file", F.from_json("value", schema).alias("o")).select("o.*", "file")
 
 
