@@ -7,12 +7,18 @@ blocks can differ. Each shard builds a BK-tree (a child's edge is labelled with
 parent), and each node searches that tree, following only edges whose label lies within the radius of its
 distance to the parent. Trees together grow with the data, so each goes by key to the one task that asks
 it and none is broadcast to all. A shard passes on a spanning star of what it linked, never all pairs.
+
+A fingerprint of 64 bits is too coarse to tell a similarity of 0.8 from one of 0.6. ``similar_groups`` takes
+512 bits of a text's distinct shingles and links texts whose distance is that of the wanted Jaccard
+similarity. Within such a radius blocks are no use; a shard is keyed by a few sampled bits instead, in so
+many tables that a pair at the radius meets in at least one with a chance of ``RECALL``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +31,13 @@ SEED = 42
 ROWS = 256
 #: Shingles hashed at a time, so that a very long text needs no more memory than a short one.
 PIECE = 20_000
-#: Nodes in a task, and nodes that search at a time.
-TASK_NODES, SEARCH = 40_000, 4_096
+#: Nodes in a task.
+TASK_NODES = 40_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Words of 64 bits in a wide fingerprint, and the chance to meet at the radius.
+WIDE, RECALL = 8, 0.99
+#: Visits of tree nodes at a time; shards above this size are looked at for one dense group first.
+VISITS, DENSE = 2_000_000, 512
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -44,7 +53,7 @@ def fingerprint(text: str | None, size: int = 3) -> int:
         some = words[at : min(at + PIECE, n) + size - 1]
         grams = map(b" ".join, zip(*(some[k:] for k in range(size)), strict=False)) if len(some) >= size else [b" ".join(some)]
         hashes = np.array([xxh64_intdigest(g, SEED) for g in grams], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += unpacked(hashes[:, None])
     bits = np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
     return int(bits.astype(np.int64))
 
@@ -58,21 +67,29 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text: s
     return docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc bigint, print bigint")
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints, a row of words each."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
 class Trees:
     """BK-trees of many keys at once, as flat arrays: node values, and edges sorted by (parent, label)."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray) -> None:
-        order = np.lexsort((value, key))
-        self.key, self.value = key[order], value[order]
+        order = np.lexsort((*value.T, key))
+        self.key, self.value, self.bits = key[order], value[order], 64 * value.shape[1]
         n = len(order)
         parent, label = np.full(n, -1, np.int64), np.zeros(n, np.int64)
         first = np.r_[True, self.key[1:] != self.key[:-1]] if n else np.zeros(0, bool)
-        self.root = np.flatnonzero(first)[np.cumsum(first) - 1] if n else np.zeros(0, np.int64)
+        self.first = np.flatnonzero(first)
+        self.size = np.diff(np.r_[self.first, n])
+        self.tree = np.cumsum(first) - 1
+        self.root = self.first[self.tree]
         waiting = np.flatnonzero(~first)
         at = self.root[waiting]
         # one level a pass: of the nodes that wait at a parent with one distance, the first becomes the child
         while len(waiting):
-            d = np.bitwise_count(self.value[waiting] ^ self.value[at]).astype(np.int64)
+            d = apart(self.value[waiting], self.value[at])
             order = np.lexsort((waiting, d, at))
             waiting, at, d = waiting[order], at[order], d[order]
             new = np.r_[True, (at[1:] != at[:-1]) | (d[1:] != d[:-1])]
@@ -80,7 +97,7 @@ class Trees:
             parent[waiting[new]], label[waiting[new]] = at[new], d[new]
             waiting, at = waiting[~new], child[~new]
         edges = np.flatnonzero(parent >= 0)
-        code = parent[edges] * 65 + label[edges]
+        code = parent[edges] * (self.bits + 1) + label[edges]
         order = np.argsort(code, kind="stable")
         self.edges, self.code = edges[order], code[order]
 
@@ -88,29 +105,54 @@ class Trees:
         """Pairs (searching node, found node) within the radius, level by level; pairs of a node with itself too."""
         at = self.root[who]
         while len(who):
-            d = np.bitwise_count(self.value[who] ^ self.value[at]).astype(np.int64)
+            d = apart(self.value[who], self.value[at])
             hit = d <= radius
             yield who[hit], at[hit]
-            low = np.searchsorted(self.code, at * 65 + np.maximum(d - radius, 0), "left")
-            n = np.searchsorted(self.code, at * 65 + np.minimum(d + radius, 64), "right") - low
+            low = np.searchsorted(self.code, at * (self.bits + 1) + np.maximum(d - radius, 0), "left")
+            n = np.searchsorted(self.code, at * (self.bits + 1) + np.minimum(d + radius, self.bits), "right") - low
             who = np.repeat(who, n)
             at = self.edges[np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
 
+    def dense(self, radius: int) -> Iterator[np.ndarray]:
+        """Of each large tree, the nodes within half the radius of its bitwise majority: all within the radius of each other."""
+        for i in np.flatnonzero(self.size > DENSE):
+            nodes = np.arange(self.first[i], self.first[i] + self.size[i])
+            ones = np.zeros(self.bits, np.int64)
+            for at in range(0, len(nodes), PIECE):
+                ones += unpacked(self.value[nodes[at : at + PIECE]])
+            centre = np.packbits(2 * ones > len(nodes), bitorder="little").view("<u8")[None]
+            close = nodes[apart(self.value[nodes], centre) <= radius // 2]
+            if len(close) > 1:
+                yield close
+
+
+def unpacked(words: np.ndarray) -> np.ndarray:
+    """How many of the rows have each bit set."""
+    return np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
 
 def stars(key: np.ndarray, value: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (value, smallest value of its group) among values of a key that hang together within the radius."""
+    """Links (value, first value of its group) among values of a key that hang together within the radius.
+
+    ``value`` has a row of words for each node. Nodes of a dense group are linked as they are and need not
+    search; all others do, and find those too.
+    """
     trees = Trees(key, value)
     n = len(trees.value)
-    group = np.arange(n)
-    for at in range(0, n, SEARCH):
-        for a, b in trees.search(np.arange(at, min(at + SEARCH, n)), radius):
+    group, searching = np.arange(n), np.ones(n, bool)
+    for close in trees.dense(radius):
+        group[close], searching[close] = close[0], False
+    who = np.flatnonzero(searching)
+    turn = np.cumsum(trees.size[trees.tree[who]]) // VISITS
+    for some in np.split(who, np.flatnonzero(np.diff(turn)) + 1) if len(who) else []:
+        for a, b in trees.search(some, radius):
             a, b = a[a != b], b[a != b]
             while len(a):
                 ga, gb = group[a], group[b]
-                apart = ga != gb
-                if not apart.any():
+                differ = ga != gb
+                if not differ.any():
                     break
-                a, b, ga, gb = a[apart], b[apart], ga[apart], gb[apart]
+                a, b, ga, gb = a[differ], b[differ], ga[differ], gb[differ]
                 np.minimum.at(group, np.maximum(ga, gb), np.minimum(ga, gb))
                 while True:
                     up = group[group]
@@ -148,8 +190,8 @@ def links(nodes: DataFrame, n: int, radius: int) -> DataFrame:
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        a, b = stars(table.column("key").to_numpy(), table.column("print").to_numpy().view(np.uint64), radius)
-        return pa.table([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=out)
+        a, b = stars(table.column("key").to_numpy(), table.column("print").to_numpy().view(np.uint64)[:, None], radius)
+        return pa.table([pa.array(x[:, 0].view(np.int64)) for x in (a, b)], schema=out)
 
     found = keyed.groupBy(F.pmod("key", F.lit(tasks)).alias("task")).applyInArrow(run, "a bigint, b bigint")
     return found.distinct()
@@ -185,10 +227,13 @@ def near_groups(docs: DataFrame, radius: int = 3, size: int = 3, id_col: str = "
     A null or wordless text has fingerprint 0 and links like any other. Null ids are no component's
     smallest unless it has no other. An empty table gives no rows.
     """
-    prints = written(fingerprints(docs, size, id_col, text), "prints")
+    return grouped(written(fingerprints(docs, size, id_col, text), "prints"), lambda nodes, n: links(nodes, n, radius))
+
+
+def grouped(prints: DataFrame, linked: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """doc, print and component of each row of ``prints``; ``linked`` gives the links of distinct prints."""
     nodes = written(prints.groupBy("print").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "nodes")
-    n = nodes.count()
-    roots = components(links(nodes.select("print"), n, radius)).withColumnRenamed("node", "print")
+    roots = components(linked(nodes.select("print"), nodes.count())).withColumnRenamed("node", "print")
     rooted = written(nodes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
     labels = rooted.join(least, "root").select("print", "n", "component")
@@ -197,6 +242,85 @@ def near_groups(docs: DataFrame, radius: int = 3, size: int = 3, id_col: str = "
 
 def keep_first(docs: DataFrame, radius: int = 3, size: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each group the one with the smallest id; rows with that id once."""
-    stay = near_groups(docs, radius, size, id_col, text).filter(F.col("doc").eqNullSafe(F.col("component"))).select(F.col("doc").alias("__doc")).distinct()
+    return firsts(docs, near_groups(docs, radius, size, id_col, text), id_col)
+
+
+def firsts(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    stay = groups.filter(F.col("doc").eqNullSafe(F.col("component"))).select(F.col("doc").alias("__doc")).distinct()
     kept = docs.join(stay, F.col(id_col).cast("bigint").eqNullSafe(F.col("__doc")), "left_semi")
     return kept.dropDuplicates([id_col])
+
+
+def radius_of(similarity: float) -> int:
+    """The distance of wide fingerprints at this Jaccard similarity, and a standard error more."""
+    bits = 64 * WIDE
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return int(bits * share + sqrt(bits * share * (1 - share)))
+
+
+def wide_fingerprint(text: str | None, size: int) -> bytes:
+    """512 bits of a text's distinct shingles of words, A-Z in lower case; zeros for a null or wordless text."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not words:
+        return bytes(8 * WIDE)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
+    hashes = np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), "<u8"))
+    ones = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), PIECE):
+        some = hashes[at : at + PIECE, None] + np.arange(1, WIDE + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # splitmix64
+            some = (some ^ some >> np.uint64(shift)) * np.uint64(factor)
+        ones += unpacked(some ^ some >> np.uint64(31))
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
+
+
+def tables_of(n: int, radius: int) -> np.ndarray:
+    """Which bits make a key, for each table: about 64 unlike nodes of ``n`` share one."""
+    bits = 64 * WIDE
+    width = min(40, max(4, ceil(log2(max(n, 2))) - 6))
+    tables = ceil(log(1 - RECALL) / log(1 - (1 - radius / bits) ** width))
+    rng = np.random.default_rng(SEED)
+    return np.array([rng.choice(bits, width, replace=False) for _ in range(tables)])
+
+
+def wide_links(nodes: DataFrame, n: int, radius: int) -> DataFrame:
+    """Links (a, b) between distinct wide fingerprints (column ``print``) that connect those within the radius."""
+    chosen = tables_of(n, radius)
+    weights = 1 << np.arange(chosen.shape[1], dtype=np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                prints = batch.column(0).slice(at, ROWS)
+                bits = np.unpackbits(np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+                for i, places in enumerate(chosen):
+                    yield pa.record_batch([pa.array((i << chosen.shape[1]) + bits[:, places] @ weights), prints], names=["key", "print"])
+
+    out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        value = np.frombuffer(b"".join(table.column("print").to_pylist()), "<u8").reshape(-1, WIDE)
+        return pa.table([pa.array([x.tobytes() for x in v], pa.binary()) for v in stars(table.column("key").to_numpy(), value, radius)], schema=out)
+
+    tasks = n * len(chosen) // TASK_NODES + 1
+    keyed = nodes.select("print").mapInArrow(deal, "key bigint, print binary")
+    return keyed.groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task")).applyInArrow(run, "a binary, b binary").distinct()
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc and component (smallest id reachable by links of the similarity); nulls and empty tables as in ``near_groups``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [wide_fingerprint(t, size) for at in range(0, batch.num_rows, ROWS) for t in batch.column(1).slice(at, ROWS).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(prints, pa.binary())], names=["doc", "print"])
+
+    prints = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc bigint, print binary")
+    return grouped(written(prints, "prints"), lambda nodes, n: wide_links(nodes, n, radius_of(similarity))).select("doc", "component")
+
+
+def keep_dissimilar(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of similar texts the one with the smallest id; rows with that id once."""
+    return firsts(docs, similar_groups(docs, similarity, size, id_col, text), id_col)
