@@ -113,7 +113,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int,
     own = [f"`{c}`" for c in docs.columns]
     tagged = docs.withColumns({"__s": s, "__k": seeded_key(seed, id_col), "size": n_words(text)})
     joined = by_source(tagged, table, n_sources, F.col("__k"))
-    copies = F.col("passes") + F.when(F.col("__k") < F.col("threshold"), 1).otherwise(0)
+    # a source at its cap has a threshold above documents without words, which get no further copy either
+    copies = F.least(F.col("passes") + F.when(F.col("__k") < F.col("threshold"), 1).otherwise(0), F.lit(most))
     return joined.select(*own, "size", "source_size", "target", copies.cast("int").alias("copies"))
 
 
