@@ -1,0 +1,230 @@
+"""Operators against brute force, exact round trips and held-out labels; queries with SQL against DuckDB."""
+
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from weftlog.llm import mixing, packing, queries, quality_crf, simhash
+from weftlog.llm.exact_dedup import exact_groups
+
+SF = "/root/testdata/sf0.001"
+SF2 = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, con, name):
+    want = con.sql(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, SF).toPandas()
+    assert sorted(got.columns) == sorted(want.columns)
+
+    def plain(df):
+        df = df[sorted(df.columns)].astype(object)
+        return sorted(tuple(map(str, r)) for r in df.where(df.notna(), None).itertuples(index=False))
+
+    assert plain(got) == plain(want)
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    docs = {r["doc_id"]: r["text"] for r in queries.documents(spark, SF).collect()}
+    rows = queries.op3_tier_packing(spark, SF).collect()
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append(r)
+    assert pieces.keys() == docs.keys()
+    for doc, text in docs.items():
+        ids = [*tok.encode(text or "", add_special_tokens=False).ids, packing.END]
+        at = 0
+        for r in sorted(pieces[doc], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    pad = 0
+    for some in sequences.values():
+        at = 0
+        for r in sorted(some, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+        pad += 0 if at & (at - 1) == 0 else 2048 - at
+    assert pad <= 0.02 * sum(r["length"] for r in rows)
+    tiers = Counter((r["step_group"], r["tier"]) for r in rows if r["offset"] == 0)
+    for tier in {t for _, t in tiers}:
+        each = [tiers[g, tier] for g in range(1 + max(g for g, _ in tiers))]
+        assert max(each) - min(each) <= 1
+
+
+def auc(scores, labels):
+    order = np.argsort(np.argsort(scores, kind="stable"), kind="stable") + 1
+    pos = np.array(labels) == 1
+    return (order[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / max(1, pos.sum() * (~pos).sum())
+
+
+@pytest.mark.parametrize(("name", "label", "least"), [("op4_quality_crf", "quality", 0.9), ("op10_compression_toxicity", "toxic", 0.85)])
+def test_held_out_labels(spark, name, label, least):
+    marks = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{SF2}/labels.parquet").collect()}
+    rows = [r for r in queries.queries()[name](spark, SF2).collect() if r["held_out"] and marks.get(r["doc_id"]) is not None]
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows)
+    assert auc([r["score"] for r in rows], [marks[r["doc_id"]] for r in rows]) >= least
+
+
+def test_language_of_held_out(spark):
+    lang = {r["doc_id"]: r["lang"] for r in queries.documents(spark, SF2).collect()}
+    rows = [r for r in queries.op9_rank_order_language(spark, SF2).collect() if r["held_out"] and lang[r["doc_id"]] and r["lang_pred"] != "und"]
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in rows) >= 0.9 * len(rows)
+
+
+def reference_fingerprint(text, size):
+    import re
+
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_equals_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] for r in queries.documents(spark, SF).collect()}
+    prints = {d: reference_fingerprint(t, 3) for d, t in docs.items()}
+    root = {d: d for d in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(docs)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                ra, rb = find(a), find(b)
+                root[max(ra, rb)] = min(ra, rb)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op5_simhash_groups(spark, SF).collect()}
+    assert got == {d: (f"{prints[d]:016x}", find(d)) for d in docs}
+
+
+@pytest.mark.parametrize("words", [1, 8])
+def test_stars_connect_what_brute_force_connects(words):
+    rng = np.random.default_rng(5)
+    centre = rng.integers(0, 2**63, (1, words)).astype(np.uint64)
+    dense = np.repeat(centre, 700, axis=0)
+    for _ in range(words):  # a dense group, and strangers
+        dense[np.arange(700), rng.integers(0, words, 700)] ^= np.uint64(1) << rng.integers(0, 64, 700).astype(np.uint64)
+    value = np.unique(np.vstack([dense, rng.integers(0, 2**63, (60, words)).astype(np.uint64)]), axis=0)
+    key, radius = np.zeros(len(value), np.int64), 3 * words
+    a, b = simhash.stars(key, value, radius)
+    near = np.array([[int(np.bitwise_count(x ^ y).sum()) <= radius for y in value] for x in value])
+    left, components = set(range(len(value))), 0
+    while left:
+        stack, components = [left.pop()], components + 1
+        while stack:
+            found = left & set(np.flatnonzero(near[stack.pop()]))
+            left -= found
+            stack += found
+    assert len(value) - len({tuple(x) for x in a}) == components
+    assert len(a) == len({tuple(x) for x in a})
+
+
+def test_similar_groups(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows, near = [], {}
+    for base in range(40):
+        text = [rng.choice(vocabulary) for _ in range(400)]
+        rows.append((10 * base, " ".join(text)))
+        for k in range(1, 4):
+            edited = list(text)
+            for _ in range(2 * k):  # 2 to 6 words of 400: a similarity of 0.86 or more
+                edited[rng.randrange(400)] = rng.choice(vocabulary)
+            rows.append((10 * base + k, " ".join(edited)))
+            near[10 * base + k] = 10 * base
+        rows.append((10 * base + 9, " ".join([*text[:200], *(rng.choice(vocabulary) for _ in range(200))])))  # a third
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc"]: r["component"] for r in simhash.similar_groups(docs).collect()}
+    assert all(got[10 * b + 9] == 10 * b + 9 for b in range(40))
+    assert sum(got[d] == b for d, b in near.items()) >= 0.97 * len(near)
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101)], "a bigint, b bigint")
+    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert set(got[i] for i in range(1, 61)) == {1} and got[101] == got[100] == 100
+
+
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(1)
+    x, w, trans = rng.normal(size=(5, 3)), rng.normal(size=3), rng.normal(size=(2, 2))
+    p, _ = quality_crf.Chains([x]).marginals(w, trans)
+    total, good = 0.0, np.zeros(5)
+    for m in range(32):
+        y = [m >> i & 1 for i in range(5)]
+        e = math.exp(sum(s for s, v in zip(x @ w, y, strict=True) if v) + sum(trans[a, b] for a, b in zip(y, y[1:], strict=False)))
+        total, good = total + e, good + e * np.array(y)
+    assert np.allclose(p, good / total)
+
+
+def test_mix_is_near_targets(spark):
+    rows = mixing.mix(queries.documents(spark, SF2)).collect()
+    taken, target, largest = Counter(), {}, Counter()
+    for r in rows:
+        taken[r["source"]] += r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    assert all(abs(taken[s] - target[s]) <= largest[s] for s in target)
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Stage by stage, each on what its predecessor kept."""
+    stages = dict(corpus_pipeline.STAGES)
+    docs = queries.documents(spark, SF)
+    scored = {r["doc_id"]: r["predicted"] for r in queries.op4_quality_crf(spark, SF).collect()}
+    good = stages["quality classifier"](spark, docs, SF)
+    assert {r["doc_id"] for r in good.collect()} == {d for d, v in scored.items() if v}
+    texts = defaultdict(list)
+    for r in good.collect():
+        texts[r["text"] or ""].append(r["doc_id"])
+    once = stages["exact dedup"](spark, good, SF)
+    assert sorted(r["doc_id"] for r in once.collect()) == sorted(max(v) for v in texts.values())
+    apart = stages["SimHash near-dedup"](spark, once, SF)
+    prints = {r["doc_id"]: np.frombuffer(simhash.wide_fingerprint(r["text"], 5), "<u8") for r in once.collect()}
+    ids, root = sorted(prints), {}
+    for i in ids:
+        group = [j for j in root if np.bitwise_count(prints[i] ^ prints[j]).sum() <= simhash.radius_of(0.8)]
+        least = min([i, *(root[j] for j in group)])
+        joined = {root[j] for j in group}
+        root = {k: least if v in joined else v for k, v in root.items()} | {i: least}
+    assert sorted(r["doc_id"] for r in apart.collect()) == sorted(set(root.values()))
+    mixed = stages["mixing sources to target weights"](spark, apart, SF)
+    assert mixed.columns == docs.columns
+    copies = Counter(r["doc_id"] for r in mixed.collect())
+    packed = stages["packing"](spark, mixed, SF).collect()
+    ends = Counter(r["doc_id"] for r in packed if r["start"] + r["length"] == r["doc_tokens"])
+    assert ends == copies
+
+
+def test_exact_groups_keep_smallest(spark):
+    docs = spark.createDataFrame([(3, "x"), (1, "x"), (2, "y")], "doc_id bigint, text string")
+    got = {r["id"]: (r["keep_id"], r["kept"]) for r in exact_groups(docs, keep="smallest").collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (1, False)}
