@@ -25,8 +25,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id; shingles of five words."""
-    return simhash.keep_first(docs, radius=3, size=5)
+    """Of each group of near copies (0.8 or more by five-word shingles) the row with the smallest doc_id."""
+    return simhash.keep_dissimilar(docs, similarity=0.8, size=5)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
