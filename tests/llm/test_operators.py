@@ -78,10 +78,11 @@ def auc(scores, labels):
     return (order[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / max(1, pos.sum() * (~pos).sum())
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op4_quality_crf", "quality", 0.9), ("op10_compression_toxicity", "toxic", 0.85)])
-def test_held_out_labels(spark, name, label, least):
-    marks = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{SF2}/labels.parquet").collect()}
-    rows = [r for r in queries.queries()[name](spark, SF2).collect() if r["held_out"] and marks.get(r["doc_id"]) is not None]
+#: Toxic texts are rare: sf0.01 holds out 6 of them (area 0.73), too few to judge by; sf0.1 holds out 97.
+@pytest.mark.parametrize(("name", "label", "least", "sf"), [("op4_quality_crf", "quality", 0.9, SF2), ("op10_compression_toxicity", "toxic", 0.85, "/root/testdata/sf0.1")])
+def test_held_out_labels(spark, name, label, least, sf):
+    marks = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.queries()[name](spark, sf).collect() if r["held_out"] and marks.get(r["doc_id"]) is not None]
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows)
     assert auc([r["score"] for r in rows], [marks[r["doc_id"]] for r in rows]) >= least
 
