@@ -168,6 +168,33 @@ def test_clusters_equal_brute_force(spark, seed):
     assert abs(auto - min(0.6, max(0.15, min(kth[away.index(max(away))], 1.0)))) < 1e-6 or max(kth) > 0.6
 
 
+def test_far_distances_count(spark):
+    """Medoids of loose clusters and k-th neighbours beyond eps_max, also without any shared feature."""
+    import math
+    rng = random.Random(7)
+    seqs = [[rng.choice("abcdef") for _ in range(rng.randint(1, 9))] for _ in range(60)] + [["x"], ["y", "y"], ["z"] * 9] + [["a", f"p{i}", f"q{i}", "b", f"p{i}"] for i in range(4)]
+    n, vs = len(seqs), brute_vectors(seqs)
+    norm = [math.sqrt(sum(x * x for x in v.values())) for v in vs]
+    dist = lambda i, j: 0.0 if i == j else 1 - min(1, sum(x * vs[j].get(k, 0) for k, x in vs[i].items()) / norm[i] / norm[j])
+    kth = [sorted(dist(i, j) for j in range(n) if j != i)[1] for i in range(n)]
+    assert sum(0.6 < d < 0.95 for d in kth) > 1 and max(kth) > 0.95
+    steps = spark.createDataFrame([(f"s{i:03}", k + 1, a) for i, s in enumerate(seqs) for k, a in enumerate(s)], "session_id string, step int, api string")
+    distinct, of = mining.sequences(steps)
+    vector = mining.vectors(distinct)
+    norms = mining.norms(distinct, vector)
+    got = mining.kth_distances(distinct, mining.close_pairs(vector, norms, 0.6), vector, norms, 3, n).join(of, "seq").collect()
+    assert len(got) == n and all(abs(r.k_dist - kth[int(r.session_id[1:])]) < 1e-9 for r in got)
+    labels = distinct.select("seq", F.when(F.col("first") < "s040", 0).when(F.col("first") < "s060", 1).otherwise(-1).alias("cluster"))
+    cluster = {r.session_id: r.cluster for r in of.join(labels, "seq").collect()}
+    found = {r.cluster: r for r in mining.medoids(distinct, labels, vector, norms).join(distinct.select("seq", "first"), "seq").collect()}
+    for c in (0, 1):
+        members = [i for i in range(n) if cluster[f"s{i:03}"] == c]
+        totals = {i: round(sum(dist(i, j) for j in members), 9) for i in members}
+        best = min(members, key=lambda i: (totals[i], i))
+        assert found[c].first == f"s{best:03}" and abs(found[c].total - totals[best]) < 1e-6
+    assert set(found) == {0, 1}
+
+
 def test_detection_quirks(spark):
     from weftlog.plans.queries import demo_rules
     steps = spark.createDataFrame([("s", i + 1, a, v) for i, (a, v) in enumerate([("purchase", "1"), ("view", "2"), ("purchase", "3"), ("error", "4"), ("error", "null")])] + [("t", 1, "view", "5"), ("t", 2, "purchase", "5")], "session_id string, step int, api string, v string")

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from weftlog.functions.text import capped_log, clamp
 from weftlog.operators.graph import components, written
 
+#: Tasks that a cluster's sum of a feature is dealt to.
+SALTS = 16
+
 
 @dataclass(frozen=True)
 class Weights:
@@ -107,18 +110,40 @@ def close_pairs(vector: DataFrame, norm: DataFrame, eps: float) -> DataFrame:
     return dots.join(na, "a").join(nb, "b").select("a", "b", dist.alias("dist")).filter(F.col("dist") <= eps)
 
 
-def kth_distances(distinct: DataFrame, pairs: DataFrame, min_samples: int, total: int, beyond: float) -> DataFrame:
+def kth_distances(distinct: DataFrame, pairs: DataFrame, vector: DataFrame, norm: DataFrame, min_samples: int, total: int) -> DataFrame:
     """seq, n, k_dist: the distance of the k-th nearest other session, k = max(1, min(min_samples - 1, total - 1)).
 
-    ``pairs`` has those up to ``beyond``; a sequence with fewer neighbours there gets ``beyond``.
+    ``pairs`` has the close ones. A sequence with too few of those is compared with all that share a feature
+    with it; one that shares too little for the length feature not to matter, with every sequence. A lone
+    session has no such distance.
     """
     k = max(1, min(min_samples - 1, total - 1))
-    own = distinct.select("seq", (F.col("n") - 1).alias("m"), F.lit(0.0).alias("dist"))
-    near = pairs.select(F.col("a").alias("seq"), F.col("b").alias("o"), "dist").union(pairs.select(F.col("b").alias("seq"), F.col("a").alias("o"), "dist"))
-    other = near.join(distinct.select(F.col("seq").alias("o"), F.col("n").alias("m")), "o").select("seq", "m", "dist")
+    weight = distinct.select(F.col("seq").alias("o"), F.col("n").alias("m"))
     reach = Window.partitionBy("seq").orderBy("dist").rangeBetween(Window.unboundedPreceding, 0)
-    found = own.union(other).withColumn("reach", F.sum("m").over(reach)).filter(F.col("reach") >= k).groupBy("seq").agg(F.min("dist").alias("k_dist"))
-    return distinct.select("seq", "n").join(found, "seq", "left").withColumn("k_dist", F.coalesce("k_dist", F.lit(beyond)))
+
+    def kth(who: DataFrame, near: DataFrame) -> DataFrame:
+        own = who.join(distinct, "seq").select("seq", (F.col("n") - 1).alias("m"), F.lit(0.0).alias("dist"))
+        other = near.join(weight, "o").select("seq", "m", "dist")
+        return own.union(other).withColumn("reach", F.sum("m").over(reach)).filter(F.col("reach") >= k).groupBy("seq").agg(F.min("dist").alias("k_dist"))
+
+    close = pairs.select(F.col("a").alias("seq"), F.col("b").alias("o"), "dist").union(pairs.select(F.col("b").alias("seq"), F.col("a").alias("o"), "dist"))
+    found = written(kth(distinct.select("seq"), close))
+    lacking = written(distinct.select("seq").join(found, "seq", "left_anti"))
+    ratio = norm.select("seq", (F.col("len") / F.col("norm")).alias("ratio"))
+    unit = vector.join(norm, "seq").select("seq", "feature", (F.col("v") / F.col("norm")).alias("u"))
+    mine, theirs = unit.join(lacking, "seq"), unit.select(F.col("seq").alias("o"), "feature", F.col("u").alias("w"))
+    dots = mine.join(theirs, "feature").filter("seq != o").groupBy("seq", "o").agg(F.sum(F.col("u") * F.col("w")).alias("dot"))
+    ratios = ratio.select(F.col("seq").alias("o"), F.col("ratio").alias("other"))
+    apart = clamp(1 - F.col("dot") - F.col("ratio") * F.col("other"), 0.0, 1.0).alias("dist")
+    sharing = written(dots.join(ratio, "seq").join(ratios, "o").select("seq", "o", apart))
+    # no sequence without a shared feature is nearer than by the greatest length
+    greatest = ratio.agg(F.max("ratio").alias("greatest"))
+    reached = kth(lacking, sharing).join(ratio, "seq").join(F.broadcast(greatest)).filter(F.col("k_dist") <= 1 - F.col("ratio") * F.col("greatest"))
+    near = written(reached.select("seq", "k_dist"))
+    left = written(lacking.join(near, "seq", "left_anti"))
+    strange = left.join(ratio, "seq").crossJoin(ratios).filter("seq != o").join(sharing, ["seq", "o"], "left_anti").withColumn("dot", F.lit(0.0)).select("seq", "o", apart)
+    far = kth(left, sharing.join(left, "seq", "left_semi").union(strange))
+    return distinct.select("seq", "n").join(found.union(near).union(far), "seq")
 
 
 def elbow(k_dist: DataFrame) -> float:
@@ -151,19 +176,22 @@ def dbscan(distinct: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame
     return distinct.select("seq").join(cores.union(border), "seq", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
 
 
-def medoids(distinct: DataFrame, labels: DataFrame, pairs: DataFrame) -> DataFrame:
+def medoids(distinct: DataFrame, labels: DataFrame, vector: DataFrame, norm: DataFrame) -> DataFrame:
     """cluster, seq, total: the member with the least sum of distances to its cluster; the earliest session of equals.
 
-    ``pairs`` must have the distances within clusters; members too far to be listed count as distance 1.
+    Distances are 1 less a product of unit vectors, so a member's sum is the cluster's size less its product
+    with the sum of the cluster's unit vectors: all distances count and no pair is formed.
     """
-    member = labels.filter("cluster >= 0").join(distinct.select("seq", "n", "first"), "seq")
+    member = written(labels.filter("cluster >= 0").join(distinct.select("seq", "n", "first"), "seq"))
     size = member.groupBy("cluster").agg(F.sum("n").alias("size"))
-    both = pairs.select("a", "b", "dist").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
-    near = both.join(member.select(F.col("seq").alias("a"), "cluster"), "a").join(member.select(F.col("seq").alias("b"), F.col("cluster").alias("cb"), F.col("n").alias("nb")), "b").filter("cluster = cb")
-    sums = near.groupBy(F.col("a").alias("seq")).agg(F.sum(F.col("dist") * F.col("nb")).alias("s"), F.sum("nb").alias("m"))
-    total = member.join(size, "cluster").join(sums, "seq", "left").withColumn("total", F.coalesce("s", F.lit(0.0)) + (F.col("size") - F.col("n") - F.coalesce("m", F.lit(0))))
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.round("total", 9), "first"))
-    return total.withColumn("r", rank).filter("r = 1").select("cluster", "seq", "total")
+    length = norm.select("seq", F.lit("len").alias("feature"), F.col("len").alias("v"))
+    units = written(vector.union(length).join(norm.select("seq", "norm"), "seq").join(member.select("seq", "cluster", "n"), "seq").select("cluster", "seq", "n", "feature", (F.col("v") / F.col("norm")).alias("u"), F.pmod(F.hash("seq"), F.lit(SALTS)).alias("salt")))
+    # nearly all members may have a feature, so each sum is dealt to several tasks
+    sums = units.groupBy("cluster", "feature").agg(F.sum(F.col("n") * F.col("u")).alias("s")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dots = units.join(sums, ["cluster", "feature", "salt"]).groupBy("seq").agg(F.sum(F.col("u") * F.col("s")).alias("dot"))
+    total = member.join(size, "cluster").join(dots, "seq").withColumn("total", F.greatest(F.col("size") - F.col("dot"), F.lit(0.0)))
+    least = total.groupBy("cluster").agg(F.min(F.struct(F.round("total", 9).alias("rounded"), "first", "seq", "total")).alias("m"))
+    return least.select("cluster", "m.seq", "m.total")
 
 
 def cluster_summary(distinct: DataFrame, labels: DataFrame, medoid: DataFrame, min_size: int = 3) -> DataFrame:
@@ -179,10 +207,10 @@ def cluster_sessions(steps: DataFrame, session: str = "session_id", api: str = "
     distinct, of = sequences(steps, session, api)
     vector = written(vectors(distinct, weights))
     norm = written(norms(distinct, vector, weights))
-    pairs = written(close_pairs(vector, norm, max(eps, eps_max)))
+    pairs = written(close_pairs(vector, norm, eps or eps_max))
     if not eps:
         total = of.count()
-        eps = min(eps_max, max(eps_min, elbow(kth_distances(distinct, pairs, min_samples, total, 1.0))))
+        eps = min(eps_max, max(eps_min, elbow(kth_distances(distinct, pairs, vector, norm, min_samples, total))))
     labels = written(dbscan(distinct, pairs.filter(F.col("dist") <= eps), min_samples))
-    medoid = written(medoids(distinct, labels, pairs))
+    medoid = written(medoids(distinct, labels, vector, norm))
     return {"eps": eps, "distinct": distinct, "labels": labels, "sessions": of.join(labels, "seq").select(session, "cluster"), "medoids": medoid, "summary": cluster_summary(distinct, labels, medoid), "pairs": pairs}
