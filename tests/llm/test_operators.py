@@ -168,6 +168,55 @@ def test_similar_groups(spark):
     assert sum(got[d] == b for d, b in near.items()) >= 0.97 * len(near)
 
 
+def jaccard(a, b, size=5):
+    x, y = (set(zip(*(t.split()[k:] for k in range(size)), strict=False)) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("slices", [500_000, 5_000])
+def test_similar_groups_equal_exact_jaccard(spark, monkeypatch, slices):
+    """Pairs between 0.7 and 0.9, and a chain of edits that is one candidate group of several slices."""
+    monkeypatch.setattr(simhash, "SLICE", slices)
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(4000)}"
+    texts = []
+    for i in range(150):
+        base = [word() for _ in range(200)]
+        edited = list(base)
+        for at in rng.sample(range(5, 195), 2 + i % 6):
+            edited[at] = word()
+        texts += [" ".join(base), " ".join(edited)]
+    chain = [word() for _ in range(200)]
+    for i in range(60):
+        texts.append(" ".join(chain))
+        for at in rng.sample(range(5, 195), 3 + i % 3):
+            chain[at] = word()
+    want, near = list(range(len(texts))), 0
+    for b in range(len(texts)):
+        for a in range(b - 1 if b < 300 and b % 2 else 300 if b >= 300 else b, b):
+            if (j := jaccard(texts[a], texts[b])) >= 0.8:
+                want = [want[a] if w == want[b] else w for w in want] if want[a] < want[b] else [want[b] if w == want[a] else w for w in want]
+            near += 0.7 < j < 0.9
+    assert near > 60
+    got = {r["doc"]: r["component"] for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert all(want[d] == want[c] for d, c in got.items())  # never a link below 0.8
+    assert sum(got[d] == want[d] for d in got) >= 0.98 * len(got)
+
+
+def test_near_stage_keeps_what_exact_jaccard_keeps(spark):
+    texts = {}
+    for r in queries.documents(spark, SF).collect():
+        texts[r["text"] or ""] = max(r["doc_id"], texts.get(r["text"] or "", -1))
+    texts = {d: t for t, d in texts.items()}
+    sets = {d: set(simhash.shingles(t, 5).tolist()) for d, t in texts.items()}
+    root = {}
+    for i in sorted(sets):
+        joined = {root[j] for j in root if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+        root = {k: min([i, *joined]) if v in joined else v for k, v in root.items()} | {i: min([i, *joined])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_dissimilar(docs).collect()) == sorted(set(root.values()))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101)], "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}

@@ -9,14 +9,16 @@ distance to the parent. Trees together grow with the data, so each goes by key t
 it and none is broadcast to all. A shard passes on a spanning star of what it linked, never all pairs.
 
 A fingerprint of 64 bits is too coarse to tell a similarity of 0.8 from one of 0.6. ``similar_groups`` takes
-512 bits of a text's distinct shingles and links texts whose distance is that of the wanted Jaccard
-similarity. Within such a radius blocks are no use; a shard is keyed by a few sampled bits instead, in so
-many tables that a pair at the radius meets in at least one with a chance of ``RECALL``.
+512 bits of a text's distinct shingles to find candidates only, within ``ERRORS`` standard errors of the
+distance of the wanted Jaccard similarity, and links what has that similarity by the shingles themselves.
+Within such a radius blocks are no use; a shard is keyed by a few sampled bits instead, in so many tables
+that a pair one standard error beyond the wanted similarity meets in at least one with a chance of ``RECALL``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 from itertools import combinations
 from math import acos, ceil, log, log2, pi, sqrt
 
@@ -38,6 +40,10 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WIDE, RECALL = 8, 0.99
 #: Visits of tree nodes at a time; shards above this size are looked at for one dense group first.
 VISITS, DENSE = 2_000_000, 512
+#: Standard errors that a candidate's distance may be beyond the wanted one's.
+ERRORS = 3
+#: Shingles of a slice of a candidate group, and pivots in a round for groups of more than one slice.
+SLICE, PIVOTS = 500_000, (16, 128, None)
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -58,13 +64,15 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int(bits.astype(np.int64))
 
 
-def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text: str = "text", key: str | None = None) -> DataFrame:
+    """doc and print of each row, and its ``key`` if one is named."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(t, size) for at in range(0, batch.num_rows, ROWS) for t in batch.column(1).slice(at, ROWS).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(prints, pa.int64())], names=["doc", "print"])
+            yield pa.record_batch([batch.column(0), pa.array(prints, pa.int64()), *batch.columns[2:]], names=["doc", "print", *["key"][: batch.num_columns - 2]])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc bigint, print bigint")
+    more = [F.col(key).alias("key")] if key else []
+    return docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"), *more).mapInArrow(run, "doc bigint, print bigint" + (", key binary" if key else ""))
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -227,13 +235,13 @@ def near_groups(docs: DataFrame, radius: int = 3, size: int = 3, id_col: str = "
     A null or wordless text has fingerprint 0 and links like any other. Null ids are no component's
     smallest unless it has no other. An empty table gives no rows.
     """
-    return grouped(written(fingerprints(docs, size, id_col, text), "prints"), lambda nodes, n: links(nodes, n, radius))
+    return grouped(written(fingerprints(docs, size, id_col, text), "prints"), lambda nodes, n: components(links(nodes, n, radius)))
 
 
 def grouped(prints: DataFrame, linked: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """doc, print and component of each row of ``prints``; ``linked`` gives the links of distinct prints."""
+    """doc, print and component of each row of ``prints``; ``linked`` gives the components of distinct prints."""
     nodes = written(prints.groupBy("print").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "nodes")
-    roots = components(linked(nodes.select("print"), nodes.count())).withColumnRenamed("node", "print")
+    roots = linked(nodes.select("print"), nodes.count()).withColumnRenamed("node", "print")
     rooted = written(nodes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
     labels = rooted.join(least, "root").select("print", "n", "component")
@@ -251,22 +259,37 @@ def firsts(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
     return kept.dropDuplicates([id_col])
 
 
-def radius_of(similarity: float) -> int:
-    """The distance of wide fingerprints at this Jaccard similarity, and a standard error more."""
+def row_key(id_col: str, text: str):
+    """What tells rows apart: SHA-256 of the id and the text, a null text being empty."""
+    return F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)), 256))
+
+
+def radius_of(similarity: float, errors: float = 1) -> int:
+    """The distance of wide fingerprints at this Jaccard similarity, and some standard errors more."""
     bits = 64 * WIDE
     share = acos(2 * similarity / (1 + similarity)) / pi
-    return int(bits * share + sqrt(bits * share * (1 - share)))
+    return int(bits * share + errors * sqrt(bits * share * (1 - share)))
 
 
-def wide_fingerprint(text: str | None, size: int) -> bytes:
-    """512 bits of a text's distinct shingles of words, A-Z in lower case; zeros for a null or wordless text."""
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of words, A-Z in lower case; none for a null or wordless text."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
-        return bytes(8 * WIDE)
+        return np.zeros(0, "<u8")
     grams = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
-    hashes = np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), "<u8"))
+    return np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), "<u8"))
+
+
+def wide_fingerprint(text: str | None, size: int) -> bytes:
+    """512 bits of a text's distinct shingles; zeros for a null or wordless text."""
+    return wide_print(shingles(text, size))
+
+
+def wide_print(hashes: np.ndarray) -> bytes:
+    if not len(hashes):
+        return bytes(8 * WIDE)
     ones = np.zeros(64 * WIDE, np.int64)
     for at in range(0, len(hashes), PIECE):
         some = hashes[at : at + PIECE, None] + np.arange(1, WIDE + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)
@@ -285,9 +308,9 @@ def tables_of(n: int, radius: int) -> np.ndarray:
     return np.array([rng.choice(bits, width, replace=False) for _ in range(tables)])
 
 
-def wide_links(nodes: DataFrame, n: int, radius: int) -> DataFrame:
-    """Links (a, b) between distinct wide fingerprints (column ``print``) that connect those within the radius."""
-    chosen = tables_of(n, radius)
+def wide_links(nodes: DataFrame, n: int, radius: int, meeting: int) -> DataFrame:
+    """Links (a, b) between distinct wide fingerprints (column ``print``) that connect those within the radius; tables are for ``meeting``."""
+    chosen = tables_of(n, meeting)
     weights = 1 << np.arange(chosen.shape[1], dtype=np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,16 +332,120 @@ def wide_links(nodes: DataFrame, n: int, radius: int) -> DataFrame:
     return keyed.groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task")).applyInArrow(run, "a binary, b binary").distinct()
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: doc and component (smallest id reachable by links of the similarity); nulls and empty tables as in ``near_groups``."""
+def jaccard_links(rows: list[tuple[bytes, bytes, bytes]], pivots: list[tuple[bytes, bytes, bytes]], similarity: float, radius: int) -> list[tuple[bytes, bytes]]:
+    """Links (a, b) that connect each of the pivots (node, print, hashes) with all rows that have the similarity with it."""
+    prints = np.frombuffer(b"".join(r[1] for r in rows), "<u8").reshape(-1, WIDE)
+    sets = [np.frombuffer(r[2], "<u8") for r in rows]
+    n = np.array([len(x) for x in sets])
+    group = {r[0]: r[0] for r in (*rows, *pivots)}
+
+    def find(x: bytes) -> bytes:
+        while group[x] != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    found = []
+    for node, mark, hashes in pivots:
+        mine = np.frombuffer(hashes, "<u8")
+        may = (np.minimum(n, len(mine)) >= similarity * np.maximum(n, len(mine)) - 1e-9) & (apart(prints, np.frombuffer(mark, "<u8")[None]) <= radius)
+        for i in np.flatnonzero(may):
+            a, b = find(node), find(rows[i][0])
+            if a != b:
+                both = len(np.intersect1d(mine, sets[i], assume_unique=True))
+                if both >= similarity * (len(mine) + n[i] - both) - 1e-9:
+                    group[max(a, b)] = min(a, b)
+                    found.append((node, rows[i][0]))
+    return found
+
+
+def exact_links(sets: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Links (a, b) that connect what has the similarity within each candidate group (root, node, print, hashes, n).
+
+    A pivot is compared with its whole group. In a group of one slice all are pivots. In a larger one a few
+    are, then some more, then all that are not in the group's largest part yet: at the end no pair of two
+    parts is left that was not compared, and those within a part need not be.
+    """
+    groups = sets.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total")).withColumn("slices", F.ceil(F.col("total") / SLICE).cast("int"))
+    groups = written(groups.withColumn("slices", F.greatest("slices", F.lit(1))), "groups")
+    tasks = int(sets.agg(F.sum("n")).first()[0] or 0) // (2 * SLICE) + 8
+    dealt = sets.join(groups, "root").withColumn("slice", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int"))
+    dealt = written(dealt.withColumn("draw", F.pmod(F.xxhash64("node"), F.col("m"))), "sets")
+    large = dealt.filter("slices > 1")
+    ddl, out = "a binary, b binary", pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def run(table: pa.Table) -> pa.Table:
+        cells: dict = {}
+        for side, *cell in zip(*(table.column(c).to_pylist() for c in ("side", "root", "slice", "block", "node", "print", "hashes")), strict=True):
+            cells.setdefault(tuple(cell[:3]), ([], []))[side].append(tuple(cell[3:]))
+        found = [x for rows, pivots in cells.values() if rows and pivots for x in jaccard_links(rows, pivots, similarity, radius)]
+        return pa.table([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], schema=out)
+
+    def compared(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+        """Every slice of a group with every block of its pivots."""
+        blocks = written(pivots.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / SLICE)).cast("int").alias("blocks")), "blocks")
+        cell = ["root", "slice", "block", "node", "print", "hashes", F.pmod(F.xxhash64("root", "slice", "block"), F.lit(tasks)).alias("task")]
+        left = rows.join(blocks, "root").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.lit(0).alias("side"), *cell)
+        right = pivots.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+        right = right.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(F.lit(1).alias("side"), *cell)
+        return written(left.union(right).groupBy("task").applyInArrow(run, ddl), "exact")
+
+    small = dealt.filter("slices = 1")
+    links = compared(small, small)
+    if large.isEmpty():
+        return links
+    parts = None
+    for some in PIVOTS:
+        pivots = large
+        if parts is not None:
+            now = large.select("root", "node").join(components(parts).withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+            now = written(now, "parts")
+            most = now.groupBy("root", "part").agg(F.count("*").alias("c")).groupBy("root").agg(F.max(F.struct("c", "part")).alias("most"))
+            left = now.join(most, "root").filter(F.col("part") != F.col("most.part")).select("node")
+            pivots = large.join(left, "node", "left_semi")
+        if some is not None:
+            pivots = pivots.filter(F.col("draw") < some)
+        found = compared(large, pivots)
+        parts = found if parts is None else parts.union(found)
+    return links.union(parts)
+
+
+def similar_rows(docs: DataFrame, similarity: float, size: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """doc, key and node (its set of shingles) of each row, and node and root of each node that is linked."""
+    keyed = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"), row_key(id_col, text).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [wide_fingerprint(t, size) for at in range(0, batch.num_rows, ROWS) for t in batch.column(1).slice(at, ROWS).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(prints, pa.binary())], names=["doc", "print"])
+            found = []
+            for at in range(0, batch.num_rows, ROWS):
+                for t in batch.column(1).slice(at, ROWS).to_pylist():
+                    hashes = shingles(t, size)
+                    found.append((sha256(hashes.tobytes()).digest(), wide_print(hashes)))
+            yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array([x[i] for x in found], pa.binary()) for i in (0, 1))], names=["doc", "key", "node", "print"])
 
-    prints = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc bigint, print binary")
-    return grouped(written(prints, "prints"), lambda nodes, n: wide_links(nodes, n, radius_of(similarity))).select("doc", "component")
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                sets = [shingles(t, size) for t in some.column(3).to_pylist()]
+                yield pa.record_batch([*some.columns[:3], pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())], names=["root", "node", "print", "hashes", "n"])
+
+    rows = written(keyed.mapInArrow(run, "doc bigint, key binary, node binary, print binary"), "prints")
+    nodes = written(rows.groupBy("node").agg(F.min("key").alias("key"), F.first("print").alias("print")), "nodes")
+    prints = written(nodes.select("print").distinct(), "prints")
+    radius = radius_of(similarity, ERRORS)
+    near = components(wide_links(prints, prints.count(), radius, radius_of(similarity))).withColumnRenamed("node", "print")
+    rooted = written(nodes.join(near, "print", "left").withColumn("root", F.coalesce("root", "print")), "candidates")
+    several = rooted.groupBy("root").agg(F.count("*").alias("c")).filter("c > 1").select("root")
+    wanted = written(rooted.join(several, "root", "left_semi"), "candidates")
+    texts = keyed.select("key", "text").join(wanted, "key").dropDuplicates(["key"]).select("root", "node", "print", "text")
+    sets = written(texts.mapInArrow(again, "root binary, node binary, print binary, hashes binary, n bigint"), "hashes")
+    return rows, components(exact_links(sets, similarity, radius))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: doc and component (smallest id reachable by links of the similarity); nulls and empty tables as in ``near_groups``."""
+    rows, roots = similar_rows(docs, similarity, size, id_col, text)
+    return grouped(rows.select("doc", F.col("node").alias("print")), lambda *_: roots).select("doc", "component")
 
 
 def keep_dissimilar(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
