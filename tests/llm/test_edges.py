@@ -83,6 +83,14 @@ def test_simhash(docs, empty):
     assert simhash.near_groups(empty).count() == 0 and simhash.keep_first(empty).count() == 0 and simhash.keep_dissimilar(empty).count() == 0
 
 
+@pytest.mark.parametrize("keep", [simhash.keep_first, simhash.keep_dissimilar])
+def test_near_copies_of_shared_and_null_ids(spark, keep):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (5, texts[2]), (None, texts[3])]
+    kept = keep(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in kept) == [(0, "a"), (0, "b"), (5, "c"), (7, "d")]
+
+
 def test_repeats(docs, empty):
     removed = repeats.repeated_units(docs)
     got = sorted((r["doc"], r["start"], r["end"], r["keep_doc"]) for r in removed.collect())

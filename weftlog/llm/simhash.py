@@ -248,20 +248,30 @@ def grouped(prints: DataFrame, linked: Callable[[DataFrame, int], DataFrame]) ->
     return join_hot(prints, labels, "print", "n", prints.count(), F.xxhash64("doc")).select("doc", "print", "component")
 
 
+def row_key(id_col: str, text: str):
+    """What tells rows apart: SHA-256 of the id and the text, a null text being empty."""
+    return F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)), 256))
+
+
 def keep_first(docs: DataFrame, radius: int = 3, size: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the one with the smallest id; rows with that id once."""
-    return firsts(docs, near_groups(docs, radius, size, id_col, text), id_col)
+    """The row of each group that stays: the one with the smallest id, of equal ids one by its text."""
+    keyed = docs.withColumn("__key", row_key(id_col, text))
+    rows = written(fingerprints(keyed, size, id_col, text, "__key").withColumnRenamed("print", "node"), "prints")
+    nodes = written(rows.select(F.col("node").alias("print")).distinct(), "nodes")
+    return firsts(docs, rows, components(links(nodes, nodes.count(), radius)), id_col, text)
 
 
-def firsts(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
-    stay = groups.filter(F.col("doc").eqNullSafe(F.col("component"))).select(F.col("doc").alias("__doc")).distinct()
-    kept = docs.join(stay, F.col(id_col).cast("bigint").eqNullSafe(F.col("__doc")), "left_semi")
-    return kept.dropDuplicates([id_col])
+def firsts(docs: DataFrame, rows: DataFrame, roots: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Of ``docs`` the first row of each group, equal rows once; ``rows`` has doc, key and node, ``roots`` the nodes that are linked.
 
+    A null id comes first only where there is no other.
+    """
+    def first(groups):
+        return groups.agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "key")).alias("m"))
 
-def row_key(id_col: str, text: str):
-    """What tells rows apart: SHA-256 of the id and the text, a null text being empty."""
-    return F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)), 256))
+    nodes = first(rows.groupBy("node")).select("node", "m.doc", "m.key").join(roots, "node", "left")
+    keys = written(first(nodes.groupBy(F.coalesce("root", "node").alias("root"))).select(F.col("m.key").alias("__key")), "firsts")
+    return docs.withColumn("__key", row_key(id_col, text)).join(keys, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def radius_of(similarity: float, errors: float = 1) -> int:
@@ -449,5 +459,6 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_c
 
 
 def keep_dissimilar(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of similar texts the one with the smallest id; rows with that id once."""
-    return firsts(docs, similar_groups(docs, similarity, size, id_col, text), id_col)
+    """The rows of ``docs`` that stay: of each group of similar texts the one with the smallest id, of equal ids one by its text."""
+    rows, roots = similar_rows(docs, similarity, size, id_col, text)
+    return firsts(docs, rows, roots, id_col, text)
