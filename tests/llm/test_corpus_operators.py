@@ -203,18 +203,49 @@ def test_similar_groups_equal_exact_jaccard(spark, monkeypatch, slices):
     assert sum(got[d] == want[d] for d in got) >= 0.98 * len(got)
 
 
-def test_near_stage_keeps_what_exact_jaccard_keeps(spark):
-    texts = {}
-    for r in queries.documents(spark, SF).collect():
-        texts[r["text"] or ""] = max(r["doc_id"], texts.get(r["text"] or "", -1))
-    texts = {d: t for t, d in texts.items()}
+def exact_survivors(texts):
+    """The smallest id of each group linked at a Jaccard similarity of 0.8 of five-word shingles."""
     sets = {d: set(simhash.shingles(t, 5).tolist()) for d, t in texts.items()}
     root = {}
     for i in sorted(sets):
         joined = {root[j] for j in root if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
         root = {k: min([i, *joined]) if v in joined else v for k, v in root.items()} | {i: min([i, *joined])}
+    return sorted(set(root.values()))
+
+
+def test_near_stage_keeps_what_exact_jaccard_keeps(spark):
+    texts = {}
+    for r in queries.documents(spark, SF).collect():
+        texts[r["text"] or ""] = max(r["doc_id"], texts.get(r["text"] or "", -1))
+    texts = {d: t for t, d in texts.items()}
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    assert sorted(r["doc_id"] for r in simhash.keep_dissimilar(docs).collect()) == sorted(set(root.values()))
+    assert sorted(r["doc_id"] for r in simhash.keep_dissimilar(docs).collect()) == exact_survivors(texts)
+
+
+def test_repeated_passages_are_found(spark):
+    """Of the words in 50-word windows that stand in an earlier document too, and of the documents that have one."""
+    import re
+
+    texts = {r["doc_id"]: r["text"] or "" for r in queries.documents(spark, SF2).collect()}
+    places = {d: [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for d, t in texts.items()}
+    seen, holders, repeated = {}, {}, {}
+    for d in sorted(texts):
+        words = [w for *_, w in places[d]]
+        for i in range(len(words) - 49):
+            if seen.setdefault(tuple(words[i : i + 50]), d) != d:
+                repeated.setdefault(d, set()).update(range(i, i + 50))
+        for i in range(len(words) - 11):
+            holders.setdefault(tuple(words[i : i + 12]), set()).add(d)
+    gone, other = {}, set()
+    for r in queries.op6_repeated_lines(spark, SF2).collect():
+        gone.setdefault(r["doc_id"], []).append((r["start_char"], r["end_char"]))
+        other |= {r["doc_id"]} if r["keep_doc_id"] != r["doc_id"] else set()
+    covered = sum(any(a <= places[d][i][0] and places[d][i][1] <= b for a, b in gone.get(d, ())) for d, some in repeated.items() for i in some)
+    assert covered >= 0.9 * sum(map(len, repeated.values())) > 0
+    assert len(repeated.keys() & gone.keys()) >= 0.98 * len(repeated)
+    shared = set().union(*(d for d in holders.values() if len(d) > 1))
+    assert not other - shared  # others repeat but themselves
+    print(f"covered {covered / sum(map(len, repeated.values())):.3f}, {len(other)} documents")
 
 
 def test_components_of_a_long_chain(spark):
@@ -258,14 +289,7 @@ def test_pipeline_equals_brute_force(spark):
     once = stages["exact dedup"](spark, good, SF)
     assert sorted(r["doc_id"] for r in once.collect()) == sorted(max(v) for v in texts.values())
     apart = stages["SimHash near-dedup"](spark, once, SF)
-    prints = {r["doc_id"]: np.frombuffer(simhash.wide_fingerprint(r["text"], 5), "<u8") for r in once.collect()}
-    ids, root = sorted(prints), {}
-    for i in ids:
-        group = [j for j in root if np.bitwise_count(prints[i] ^ prints[j]).sum() <= simhash.radius_of(0.8)]
-        least = min([i, *(root[j] for j in group)])
-        joined = {root[j] for j in group}
-        root = {k: least if v in joined else v for k, v in root.items()} | {i: least}
-    assert sorted(r["doc_id"] for r in apart.collect()) == sorted(set(root.values()))
+    assert sorted(r["doc_id"] for r in apart.collect()) == exact_survivors({r["doc_id"]: r["text"] for r in once.collect()})
     mixed = stages["mixing sources to target weights"](spark, apart, SF)
     assert mixed.columns == docs.columns
     copies = Counter(r["doc_id"] for r in mixed.collect())

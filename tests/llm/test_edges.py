@@ -97,7 +97,23 @@ def test_repeats(docs, empty):
     assert got == [(7, 0, len(LINE), 1), (8, 0, len(LINE), 1)]
     cleaned = {r["doc_id"]: (r["text"], len(r["removed"])) for r in repeats.without_repeats(docs, removed).collect()}
     assert cleaned[1] == (LINE, 0) and cleaned[7] == ("\nand more", 1) and cleaned[2] == (None, 0)
-    assert repeats.repeated_units(empty).count() == 0
+    assert repeats.repeated_units(empty).count() == 0 and repeats.without_repeats(empty, removed).count() == 0
+
+
+@pytest.mark.parametrize(("unit", "spans"), [("paragraph", [(0, 12)]), ("line", [(0, 5), (6, 12), (15, 20)]), ("clause", [(0, 5), (6, 10), (11, 12), (15, 20)])])
+def test_units_of_each_kind(spark, unit, spans):
+    docs = spark.createDataFrame([(1, "one 1\n two, 2\n\n \nlast"), (2, "ONE 1\ntwo, 2\n\n\none 1"), (None, "two,2")], "doc_id bigint, text string")
+    got = repeats.repeated_units(docs, unit).collect()
+    assert sorted((r["start"], r["end"]) for r in got) == spans and {(r["doc"], r["keep_doc"]) for r in got} == {(2, 1)}
+
+
+def test_passages_overlap_and_keep_one(spark):
+    """A text that repeats itself loses all but its first unit; its first passage needs two units."""
+    docs = spark.createDataFrame([(1, "la la. la la. la la. la la. end of it"), (2, "la la. la la.")], "doc_id bigint, text string")
+    removed = repeats.repeated_units(docs, "clause", 4)
+    assert sorted((r["doc"], r["start"], r["end"], r["keep_doc"], r["keep_start"]) for r in removed.collect()) == [(1, 7, 20, 1, 0), (1, 14, 27, 1, 0), (2, 0, 13, 1, 0)]
+    left = {r["doc_id"]: (r["text"], [tuple(x) for x in r["removed"]]) for r in repeats.without_repeats(docs, removed).collect()}
+    assert left == {1: ("la la.  end of it", [(7, 27)]), 2: ("", [(0, 13)])}
 
 
 def test_quality_rules(docs, empty):

@@ -13,7 +13,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: A key counts as hot above this share of all rows, so there are never more than 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.001
-SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,13 +55,14 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
 def join_hot(rows: DataFrame, side: DataFrame, key: str, n_col: str, total: int, salt: Column, how: str = "left") -> DataFrame:
     """Join rows with a table of one row per key whose ``n_col`` says how many rows have that key.
 
-    Keys with over ``HOT_SHARE`` of ``total`` rows, at most 1 / HOT_SHARE of them, are dealt over
-    ``SALTS`` partitions by ``salt``; that bounded list of keys is what gets broadcast.
+    Keys with over ``HOT_SHARE`` of ``total`` rows, at most 1 / HOT_SHARE of them, are dealt by ``salt``
+    into parts of at most that share; that bounded list of keys is what gets broadcast.
     """
     limit = max(1000, int(total * HOT_SHARE))
-    hot = side.filter(F.col(n_col) > limit).select(key, F.lit(True).alias("__hot"))
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(salt, F.lit(SALTS))).otherwise(0).cast("int")).drop("__hot")
-    copies = side.withColumn("__salt", F.explode(F.when(F.col(n_col) > limit, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    parts = F.ceil(F.col(n_col) / limit).cast("int")
+    hot = side.filter(F.col(n_col) > limit).select(key, parts.alias("__parts"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.coalesce(F.pmod(salt, F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    copies = side.withColumn("__salt", F.explode(F.when(F.col(n_col) > limit, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
     return dealt.join(copies, [key, "__salt"], how).drop("__salt")
 
 

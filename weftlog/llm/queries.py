@@ -12,6 +12,8 @@ from weftlog.llm.common import held_out, text_or_empty
 
 TOKENIZER = "word_bpe_49k.json"
 SHARDS = 24
+#: Words of a repeated passage, at least.
+PASSAGE_WORDS = 20
 QUALITY_THRESHOLD, TOXIC_THRESHOLD = 0.3, 0.5
 
 
@@ -58,8 +60,8 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.repeated_units(documents(spark, sf_dir))
-    return found.select(F.col("doc").alias("doc_id"), F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.lower(F.hex("digest")).alias("line_md5"), F.col("keep_doc").alias("keep_doc_id"), F.col("keep_start").alias("keep_start_char"))
+    found = repeats.repeated_units(documents(spark, sf_dir), "clause", PASSAGE_WORDS)
+    return found.select(F.col("doc").alias("doc_id"), F.col("start").alias("start_char"), F.col("end").alias("end_char"), F.lower(F.hex("digest")).alias("passage_md5"), F.col("keep_doc").alias("keep_doc_id"), F.col("keep_start").alias("keep_start_char"))
 
 
 def op7_host_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,19 +145,30 @@ from documents window g as (partition by coalesce(text, ''))
 """
 
 OP6_SQL = f"""
-with pieces as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents
-), placed as (
-  select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start_char from pieces
+with cut as (
+  select doc_id, coalesce(text, '') as body, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*') as toks from documents
+), toks as (
+  select doc_id, length(regexp_extract(body, '^[\\x20\\x09-\\x0D]*')) as lead, unnest(toks) as tok, generate_subscripts(toks, 1) as i from cut
+), words as (
+  select doc_id, i, regexp_replace(tok, '[\\x20\\x09-\\x0D]+$', '') as word, lead + sum(length(tok)) over here - length(tok) as pos,
+    case when regexp_matches(tok, '[.!?,;:][\\x20\\x09-\\x0D]+$') or contains(tok, chr(10)) then 1 else 0 end as last, lead(i) over here is null as final
+  from toks window here as (partition by doc_id order by i)
+), starts as (
+  select * from (select *, coalesce(lag(last) over (partition by doc_id order by i), 1) as opens from words) where opens = 1
+), ends as (
+  select doc_id, i, pos + length(word) as end_char from words where last = 1 or final
+), joined as (
+  select s.doc_id, s.pos::bigint as start_char, e.end_char::bigint as end_char, s.i as first_word, e.i as last_word
+  from starts s asof join ends e on s.doc_id = e.doc_id and s.i + {PASSAGE_WORDS - 1} <= e.i
+), listed as (
+  select doc_id, list(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') order by i) as ws from words group by doc_id
 ), units as (
-  select doc_id, start_char, start_char + length(line) as end_char,
-    md5(translate(array_to_string(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as line_md5
-  from placed where len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= {repeats.MIN_WORDS}
+  select j.doc_id, start_char, end_char, md5(array_to_string(ws[first_word:last_word], ' ')) as passage_md5 from joined j join listed l on j.doc_id = l.doc_id
 ), firsts as (
   select *, first_value(doc_id) over w as keep_doc_id, first_value(start_char) over w as keep_start_char, row_number() over w as r
-  from units window w as (partition by line_md5 order by doc_id nulls first, start_char)
+  from units window w as (partition by passage_md5 order by doc_id nulls first, start_char)
 )
-select doc_id, start_char, end_char::bigint as end_char, line_md5, keep_doc_id, keep_start_char from firsts where r > 1
+select doc_id, start_char, end_char, passage_md5, keep_doc_id, keep_start_char from firsts where r > 1
 """
 
 OP7_SQL = f"""
