@@ -13,6 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: A key counts as hot above this share of all rows, so there are never more than 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.001
+#: Rows up to which a counted table is broadcast.
+FEW = 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,11 +68,17 @@ def join_hot(rows: DataFrame, side: DataFrame, key: str, n_col: str, total: int,
     return dealt.join(copies, [key, "__salt"], how).drop("__salt")
 
 
-def prefix_sums(counts: DataFrame, bucket: str, value: str, out: str) -> DataFrame:
-    """Exclusive running sums over all buckets, in two levels so that no task gets them all."""
+def few(table: DataFrame) -> DataFrame:
+    """``table``, to be broadcast if its counted rows are few; beyond, Spark joins it as it sees fit."""
+    return F.broadcast(table) if table.count() <= FEW else table
+
+
+def prefix_sums(counts: DataFrame, bucket: str, value: str, out: str, by: list[str] | None = None) -> DataFrame:
+    """Exclusive running sums over all buckets (of each ``by``), in two levels so that no task gets them all."""
+    by = by or []
     level = counts.withColumn("__high", F.shiftright(F.col(bucket), 10))
-    high = level.groupBy("__high").agg(F.sum(value).alias("__sum"))
-    before = Window.orderBy("__high").rowsBetween(Window.unboundedPreceding, -1)
-    high = high.select("__high", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__high").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return level.withColumn("__in", F.coalesce(F.sum(value).over(within), F.lit(0))).join(high, "__high").withColumn(out, F.col("__before") + F.col("__in")).drop("__high", "__in", "__before")
+    high = level.groupBy(*by, "__high").agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*by).orderBy("__high").rowsBetween(Window.unboundedPreceding, -1)
+    high = high.select(*by, "__high", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*by, "__high").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return level.withColumn("__in", F.coalesce(F.sum(value).over(within), F.lit(0))).join(high, [*by, "__high"]).withColumn(out, F.col("__before") + F.col("__in")).drop("__high", "__in", "__before")

@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import held_out, seeded_key
+from weftlog.llm.common import few, held_out, seeded_key, written
 
 PROFILE = 400
 #: Labelled documents per language that a profile is counted from, at most; chosen by a seeded key.
 TRAIN_DOCS = 2000
+#: So many times the wanted documents are expected among the keys that are ranked.
+DRAWN = 4
 ROWS = 256
 SPACE = 32
 BITS = 21
@@ -57,15 +59,18 @@ def most_frequent(grams: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
 def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", where=None, per_lang: int = TRAIN_DOCS, size: int = PROFILE) -> dict[str, list[int]]:
     """Each language's profile, from at most ``per_lang`` documents with a non-null language that ``where`` keeps.
 
-    The documents are counted on the executors; a profile of ``size`` n-grams for each language comes back.
+    Documents are those with the smallest keys of their ids; rows with one id count as one document, and a
+    null id, language or text is left out. Keys are drawn and ranked without texts, the first few times
+    ``per_lang`` of a language only; the texts are read where they lie, past the language's last key, and
+    are not shuffled. A profile of ``size`` n-grams for each language comes back; an empty table gives none.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    if where is not None:
-        own = own.filter(where("id"))
-    first = Window.partitionBy("lang").orderBy("key", F.xxhash64("text"))
-    chosen = own.withColumn("key", seeded_key(31, "id")).select("lang", "key", F.row_number().over(first).alias("r")).filter(F.col("r") <= per_lang)
-    edge = chosen.groupBy("lang").agg(F.max("key").alias("edge"))
-    sample = own.withColumn("key", seeded_key(31, "id")).join(edge, "lang").filter("key <= edge").select("lang", "text")
+    own = docs.select(F.col(id_col).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("id is not null and lang is not null and text is not null")
+    own = (own if where is None else own.filter(where("id"))).withColumn("key", seeded_key(31, "id"))
+    share = written(own.groupBy("lang").agg((DRAWN * per_lang * float(2**60) / F.count("*")).alias("most")), "languages")
+    drawn = own.select("lang", "key").join(few(share), "lang").filter("key <= most").select("lang", "key").distinct()
+    first = Window.partitionBy("lang").orderBy("key")
+    edge = written(drawn.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_lang).groupBy("lang").agg(F.max("key").alias("edge")), "edges")
+    sample = own.join(few(edge), "lang").filter("key <= edge").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
