@@ -1,7 +1,7 @@
 """Quality rules: figures of each text, and lines that too many documents of a host share.
 
-Normalised lines are hashed and the distinct documents (distinct texts) that hold a line are counted per
-host. A line above its limit is boilerplate and goes; a document of which too little is left is rejected.
+Normalised lines are hashed and the documents that hold a line are counted per host, each once, copies of
+a text included. A line above its limit is boilerplate and goes; a document of which too little is left is rejected.
 Everything is built-in functions: one pass over the texts writes figures and line hashes, and what follows
 has hashes only. A line's or a text's copies are combined before each shuffle.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import join_hot, text_or_empty, written
+from weftlog.llm.common import join_hot, seeded_key, text_or_empty, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -60,27 +60,27 @@ def normal_lines(body: Column) -> Column:
 
 
 def frequent_lines(table: DataFrame, line_docs: int, line_share: float) -> tuple[DataFrame, DataFrame]:
-    """All (host, h, text_hash, n) and the lines above their limit, as (key, docs)."""
-    lines = table.select("host", "text_hash", F.explode("lines").alias("l")).groupBy("host", "text_hash", F.col("l.h").alias("h")).agg(F.sum("l.n").alias("n"))
-    lines = written(lines.select("text_hash", "host", F.xxhash64("host", "h").alias("key"), "h", "n"), "lines")
-    hosts = table.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    counts = lines.groupBy("host", "key").agg(F.count("*").alias("docs")).filter(F.col("docs") > line_docs)
-    frequent = counts.join(hosts, "host").filter(F.col("docs") > line_share * F.col("host_docs")).select("key", "docs")
-    return lines, written(frequent, "frequent")
+    """All (host, h, text_hash, n) of distinct texts and the lines above their limit, as (key, texts that have it)."""
+    texts = table.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"), F.count("*").alias("copies"))
+    lines = texts.select("host", "text_hash", "copies", F.explode("lines").alias("l")).groupBy("host", "text_hash", F.col("l.h").alias("h")).agg(F.sum("l.n").alias("n"), F.first("copies").alias("copies"))
+    lines = written(lines.select("text_hash", "host", F.xxhash64("host", "h").alias("key"), "h", "n", "copies"), "lines")
+    counts = written(lines.groupBy("host", "key").agg(F.sum("copies").alias("docs"), F.count("*").alias("texts")).filter(F.col("docs") > line_docs), "counts")
+    hosts = table.groupBy("host").agg(F.count("*").alias("host_docs")).join(counts.groupBy("host").agg(F.count("*").alias("m")), "host")
+    frequent = join_hot(counts, hosts, "host", "m", counts.count(), F.col("key"), "inner").filter(F.col("docs") > line_share * F.col("host_docs"))
+    return lines, written(frequent.select("key", "texts"), "frequent")
 
 
 def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, min_left: float = MIN_LEFT, id_col: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
     """One row per input row: id, the figures, base_failed, left_share, depleted and kept.
 
     A null text has no words and fails; null hosts are one host. Rows with equal text and host share a
-    verdict, and count once for their lines. An empty table gives no rows.
+    verdict, and each counts for their lines. An empty table gives no rows.
     """
     table = written(figures(docs, id_col, host, text), "figures")
     lines, frequent = frequent_lines(table, line_docs, line_share)
-    flagged = join_hot(lines, frequent, "key", "docs", lines.count(), F.col("text_hash"))
-    left = flagged.groupBy("host", "text_hash").agg((F.sum(F.when(F.col("docs").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("left_share"))
-    copies = table.groupBy("host", "text_hash").agg(F.count("*").alias("copies"))
-    left = left.filter(F.col("left_share") < 1).join(copies, ["host", "text_hash"]).select(F.xxhash64("host", "text_hash").alias("text_key"), "left_share", "copies")
+    flagged = join_hot(lines, frequent, "key", "texts", lines.count(), F.col("text_hash"))
+    left = flagged.groupBy("host", "text_hash").agg((F.sum(F.when(F.col("texts").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("left_share"), F.first("copies").alias("copies"))
+    left = left.filter(F.col("left_share") < 1).select(F.xxhash64("host", "text_hash").alias("text_key"), "left_share", "copies")
     rows = join_hot(table.withColumn("text_key", F.xxhash64("host", "text_hash")).drop("lines"), left, "text_key", "copies", table.count(), F.xxhash64("id"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     rows = rows.withColumn("left_share", F.coalesce("left_share", F.lit(1.0))).withColumns({"base_failed": failed, "depleted": F.col("left_share") < min_left})
@@ -88,13 +88,14 @@ def judge(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_
 
 
 def without_frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, id_col: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """``docs`` with the lines above their limit cut from the text."""
+    """``docs`` with the lines above their limit cut from the text; nulls, ties and empty tables as in ``judge``."""
     table = written(figures(docs, id_col, host, text), "figures")
     lines, frequent = frequent_lines(table, line_docs, line_share)
-    gone = join_hot(lines, frequent, "key", "docs", lines.count(), F.col("text_hash"), "inner").groupBy("host", "text_hash").agg(F.collect_set("h").alias("__gone"))
+    found = join_hot(lines, frequent, "key", "texts", lines.count(), F.col("text_hash"), "inner").groupBy("host", "text_hash").agg(F.collect_set("h").alias("__gone"), F.first("copies").alias("__copies"))
+    gone = found.select(F.xxhash64("host", "text_hash").alias("__text"), "__gone", "__copies")
     h = F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("none"))
-    tagged = docs.withColumns({"__host": h, "__hash": F.xxhash64(text_or_empty(text))})
-    joined = tagged.join(gone.withColumnsRenamed({"host": "__host", "text_hash": "__hash"}), ["__host", "__hash"], "left")
+    tagged = docs.withColumn("__text", F.xxhash64(h, F.xxhash64(text_or_empty(text))))
+    joined = join_hot(tagged, gone, "__text", "__copies", docs.count(), seeded_key(7, id_col))
     line = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\x20\x09\x0B-\x0D]+", " "))
     left = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("__gone", F.xxhash64(line(x))))
     return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))).select(*[f"`{c}`" for c in docs.columns])
