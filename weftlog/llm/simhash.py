@@ -5,7 +5,7 @@ sharded so that two nodes within the radius meet in at least one shard: the 64 b
 and a node goes to one shard for every choice of m - radius blocks, keyed by their bits; at most ``radius``
 blocks can differ. Each shard builds a BK-tree (a child's edge is labelled with its Hamming distance to the
 parent), and each node searches that tree, following only edges whose label lies within the radius of its
-distance to the parent. Trees together grow with the data, so each goes by key to the one task that asks
+distance to the parent. A shard too large for a task is cut into slices, any two of which meet. Trees together grow with the data, so each goes by key to the one task that asks
 it and none is broadcast to all. A shard passes on a spanning star of what it linked, never all pairs.
 
 A fingerprint of 64 bits is too coarse to tell a similarity of 0.8 from one of 0.6. ``similar_groups`` takes
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import join_hot, written
+from weftlog.llm.common import few, join_hot, written
 
 SEED = 42
 ROWS = 256
@@ -43,7 +43,7 @@ VISITS, DENSE = 2_000_000, 512
 #: Standard errors that a candidate's distance may be beyond the wanted one's.
 ERRORS = 3
 #: Shingles of a slice of a candidate group, and pivots in a round for groups of more than one slice.
-SLICE, PIVOTS = 500_000, (16, 128, None)
+SLICE, PIVOTS = 100_000, (16, 128, None)
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -185,6 +185,14 @@ def block_choices(n: int, radius: int) -> list[list[tuple[int, int]]]:
     return keys
 
 
+def cells(keyed: DataFrame) -> DataFrame:
+    """(key, print), where a key of over ``TASK_NODES`` nodes is cut: two slices at a time meet under a key of their own."""
+    many = few(written(keyed.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > TASK_NODES).select("key", F.ceil(F.col("c") / TASK_NODES).cast("int").alias("slices")), "shards"))
+    mine = F.pmod(F.xxhash64("print"), F.col("slices")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda other: F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)))
+    return keyed.join(many, "key", "left").select(F.explode(F.when(F.col("slices").isNull(), F.array("key")).otherwise(pair)).alias("key"), "print")
+
+
 def links(nodes: DataFrame, n: int, radius: int) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column ``print``) that connect all that lie within the radius."""
     choices = block_choices(n, radius)
@@ -194,7 +202,7 @@ def links(nodes: DataFrame, n: int, radius: int) -> DataFrame:
         parts = [F.shiftrightunsigned("print", shift).bitwiseAND((1 << w) - 1) for shift, w in blocks]
         return F.xxhash64(F.lit(i), *parts)
 
-    keyed = nodes.select("print", F.explode(F.array(*[key(i, b) for i, b in enumerate(choices)])).alias("key"))
+    keyed = cells(nodes.select("print", F.explode(F.array(*[key(i, b) for i, b in enumerate(choices)])).alias("key")))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
@@ -212,20 +220,20 @@ def components(edges: DataFrame) -> DataFrame:
     """
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        joined = both.join(least, "a")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        joined = join_hot(both, least, "a", "n", total, F.xxhash64("b"), "inner")
         if large:
             return joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a != b")
 
     now = written(edges.filter("a != b").select("a", "b"), "edges")
-    before = None
+    before, total = None, now.count()
     while True:
         now = written(star(star(now, True).distinct(), False).distinct(), "edges")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             break
-        before = state
+        before, total = state, state[0]
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -243,8 +251,8 @@ def grouped(prints: DataFrame, linked: Callable[[DataFrame, int], DataFrame]) ->
     nodes = written(prints.groupBy("print").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "nodes")
     roots = linked(nodes.select("print"), nodes.count()).withColumnRenamed("node", "print")
     rooted = written(nodes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    labels = rooted.join(least, "root").select("print", "n", "component")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("m"))
+    labels = join_hot(rooted, least, "root", "m", rooted.count(), F.xxhash64("print"), "inner").select("print", "n", "component")
     return join_hot(prints, labels, "print", "n", prints.count(), F.xxhash64("doc")).select("doc", "print", "component")
 
 
@@ -338,7 +346,7 @@ def wide_links(nodes: DataFrame, n: int, radius: int, meeting: int) -> DataFrame
         return pa.table([pa.array([x.tobytes() for x in v], pa.binary()) for v in stars(table.column("key").to_numpy(), value, radius)], schema=out)
 
     tasks = n * len(chosen) // TASK_NODES + 1
-    keyed = nodes.select("print").mapInArrow(deal, "key bigint, print binary")
+    keyed = cells(nodes.select("print").mapInArrow(deal, "key bigint, print binary"))
     return keyed.groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task")).applyInArrow(run, "a binary, b binary").distinct()
 
 
@@ -378,7 +386,7 @@ def exact_links(sets: DataFrame, similarity: float, radius: int) -> DataFrame:
     groups = sets.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total")).withColumn("slices", F.ceil(F.col("total") / SLICE).cast("int"))
     groups = written(groups.withColumn("slices", F.greatest("slices", F.lit(1))), "groups")
     tasks = int(sets.agg(F.sum("n")).first()[0] or 0) // (2 * SLICE) + 8
-    dealt = sets.join(groups, "root").withColumn("slice", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int"))
+    dealt = join_hot(sets, groups, "root", "m", sets.count(), F.xxhash64("node"), "inner").withColumn("slice", F.pmod(F.xxhash64("node", F.lit(1)), F.col("slices")).cast("int"))
     dealt = written(dealt.withColumn("draw", F.pmod(F.xxhash64("node"), F.col("m"))), "sets")
     large = dealt.filter("slices > 1")
     ddl, out = "a binary, b binary", pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -392,10 +400,12 @@ def exact_links(sets: DataFrame, similarity: float, radius: int) -> DataFrame:
 
     def compared(rows: DataFrame, pivots: DataFrame) -> DataFrame:
         """Every slice of a group with every block of its pivots."""
-        blocks = written(pivots.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / SLICE)).cast("int").alias("blocks")), "blocks")
+        blocks = written(pivots.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / SLICE)).cast("int").alias("blocks"), F.max("m").alias("members")), "blocks")
+        total = blocks.agg(F.sum("members")).first()[0] or 0
+        beside = lambda some: join_hot(some, blocks, "root", "members", total, F.xxhash64("node"), "inner")
         cell = ["root", "slice", "block", "node", "print", "hashes", F.pmod(F.xxhash64("root", "slice", "block"), F.lit(tasks)).alias("task")]
-        left = rows.join(blocks, "root").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.lit(0).alias("side"), *cell)
-        right = pivots.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+        left = beside(rows).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.lit(0).alias("side"), *cell)
+        right = beside(pivots).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
         right = right.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(F.lit(1).alias("side"), *cell)
         return written(left.union(right).groupBy("task").applyInArrow(run, ddl), "exact")
 
@@ -445,8 +455,8 @@ def similar_rows(docs: DataFrame, similarity: float, size: int, id_col: str, tex
     radius = radius_of(similarity, ERRORS)
     near = components(wide_links(prints, prints.count(), radius, radius_of(similarity))).withColumnRenamed("node", "print")
     rooted = written(nodes.join(near, "print", "left").withColumn("root", F.coalesce("root", "print")), "candidates")
-    several = rooted.groupBy("root").agg(F.count("*").alias("c")).filter("c > 1").select("root")
-    wanted = written(rooted.join(several, "root", "left_semi"), "candidates")
+    several = rooted.groupBy("root").agg(F.count("*").alias("c")).filter("c > 1")
+    wanted = written(join_hot(rooted, several, "root", "c", rooted.count(), F.xxhash64("node"), "inner").drop("c"), "candidates")
     texts = keyed.select("key", "text").join(wanted, "key").dropDuplicates(["key"]).select("root", "node", "print", "text")
     sets = written(texts.mapInArrow(again, "root binary, node binary, print binary, hashes binary, n bigint"), "hashes")
     return rows, components(exact_links(sets, similarity, radius))
