@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import WORD, seeded_key, text_or_empty, written
+from weftlog.llm.common import FEW, WORD, seeded_key, text_or_empty, written
 
 LEVELS, BITS = 5, 12
 #: Sources up to which the per-source table is broadcast; beyond, rows are salted and joined by shuffle.
-BROADCAST_SOURCES = 50_000
+BROADCAST_SOURCES = FEW
 SALTS = 64
 
 
@@ -95,23 +95,24 @@ def thresholds(thin: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
     return state.select("__s", "passes", (F.col("low") + F.when((F.col("last") > 0) & (2 * F.col("rest") >= F.col("last")), 1).otherwise(0)).alias("threshold"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2, source: str = "source", id_col: str = "doc_id", text: str = "text", seed: int = 23) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), most: int = 2, source: str = "source", id_col: str = "doc_id", text: str = "text", seed: int = 23, words: Column | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with ``size`` (words), ``source_size``, ``target`` and ``copies`` (0 to ``most``).
 
     A null source counts as one, after all others; a null or empty text has size 0. Rows with the same id
     have the same key and so are taken alike. Columns of the new names that the input has are replaced.
-    An empty table gives an empty result.
+    An empty table gives an empty result. ``words`` is a size already counted.
     """
     new = ("size", "source_size", "target", "copies")
     docs = docs.drop(*new)
     s = F.when(F.col(source).isNull(), F.lit("b")).otherwise(F.concat(F.lit("a"), F.col(source).cast("string")))
-    thin = written(docs.select(s.alias("__s"), seeded_key(seed, id_col).alias("__k"), n_words(text).alias("__size")), "sizes")
+    n = n_words(text) if words is None else words.cast("bigint")
+    thin = written(docs.select(s.alias("__s"), seeded_key(seed, id_col).alias("__k"), n.alias("__size")), "sizes")
     sizes = written(thin.groupBy("__s").agg(F.sum("__size").alias("source_size")), "source-sizes")
     n_sources = sizes.count()
     goals = written(targets(sizes, weights, share, most), "targets")
     table = goals.join(thresholds(thin, goals, n_sources), "__s")
     own = [f"`{c}`" for c in docs.columns]
-    tagged = docs.withColumns({"__s": s, "__k": seeded_key(seed, id_col), "size": n_words(text)})
+    tagged = docs.withColumns({"__s": s, "__k": seeded_key(seed, id_col), "size": n})
     joined = by_source(tagged, table, n_sources, F.col("__k"))
     # a source at its cap has a threshold above documents without words, which get no further copy either
     copies = F.least(F.col("passes") + F.when(F.col("__k") < F.col("threshold"), 1).otherwise(0), F.lit(most))

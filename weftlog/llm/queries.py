@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlog.llm import exact_dedup, language_id, mixing, packing, quality_crf, quality_rules, repeats, sharding, simhash, toxicity
-from weftlog.llm.common import held_out, text_or_empty
+from weftlog.llm.common import held_out, text_or_empty, written
 
 TOKENIZER = "word_bpe_49k.json"
 SHARDS = 24
@@ -70,7 +70,8 @@ def op7_host_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    thin = written(documents(spark, sf_dir).select("doc_id", "source", mixing.n_words().alias("words")), "words")
+    mixed = mixing.mix(thin, words=F.col("words"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -183,15 +184,15 @@ with docs as (
 ), repeated as (
   select rid, sum(least(8, coalesce(gap, 8)))::bigint as n from twice group by rid
 ), lines as (
-  select distinct host, body, line from (
-    select host, body, unnest(list_transform(string_split(regexp_replace(lower(body), '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' '))) as line from docs
+  select distinct rid, host, line from (
+    select rid, host, unnest(list_transform(string_split(regexp_replace(lower(body), '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' '))) as line from docs
   ) where line <> ''
 ), occurrences as (
   select host, body, line, count(*) as times from (
     select host, body, unnest(list_transform(string_split(regexp_replace(lower(body), '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' '))) as line
     from (select distinct host, body from docs)
   ) where line <> '' group by all
-), hosts as (select host, count(distinct body) as host_docs from docs group by host),
+), hosts as (select host, count(*) as host_docs from docs group by host),
 frequent as (
   select host, line from (select host, line, count(*) as n from lines group by all) join hosts using (host)
   where n > {quality_rules.LINE_DOCS} and n > {quality_rules.LINE_SHARE} * host_docs

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import prefix_sums, seeded_key
+from weftlog.llm.common import join_hot, prefix_sums, seeded_key, written
 
 ROWS_PER_BUCKET = 1024
 KEY_BITS = 60
@@ -39,11 +39,10 @@ def interleave(docs: DataFrame, shards: int, strata: str = "source", id_col: str
         "__k": seeded_key(seed, id_col),
     }).withColumn("__b", F.shiftright("__k", KEY_BITS - bits))
 
-    in_source = Window.partitionBy("__s")
-    parts = tagged.groupBy("__s", "__b").agg(F.count("*").alias("__n")).select(
-        "__s", "__b", F.sum("__n").over(in_source).alias("__all"),
-        F.coalesce(F.sum("__n").over(in_source.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
-    )
+    filled = tagged.groupBy("__s", "__b").agg(F.count("*").alias("__n"))
+    sources = filled.groupBy("__s").agg(F.sum("__n").alias("__all"), F.count("*").alias("__m"))
+    parts = prefix_sums(filled, "__b", "__n", "__at", ["__s"]).select("__s", "__b", F.col("__at").alias("__before"))
+    parts = written(join_hot(parts, sources, "__s", "__m", total // ROWS_PER_BUCKET, F.xxhash64("__b"), "inner").select("__s", "__b", "__all", "__before"), "buckets")
 
     def ranked(rows: DataFrame, tie) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__k", F.col(id_col).asc_nulls_first(), *tie)) - 1
