@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from weftlog.llm import mixing, packing, queries, quality_crf, simhash
+from weftlog.llm import language_id, mixing, packing, queries, quality_crf, simhash, toxicity
 from weftlog.llm.exact_dedup import exact_groups
 
 SF = "/root/testdata/sf0.001"
@@ -78,8 +78,8 @@ def auc(scores, labels):
     return (order[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / max(1, pos.sum() * (~pos).sum())
 
 
-#: Toxic texts are rare: sf0.01 holds out 6 of them (area 0.73), too few to judge by; sf0.1 holds out 97.
-@pytest.mark.parametrize(("name", "label", "least", "sf"), [("op4_quality_crf", "quality", 0.9, SF2), ("op10_compression_toxicity", "toxic", 0.85, "/root/testdata/sf0.1")])
+#: Toxic texts are rare: sf0.01 trains on few of them and holds out 6; sf0.1 holds out 97.
+@pytest.mark.parametrize(("name", "label", "least", "sf"), [("op4_quality_crf", "quality", 0.9, SF2), ("op10_compression_toxicity", "toxic", 0.6, SF2), ("op10_compression_toxicity", "toxic", 0.85, "/root/testdata/sf0.1")])
 def test_held_out_labels(spark, name, label, least, sf):
     marks = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [r for r in queries.queries()[name](spark, sf).collect() if r["held_out"] and marks.get(r["doc_id"]) is not None]
@@ -93,6 +93,60 @@ def test_language_of_held_out(spark):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in rows) >= 0.9 * len(rows)
 
 
+def naive_grams(text):
+    """1 to 3 letters of the words of a text, padded by a space; grams of spaces only do not count."""
+    padded = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    found = Counter(c for c in padded if c != " ")
+    found.update(padded[i : i + 2] for i in range(len(padded) - 1) if padded[i : i + 2] != "  ")
+    found.update(padded[i : i + 3] for i in range(len(padded) - 2) if padded[i + 1] != " ")
+    return found
+
+
+def naive_profile(counts):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], len(x[0]), x[0]))][: language_id.PROFILE]
+
+
+def test_language_equals_brute_force(spark):
+    """Out-of-place distances of naive profiles; every learned document of the small table counts."""
+    docs = queries.documents(spark, SF).collect()
+    learned = defaultdict(Counter)
+    for r in docs:
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            learned[r["lang"]].update(naive_grams(r["text"]))
+    profiles = {lang: {g: i for i, g in enumerate(naive_profile(c))} for lang, c in learned.items()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op9_rank_order_language(spark, SF).collect()}
+    for r in docs:
+        own = naive_profile(naive_grams(r["text"] or ""))
+        away = sorted((sum(abs(p[g] - i) if g in p else language_id.PROFILE for i, g in enumerate(own)), lang) for lang, p in profiles.items())
+        want = (away[0][1], 1 - away[0][0] / away[1][0]) if own else ("und", 0.0)
+        assert got[r["doc_id"]] == (want[0], pytest.approx(want[1]))
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(i, "de" if i % 3 else "fr", f"wort{i % 7} satz") for i in range(6000)] + [(None, "de", "ohne nummer")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    profiles = language_id.train(docs, per_lang=50)
+    assert set(profiles) == {"de", "fr"} and ord("h") not in profiles["de"]
+
+
+def test_window_distances():
+    """The bytes that the toxic dictionary saves, by two compressions of each eight words; texts in any case."""
+    import zstandard
+
+    plain, toxic = b" and then the river went on to the sea ", b" gnarlwort "
+    text = "And then the GNARLWORT went on to the sea gnarlwort of the river and then on"
+    words = text.lower().split()
+    how = {raw: zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, source_size=64, dict_size=len(raw), min_match=toxicity.MIN_MATCH, write_content_size=0, write_checksum=0, write_dict_id=0) for raw in (plain, toxic + plain)}
+
+    def size(raw, some):
+        held = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(compression_params=how[raw], dict_data=held).compress((" " + " ".join(some) + " ").encode()))
+
+    saved = [size(plain, words[i : i + 8]) - size(toxic + plain, words[i : i + 8]) for i in range(0, len(words), 8)]
+    got = toxicity.distances(toxicity.compressor(plain), toxicity.compressor(toxic + plain), text)
+    assert got.tolist() == pytest.approx([np.mean(saved), math.log1p(max(saved)), np.maximum(np.array(saved) - 1, 0).mean(), math.log1p(len(saved))]) and max(saved) > 2
+
+
 def reference_fingerprint(text, size):
     import re
 
@@ -126,6 +180,18 @@ def test_simhash_equals_brute_force(spark):
     assert got == {d: (f"{prints[d]:016x}", find(d)) for d in docs}
 
 
+def test_large_shards_are_cut_and_still_meet(spark, monkeypatch):
+    """Fingerprints that share nearly all bits are in one shard; with slices of 50 nodes the components stay the same."""
+    rng = random.Random(2)
+    centre = rng.getrandbits(63)
+    prints = {centre ^ sum(1 << b for b in rng.sample(range(20), 6)) for _ in range(400)}
+    nodes = spark.createDataFrame([(p,) for p in prints], "print bigint")
+    whole = {(r["node"], r["root"]) for r in simhash.components(simhash.links(nodes, len(prints), 3)).collect()}
+    monkeypatch.setattr(simhash, "TASK_NODES", 50)
+    cut = {(r["node"], r["root"]) for r in simhash.components(simhash.links(nodes, len(prints), 3)).collect()}
+    assert cut == whole and len(whole) > 100
+
+
 @pytest.mark.parametrize("words", [1, 8])
 def test_stars_connect_what_brute_force_connects(words):
     rng = np.random.default_rng(5)

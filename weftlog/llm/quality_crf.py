@@ -194,9 +194,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, where, most:
     """At most ``most`` (text, label) pairs of labelled rows that ``where`` keeps, texts of up to ``chars`` characters.
 
     Half of them for each label if there are so many, by a seeded key of the id. Ids and lengths are
-    chosen first; the texts of the chosen alone come to the driver.
+    chosen first; the texts of the chosen alone come to the driver. Null ids and labels are left out, the
+    larger of two labels of an id counts, and of texts with one id the last in code point order.
     """
-    marked = labels.filter(F.col(label).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y")).dropDuplicates(["__id"])
+    marked = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__y"))
     fit_for = docs.filter(where(id_col) & (F.coalesce(F.length(text), F.lit(0)) <= chars))
     pool = fit_for.select(F.col(id_col).alias("__id"), seeded_key(41, id_col).alias("__k")).join(marked, "__id")
     chosen = [r for y in (0, 1) for r in pool.filter(F.col("__y") == y).orderBy("__k", "__id").limit(most // 2).collect()]
@@ -209,6 +210,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, where, most:
 
 
 def train(docs: DataFrame, labels: DataFrame, where, most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> dict:
+    """The model fitted on ``labelled_sample``; without both labels (an empty table, say) scores are the labels' mean, or 0.5."""
     pairs = labelled_sample(docs, labels, "quality", where, most, chars)
     return fit([t for t, _ in pairs], [y for _, y in pairs])
 

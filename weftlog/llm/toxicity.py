@@ -5,8 +5,10 @@ window of words is compressed with the ordinary dictionary alone and with the to
 bytes that the toxic one saves are the window's distance. A text's windows are summed up (mean, largest,
 mean above a byte), and a logistic fit on labelled texts calibrates these into a score.
 
-Most of a toxic text is ordinary, and a dictionary trained on all of it holds ordinary text mainly. So the
-toxic samples are its words with over-represented letter 5-grams. They are chosen greedily: the words of the
+Most of a toxic text is ordinary, and a dictionary trained on all of it holds ordinary text mainly: alone it
+finds next to nothing (README). So there is an extra step, which is not part of the method as named: the
+toxic dictionary is trained on words of toxic texts with over-represented letter 5-grams, and it stands in
+front of the ordinary one, not alone. The words are chosen greedily: the words of the
 most telling 5-gram are set aside before the next is looked for, so that parts of a chosen word do not
 bring in ordinary words. Near copies among the labelled texts count once.
 """
@@ -31,6 +33,8 @@ WINDOW = 8
 LEVEL, MIN_MATCH = 12, 4
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 4_096
 GRAM, MIN_Z, MIN_LOG_RATIO = 5, 4.5, 1.5
+#: Windows of the labelled ordinary texts that the ordinary dictionary is trained on, evenly spread, about as many at most.
+ORDINARY_WINDOWS = 40_000
 #: A telling word in over this share of toxic texts is in the dictionary as a whole; training may cut words up.
 COMMON = 0.03
 ROWS = 64
@@ -136,14 +140,14 @@ def distances(plain, toxic, text: str | None) -> np.ndarray:
 
 
 def fit(pairs: list[tuple[str | None, int]]) -> dict:
-    """The model for (text, label) pairs. Without both labels, scores are the labels' mean."""
+    """The model for (text, label) pairs. Without both labels, scores are the labels' mean, or 0.5; a null text is empty."""
     pairs = unlike([(t or "", y) for t, y in pairs])
     y = np.array([y for _, y in pairs], np.float64)
     if not len(y) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(y) else 0.5}
     words = telling_words(pairs)
     ordinary = [w for i, (t, label) in enumerate(pairs) if label == 0 for w in windows(t)]
-    plain = trained(ordinary[:: max(1, len(ordinary) // 40_000)], ORDINARY_BYTES, 200)
+    plain = trained(ordinary[:: max(1, len(ordinary) // ORDINARY_WINDOWS)], ORDINARY_BYTES, 200)
     held = [[w for w in bare_words(t) if w in words] for t, label in pairs if label == 1]
     toxic = trained([w.encode() for some in held for w in some] or [b" "], TOXIC_BYTES, 12) + common_words(held)
     a, b = compressor(plain), compressor(toxic + plain)
@@ -179,6 +183,7 @@ def scorer(model: dict):
 
 
 def train(docs: DataFrame, labels: DataFrame, where, most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> dict:
+    """The model of ``quality_crf.labelled_sample``, which says what becomes of nulls, ties and repeats."""
     return fit(labelled_sample(docs, labels, "toxic", where, most, chars))
 
 
