@@ -165,7 +165,7 @@ def test_clusters_equal_brute_force(spark, seed):
     kth = sorted((sorted(dist(i, j) for j in range(40) if j != i)[1] for i in range(40)), reverse=True)
     dx, dy = 39.0, kth[-1] - kth[0]
     away = [round(abs(dy * i - dx * y + dx * kth[0]) / math.hypot(dx, dy), 12) for i, y in enumerate(kth)]
-    assert abs(auto - min(0.6, max(0.15, min(kth[away.index(max(away))], 1.0)))) < 1e-6 or max(kth) > 0.6
+    assert abs(auto - min(0.6, max(0.15, kth[away.index(max(away))]))) < 1e-6
 
 
 def test_far_distances_count(spark):
@@ -256,3 +256,36 @@ def test_streaming_sessions(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.u, r.session_length) for r in spark.sql("select u, session_length from sess").collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_headers_of_each_kind(spark):
+    rows = [(1, {"A": "x"}, [["C", "y"], ["D"]], '{"B": 2}', "[1]"), (2, None, None, "{bad", None), (3, None, [["C", "y", "z"]], "text", "{}")]
+    df = spark.createDataFrame(rows, "id int, headers map<string,string>, request_headers array<array<string>>, header_params string, requestHeaders string")
+    got = {r["id"]: [tuple(p) for p in r["header_pairs"]] for r in profile.headers(df).collect()}
+    assert got == {1: [("A", "x")], 2: [], 3: [("C", "y")]}
+    alone = {r["id"]: [tuple(p) for p in r["header_pairs"]] for r in profile.headers(df.select("id", "header_params")).collect()}
+    assert alone == {1: [("B", "2")], 2: [], 3: []}
+    assert [r["header_pairs"] for r in profile.headers(df.select("id")).collect()] == [[], [], []]
+
+
+def test_contents_is_no_object_type(spark):
+    df = spark.createDataFrame([("contents",), ("content",), ("issues",), ("x",)], "s string")
+    assert [r[0] for r in df.select(boundary.segment_type(F.col("s"))).collect()] == ["", "content", "issue", ""]
+
+
+def test_evidence_and_summary(spark):
+    hits = spark.createDataFrame([("s2", "R1", 1, "a", 3, "", ""), ("s1", "R1", 1, "a", 1, "", ""), ("s1", "R1", 1, "a", 2, "", ""), ("s3", "R2", 1, "b", 1, "", "")], "session_id string, fol_id string, expr int, reason string, step int, parameter string, detail string")
+    steps = spark.createDataFrame([("s1", 1, "x", 4), ("s1", 2, "y", 4), ("s2", 1, "x", 0), ("s3", 1, "z", 1), ("s4", 1, "z", 0)], "session_id string, step int, api string, dropped int")
+    rules = spark.createDataFrame([("R1", "q"), ("R2", "q"), ("R3", "q")], "fol_id string, source string")
+    assert sorted((r["session_id"], r["fol_id"], r["step"]) for r in detection.capped_evidence(hits, 1).collect()) == [("s1", "R1", 1), ("s1", "R1", 2), ("s3", "R2", 1)]
+    got = {r["fol_id"]: r.asDict() for r in detection.run_summary(hits, steps, rules, 1).collect()}
+    assert [(got[k]["rule_hit_count"], got[k]["emitted_count"]) for k in ("R1", "R2", "R3")] == [(2, 1), (1, 1), (0, 0)]
+    assert {(r["session_count"], r["filtered_noise_count"], r["hit_session_count"], r["rule_count"], r["finding_count"]) for r in got.values()} == {(4, 5, 2, 3, 2)}
+    found = {(r["fol_id"], r["session_id"]): r for r in detection.session_findings(hits, steps, rules).collect()}
+    assert found["R1", "s1"]["api_sequence"] == ["x", "y"] and found["R1", "s1"]["filtered_noise_count"] == 4 and len(found["R1", "s1"]["expression_hits"]) == 2
+
+
+def test_request_values_of_shapes(spark):
+    rows = [("a", 1, "POST /x?p=1&q BODY {\"k\": [1, {\"n\": null}]}"), ("a", 2, "GET /y BODY u=%41&u=b"), ("a", 3, "not a request"), ("a", 4, None)]
+    got = {(r["step"], r["name"], r["value"], r["api"]) for r in detection.request_values(spark.createDataFrame(rows, "session_id string, step int, token string")).collect()}
+    assert got == {(1, "p", "1", "POST /x"), (1, "q", "", "POST /x"), (1, "k[0]", "1", "POST /x"), (1, "k[1].n", "None", "POST /x"), (2, "u", "A", "GET /y"), (2, "u", "b", "GET /y")}

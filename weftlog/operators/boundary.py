@@ -49,8 +49,8 @@ def object_type(name: Column) -> Column:
 
 def segment_type(segment: Column) -> Column:
     low = F.lower(segment)
-    singular = F.when(low == "content", low).otherwise(F.regexp_replace(low, "s$", ""))
-    return F.when(singular.isin(*SEGMENT_PLURALS), singular).otherwise("")
+    singular = F.when(low.isin("content", "contents"), F.nullif(low, F.lit("contents"))).otherwise(F.regexp_replace(low, "s$", ""))
+    return F.when(F.coalesce(singular.isin(*SEGMENT_PLURALS), F.lit(False)), singular).otherwise("")
 
 
 def path_objects(path: Column) -> Column:

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlog.functions.params import DETECTION, body_pairs
+from weftlog.functions.url import query_pairs, raw_query, request_api, request_target
+
 # Front-end requests, and words of rules.
 NOISE = r"(?i)\.(?:js|css|png|jpg|jpeg|gif|svg|ico|woff2?|ttf|map)(?:$|\?)|/s/|/download/resources/|/download/batch/|/images/|/static/|/assets/|/rest/wrm/|/webResources/|/useravatar|/avatar|/favicon"
 BOUND = ("derived_from_context_api", "bound_to_upstream_context")
@@ -29,6 +32,16 @@ def business_steps(steps: DataFrame, keep_noise: bool = False) -> DataFrame:
     return kept.withColumn("step", F.row_number().over(Window.partitionBy("session_id").orderBy("step")))
 
 
+def request_values(requests: DataFrame, token: str = "token") -> DataFrame:
+    """``values`` of requests (session_id, step, token ``METHOD target [BODY body]``): one row per query or body parameter.
+
+    Path and header parameters are no values here. A token of another shape has none.
+    """
+    body = F.regexp_extract(token, r"(?is)^\s*[A-Za-z]+\s+\S+\s+BODY\s+(.*)$", 1)
+    pairs = F.concat(query_pairs(raw_query(request_target(F.col(token)))), body_pairs(body, DETECTION))
+    return requests.select("session_id", "step", request_api(F.col(token)).alias("api"), F.explode(pairs).alias("p")).select("session_id", "step", "api", "p.name", "p.value")
+
+
 def active(rules: DataFrame) -> DataFrame:
     return rules.filter((F.col("status") == "generated") & ~F.coalesce("refinement.disabled", F.lit(False)))
 
@@ -126,17 +139,48 @@ def detect(steps: DataFrame, values: DataFrame, exprs: DataFrame) -> DataFrame:
 
 
 def findings_by_rule(hits: DataFrame) -> DataFrame:
-    """Per rule: findings (one per session hit), hits, sessions and their sorted ids; rules without an id are left out."""
+    """Per rule: findings (one per session hit), hits, sessions, the first and last; rules without an id are left out.
+
+    A rule may hit a good part of all sessions, so their ids and hits stay rows (``session_findings``).
+    """
     per = hits.filter("coalesce(fol_id, '') != ''").groupBy("fol_id", "session_id").agg(F.count("*").alias("n"))
-    return per.groupBy("fol_id").agg(F.count("*").alias("hit_count"), F.sum("n").alias("expression_hit_count"), F.count_distinct("session_id").alias("hit_session_count"), F.array_sort(F.collect_list("session_id")).alias("hit_session_ids"))
+    return per.groupBy("fol_id").agg(F.count("*").alias("hit_count"), F.sum("n").alias("expression_hit_count"), F.count_if(F.col("session_id") != "").alias("hit_session_count"), F.min("session_id").alias("first_session"), F.max("session_id").alias("last_session"))
 
 
 def capped_evidence(hits: DataFrame, most: int) -> DataFrame:
     """The first ``most`` sessions' hits of each rule, in order of session; 0 keeps all."""
     if not most:
         return hits
-    rank = F.dense_rank().over(Window.partitionBy("fol_id").orderBy("session_id"))
-    return hits.withColumn("r", rank).filter(F.col("r") <= most).drop("r")
+    rank = F.row_number().over(Window.partitionBy("fol_id").orderBy("session_id"))  # limited in each task before the shuffle
+    first = hits.select("fol_id", "session_id").distinct().withColumn("r", rank).filter(F.col("r") <= most).drop("r")
+    return hits.join(first, ["fol_id", "session_id"], "left_semi")
+
+
+def session_findings(hits: DataFrame, steps: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row per rule and session hit: the rule's source, the hits by expression and step, and the session's sequence.
+
+    ``steps`` may have ``dropped``, the front-end requests that were left out of the session.
+    """
+    own = hits.groupBy("fol_id", "session_id").agg(F.array_sort(F.collect_list(F.struct("expr", "step", "reason", "parameter", "detail"))).alias("expression_hits"))
+    dropped = F.max("dropped") if "dropped" in steps.columns else F.max(F.lit(0))
+    sequence = F.transform(F.array_sort(F.collect_list(F.struct("step", "api"))), lambda x: x["api"])
+    context = steps.join(own.select("session_id").distinct(), "session_id", "left_semi").groupBy("session_id").agg(sequence.alias("api_sequence"), dropped.alias("filtered_noise_count"))
+    return own.join(context, "session_id", "left").join(rules.select("fol_id", "source"), "fol_id")
+
+
+def run_summary(hits: DataFrame, steps: DataFrame, rules: DataFrame, most: int = 0) -> DataFrame:
+    """One row per rule with its hit and emitted sessions, under the counts of the whole run; rules without a hit have 0.
+
+    A finding is a session that a rule hits; beyond ``most`` of a rule (0: no limit) it is counted, not emitted.
+    """
+    per = hits.select("fol_id", "session_id").distinct().groupBy("fol_id").agg(F.count("*").alias("rule_hit_count"))
+    each = rules.select("fol_id").join(per, "fol_id", "left").withColumn("rule_hit_count", F.coalesce("rule_hit_count", F.lit(0)))
+    each = each.withColumn("emitted_count", F.least("rule_hit_count", F.lit(most)) if most else F.col("rule_hit_count"))
+    dropped = F.max("dropped") if "dropped" in steps.columns else F.max(F.lit(0))
+    sessions = steps.groupBy("session_id").agg(dropped.alias("d")).agg(F.count("*").alias("session_count"), F.coalesce(F.sum("d"), F.lit(0)).alias("filtered_noise_count"))
+    hit = capped_evidence(hits, most).agg(F.count_distinct("session_id").alias("hit_session_count"))
+    whole = each.agg(F.count("*").alias("rule_count"), F.sum("emitted_count").alias("finding_count"))
+    return each.crossJoin(F.broadcast(sessions)).crossJoin(F.broadcast(hit)).crossJoin(F.broadcast(whole))  # one row each
 
 
 def noise_overlap(hit_sessions: DataFrame, noise: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from weftlog.operators.graph import components, written
 
 #: Tasks that a cluster's sum of a feature is dealt to.
 SALTS = 16
+#: Distances this much above eps are within it: eps may be a distance itself, summed in another order.
+SLACK = 1e-9
 
 
 @dataclass(frozen=True)
@@ -202,15 +204,43 @@ def cluster_summary(distinct: DataFrame, labels: DataFrame, medoid: DataFrame, m
     return sizes.filter(F.col("cluster_size") >= min_size).join(named, "cluster").orderBy(F.desc("cluster_size"), "cluster")
 
 
+def members(found: dict, session: str = "session_id", limit: int = 0) -> DataFrame:
+    """cluster, session, distance to the representative, length, trace: each member but the representative.
+
+    With a ``limit`` the nearest of each cluster, by distance and session; partial limits go before the shuffle.
+    """
+    distinct, labels, medoid = found["distinct"], found["labels"], found["medoids"].select("cluster", F.col("seq").alias("centre"))
+    unit = found["vector"].union(found["norm"].select("seq", F.lit("len"), "len")).join(found["norm"].select("seq", "norm"), "seq").select("seq", "feature", (F.col("v") / F.col("norm")).alias("u"))
+    centres = unit.join(medoid, F.col("seq") == F.col("centre")).select("cluster", "feature", F.col("u").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    mine = unit.join(labels.filter("cluster >= 0"), "seq").withColumn("salt", F.pmod(F.hash("seq"), F.lit(SALTS)))
+    dots = mine.join(centres, ["cluster", "feature", "salt"], "left").groupBy("cluster", "seq").agg(F.sum(F.col("u") * F.col("w")).alias("dot"))
+    away = dots.select("cluster", "seq", F.round(clamp(1 - F.coalesce("dot", F.lit(0.0)), 0.0, 1.0), 6).alias("distance"))
+    heads = medoid.join(distinct.select(F.col("seq").alias("centre"), F.col("first").alias(session)), "centre").select("cluster", session)
+    rows = found["of"].join(away, "seq").join(distinct.select("seq", "length", F.array_join("apis", ">").alias("trace")), "seq").join(heads, ["cluster", session], "left_anti")
+    if limit:
+        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("distance", session))).filter(F.col("r") <= limit)
+    return rows.select("cluster", session, "distance", "length", "trace")
+
+
+def noise_sessions(found: dict, session: str = "session_id", limit: int = 0) -> DataFrame:
+    """session, length and trace of what no cluster has; with a ``limit`` the first by session."""
+    rows = found["of"].join(found["labels"].filter("cluster < 0"), "seq").join(found["distinct"].select("seq", "length", F.array_join("apis", ">").alias("trace")), "seq").select(session, "length", "trace")
+    return rows.orderBy(session).limit(limit) if limit else rows
+
+
 def cluster_sessions(steps: DataFrame, session: str = "session_id", api: str = "api", eps: float = 0.0, min_samples: int = 3, eps_min: float = 0.15, eps_max: float = 0.6, weights: Weights = Weights()) -> dict[str, DataFrame | float]:
     """Whole run: eps (the elbow within its bounds if 0), distinct sequences, labels by sequence and by session, medoids, summary."""
     distinct, of = sequences(steps, session, api)
     vector = written(vectors(distinct, weights))
     norm = written(norms(distinct, vector, weights))
     pairs = written(close_pairs(vector, norm, eps or eps_max))
+    info = {"mode": "manual", "eps": eps}
     if not eps:
-        total = of.count()
-        eps = min(eps_max, max(eps_min, elbow(kth_distances(distinct, pairs, vector, norm, min_samples, total))))
-    labels = written(dbscan(distinct, pairs.filter(F.col("dist") <= eps), min_samples))
+        kth = written(kth_distances(distinct, pairs, vector, norm, min_samples, of.count()))
+        raw = elbow(kth)
+        eps = min(eps_max, max(eps_min, raw))
+        low, high, avg = kth.agg(F.min("k_dist"), F.max("k_dist"), F.sum(F.col("k_dist") * F.col("n")) / F.sum("n")).first()
+        info = {"mode": "auto_k_distance_elbow", "neighbor_rank": max(1, min_samples - 1), "raw_eps": raw, "eps": eps, "k_distance_min": low or 0.0, "k_distance_max": high or 0.0, "k_distance_avg": avg or 0.0}
+    labels = written(dbscan(distinct, pairs.filter(F.col("dist") <= eps + SLACK), min_samples))
     medoid = written(medoids(distinct, labels, vector, norm))
-    return {"eps": eps, "distinct": distinct, "labels": labels, "sessions": of.join(labels, "seq").select(session, "cluster"), "medoids": medoid, "summary": cluster_summary(distinct, labels, medoid), "pairs": pairs}
+    return {"eps": eps, "eps_info": info, "vector": vector, "norm": norm, "of": of, "distinct": distinct, "labels": labels, "sessions": of.join(labels, "seq").select(session, "cluster"), "medoids": medoid, "summary": cluster_summary(distinct, labels, medoid), "pairs": pairs}

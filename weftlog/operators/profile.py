@@ -56,6 +56,31 @@ def samples(requests: DataFrame, request: str, site: str = "site_id", path: str
     return first.join(opening, by).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= SAMPLES_PER_PATH).drop("opening", "r")
 
 
+def headers(requests: DataFrame, columns: tuple[str, ...] = ("headers", "request_headers", "header_params", "requestHeaders")) -> DataFrame:
+    """``requests`` with ``header_pairs``: (name, value) of the first column that is a map, pairs or the text of a JSON object.
+
+    Bad JSON, JSON of another kind, nulls and missing columns give no pairs.
+    """
+    def pairs(c: str):
+        kind = requests.schema[c].dataType.typeName()
+        if kind == "map":
+            return F.transform(F.map_entries(c), lambda x: F.struct(x["key"].cast("string").alias("name"), x["value"].cast("string").alias("value")))
+        if kind == "array":
+            return F.transform(F.filter(c, lambda x: F.size(x) >= 2), lambda x: F.struct(x[0].cast("string").alias("name"), x[1].cast("string").alias("value")))
+        found = F.map_entries(F.from_json(c, "map<string,string>"))
+        return F.when(F.trim(c).startswith("{"), F.transform(found, lambda x: F.struct(x["key"].alias("name"), x["value"].alias("value"))))
+
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    return requests.withColumn("header_pairs", F.coalesce(*[pairs(c) for c in columns if c in requests.columns], none))
+
+
+def top_paths(method: DataFrame, most: int = 0) -> DataFrame:
+    """site_id, path and request_count of each site's paths; with ``most`` those with the most requests, ties by path."""
+    paths = method.groupBy("site_id", "path").agg(F.sum("request_count").alias("request_count"))
+    order = Window.partitionBy("site_id").orderBy(F.desc("request_count"), "path")
+    return paths.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most) if most else paths
+
+
 def site_totals(method: DataFrame) -> DataFrame:
     return method.groupBy("site_id").agg(F.count_distinct("path").alias("path_count"), F.sum("request_count").alias("request_count"))
 

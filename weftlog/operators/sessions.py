@@ -30,8 +30,8 @@ def capped(events: DataFrame, keys: list[str], ts: str, order: list[str], idle:
     the part's first or when the part has ``max_events``.
 
     Cuts depend on those before, but never reach over a gap. Segments within both caps, known from window
-    counts, stay in the engine. The others go one by one through a fold over time and order columns; it
-    reads a segment in batches and keeps a part's first time and count only.
+    counts, stay in the engine. The others run in order through a fold, batch by batch, which keeps a part's
+    first time and count only; they are where the windows left them, so nothing is shuffled again.
     """
     seg = Window.partitionBy(*keys, "segment")
     found = by_gap(events, keys, ts, order, idle).withColumns({"__n": F.count("*").over(seg), "__span": F.max(ts).over(seg) - F.min(ts).over(seg)})
@@ -40,22 +40,23 @@ def capped(events: DataFrame, keys: list[str], ts: str, order: list[str], idle:
     long = found.filter(over)
     row = Window.partitionBy(*keys, "segment").orderBy(ts, *order)
     long = long.withColumn("__row", F.row_number().over(row))
-    thin = long.select(*keys, "segment", "__row", F.col(ts).cast("double").alias("__ts"))
-    schema = thin.drop("__ts").withColumn("part", F.lit(0).cast("bigint")).schema
+    long = long.withColumn("__ts", F.col(ts).cast("double")).sortWithinPartitions(*keys, "segment", "__row")
+    schema = long.withColumn("part", F.lit(0).cast("bigint")).schema
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).sort_by("__row")
-        first, n, part, parts = None, 0, 0, []
-        for t in table.column("__ts").to_pylist():
-            if first is not None and (t - first > max_seconds or n >= max_events):
-                first, n, part = None, 0, part + 1
-            first = t if first is None else first
-            n += 1
-            parts.append(part)
-        yield from table.drop_columns(["__ts"]).append_column("part", pa.array(parts, pa.int64())).to_batches()
-
-    cuts = thin.groupBy(*keys, "segment").applyInArrow(lambda t: pa.Table.from_batches(list(fold(iter(t.to_batches())))), schema)
-    long = long.join(cuts, [*keys, "segment", "__row"]).drop("__row")
+        first, n, part = 0.0, 0, 0
+        for batch in batches:
+            parts = []
+            for row, t in zip(batch.column("__row").to_pylist(), batch.column("__ts").to_pylist(), strict=True):
+                if row == 1:
+                    first, n, part = t, 0, 0
+                elif t - first > max_seconds or n >= max_events:
+                    first, n, part = t, 0, part + 1
+                n += 1
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.int64())], names=[*batch.schema.names, "part"])
+
+    long = long.mapInArrow(fold, schema).drop("__row", "__ts")
     return short.unionByName(long).drop("__n", "__span")
 
 
@@ -69,6 +70,12 @@ def steps(events: DataFrame, session: list[str], ts: str, order: list[str]) -> D
     return events.withColumn("step", F.row_number().over(Window.partitionBy(*session).orderBy(ts, *order)))
 
 
+def chosen(events: DataFrame, site: str = "", most: int = 0, session: str = "session_id") -> DataFrame:
+    """``events`` of one site (all if empty) and, with ``most``, of its first sessions by id: a top-k, not a sort."""
+    own = events.filter(F.col("site_id") == site) if site else events
+    return own.join(F.broadcast(own.select(session).distinct().orderBy(session).limit(most)), session, "left_semi") if most else own
+
+
 def session_id(site: str, client: str, start: str, ordinal: str) -> Column:
     """Site, client and start second; the ordinal keeps apart parts that start in one second."""
     return F.concat_ws("_", F.lit("sess"), site, client, F.floor(start).cast("string"), F.col(ordinal).cast("string"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftlog.functions import text as t
 from weftlog.functions import url as u
 from weftlog.operators import boundary, detection, labeling, mining, profile, reviews, rules, sessions
+from weftlog.operators import events as log
 from weftlog.operators.graph import written
 from weftlog.streaming import sessions as streamed
 
@@ -109,6 +110,52 @@ def request_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.samples(page_requests(spark, sf_dir), "page_id").select("site_id", "path", "method", "page_id", F.col("at").alias("sample_no"))
 
 
+def top_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.top_paths(profile.methods(page_requests(spark, sf_dir), columns={"query": "param_pairs"}), 3)
+
+
+def site_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.site_totals(profile.methods(page_requests(spark, sf_dir), columns={"query": "param_pairs"}))
+
+
+def header_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of the pages' requests: a JSON object, or no object for every seventh."""
+    object_ = F.to_json(F.create_map(F.lit("Host"), "site_id", F.lit("X-Page"), F.col("page_id").cast("string")))
+    p = page_requests(spark, sf_dir).withColumn("request_headers", F.when(F.col("page_id") % 7 == 0, "[1]").otherwise(object_))
+    found = profile.parameters(profile.headers(p), "page_id", "header", "header_pairs", ["site_id"])
+    return found.select("site_id", "location", "param", "request_count", "count", "present_count", "types", "examples")
+
+
+def path_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = page_requests(spark, sf_dir)
+    return p.select("page_id", F.explode(u.path_bindings(F.col("path"), F.col("full_path"))).alias("p")).select("page_id", "p.name", "p.value")
+
+
+def gateway_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as gateway lines: odd pages with an encoded request and its body, even ones with a URL; every fifth a security record."""
+    page = F.col("page_id")
+    target = F.regexp_replace("raw_url", r"^[a-z]+://[^/?#]*", "")
+    sent = F.base64(F.concat(F.lit("POST "), target, F.lit(" HTTP/1.1\r\nHost: x\r\n\r\npage="), page.cast("string"), F.lit("&kind=odd")).cast("binary"))
+    how = F.when(page % 2 == 1, F.concat(F.lit("http:"), F.regexp_replace(sent, r"[\r\n]", ""))).otherwise(F.concat(F.lit("method:get;url:"), target))
+    fields = F.concat(
+        F.lit("tag:"), F.when(page % 5 == 0, "waf_log_websec").otherwise("waf_log_webaccess"), F.lit(";site_id:"), "site_id", F.lit(";raw_client_ip:192.0.2."), (page % 250).cast("string"), F.lit(";request_id:r"), page.cast("string"),
+        F.lit(";"), how, F.lit(";ser_status_code:"), (200 + page % 3).cast("string"), F.lit(";event_type:none;stat_time:2026-06-16 08:00:00"),
+    )
+    return page_requests(spark, sf_dir).select(F.to_json(F.struct(F.lit("2026-06-16T08:00:00+08:00").alias("timestamp"), fields.alias("msg"))).alias("value"))
+
+
+def gateway_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = log.sequence_tokens(log.parse_lines(gateway_lines(spark, sf_dir)))
+    return parsed.select(
+        "request_id", "site_id", "tag", "timestamp", "source_ip", "method", "status_code", "path", "path_pattern", "query", "url_type", "event_label", "event_type", "reason", "param_name_set", "param_type_pattern", "param_count",
+        "body_param_name_set", "body_param_type_pattern", "body_param_count", "api_request", "api_request_pattern", "api_request_param_names", "token", "full_request",
+    )
+
+
+def gateway_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.run_counts(log.parse_lines(gateway_lines(spark, sf_dir)))
+
+
 def openapi_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = profile.parameters(page_requests(spark, sf_dir), "page_id", "query", "param_pairs", ["site_id", "path", "method"])
     return profile.openapi_paths(p)
@@ -181,15 +228,46 @@ def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detection.findings_by_rule(rule_hits(spark, sf_dir))
-    return found.withColumns({"first_session": F.get("hit_session_ids", F.lit(0)), "last_session": F.element_at("hit_session_ids", -1)}).drop("hit_session_ids")
+    return detection.findings_by_rule(rule_hits(spark, sf_dir))
+
+
+EVIDENCE = 50
+
+
+def rule_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with their hits and the session's sequence, up to ``EVIDENCE`` sessions of each rule."""
+    steps = written(event_steps(spark, sf_dir).select("session_id", "step", "api", "k"))
+    used = detection.active(demo_rules(spark))
+    hits = written(detection.detect(steps, event_values(steps), detection.expressions(used)))
+    found = detection.session_findings(detection.capped_evidence(hits, EVIDENCE), steps, used)
+    shown = F.array_join(F.transform("expression_hits", lambda h: F.concat_ws("@", h["reason"], h["step"].cast("string"))), ",")
+    return found.select("fol_id", "session_id", F.col("source.scenario_id").alias("scenario_id"), shown.alias("hits"), F.array_join("api_sequence", ">").alias("trace"), F.col("filtered_noise_count").cast("bigint").alias("filtered_noise_count"))
+
+
+def rule_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = written(event_steps(spark, sf_dir).select("session_id", "step", "api", "k"))
+    used = detection.active(demo_rules(spark))
+    hits = written(detection.detect(steps, event_values(steps), detection.expressions(used)))
+    return detection.run_summary(hits, steps, used, EVIDENCE)
+
+
+def request_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query and body parameters of the pages' requests, a site's pages being a session."""
+    p = page_requests(spark, sf_dir).withColumn("step", F.row_number().over(Window.partitionBy("site_id").orderBy("page_id")))
+    body = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" BODY page="), F.col("page_id").cast("string"), F.lit("&kind=even+page"))).otherwise("")
+    return detection.request_values(p.select(F.col("site_id").alias("session_id"), "step", F.concat(F.lit("GET "), "raw_url", body).alias("token")))
+
+
+def business_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps left of the pages' requests without front-end files, and how many a site lost."""
+    p = page_requests(spark, sf_dir).withColumn("step", F.row_number().over(Window.partitionBy("site_id").orderBy("page_id")))
+    asset = F.when(F.col("page_id") % 3 == 0, "/static/app.js").when(F.col("page_id") % 5 == 0, "/logo.PNG?v=2").otherwise(F.col("path"))
+    return detection.business_steps(p.select(F.col("site_id").alias("session_id"), "step", F.concat_ws(" ", F.lit("GET"), asset).alias("api")))
 
 
 def noise_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions hit by the missing-step rule against sessions of one event."""
-    hit = rule_hits(spark, sf_dir).filter("fol_id = 'R2'")
-    single = event_sessions(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("n")).filter("n = 1")
-    return detection.noise_overlap(hit, single)
+    """Sessions hit by the missing-step rule against the noise of density clustering."""
+    return detection.noise_overlap(rule_hits(spark, sf_dir).filter("fol_id = 'R2'"), mining.noise_sessions(clusters(spark, sf_dir)))
 
 
 def object_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,9 +320,28 @@ def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(spark, sf_dir)["summary"]
 
 
+def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.members(clusters(spark, sf_dir))
+
+
+def nearest_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.members(clusters(spark, sf_dir), limit=5)
+
+
+def noise_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.noise_sessions(clusters(spark, sf_dir))
+
+
+def first_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = event_sessions(spark, sf_dir).withColumn("site_id", F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")))
+    return sessions.chosen(e, "s1", 100).groupBy("site_id", "session_id").agg(F.count("*").alias("session_length"))
+
+
 def auto_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mining.cluster_sessions(event_steps(spark, sf_dir).select("session_id", "step", "api"))
-    return found["labels"].join(found["distinct"], "seq").agg(F.lit(round(found["eps"], 6)).alias("eps"), F.count_if(F.col("cluster") >= 0).alias("clustered_sequences"), F.sum(F.when(F.col("cluster") < 0, F.col("n")).otherwise(0)).alias("noise_sessions"))
+    info = found["eps_info"]
+    own = [F.lit(round(float(info[c]), 6)).alias(c) for c in ("eps", "raw_eps", "k_distance_min", "k_distance_max", "k_distance_avg")]
+    return found["labels"].join(found["distinct"], "seq").agg(*own, F.lit(info["mode"]).alias("mode"), F.count_if(F.col("cluster") >= 0).alias("clustered_sequences"), F.sum(F.when(F.col("cluster") < 0, F.col("n")).otherwise(0)).alias("noise_sessions"))
 
 
 def demo_reviews(spark: SparkSession) -> DataFrame:
@@ -272,8 +369,8 @@ def upstream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    session_gap, session_gap_default, session_capped, session_length_hist, session_stream, dfg_edges, skip_edges, role_edges, trace_summary,
-    url_template, method_profile, parameter_profile, parameter_sets, request_samples, openapi_paths, value_typing,
-    label_left_join, label_counts, label_semi, label_anti, time_window, rule_hits, findings_by_rule, noise_overlap,
-    boundary_relations, project_support, actor_access, upstream_window, sequence_norms, close_sequences, dbscan_labels, cluster_summary, auto_eps, review_rules, review_summary,
+    gateway_events, gateway_counts, session_gap, session_gap_default, session_capped, session_length_hist, session_stream, first_sessions, dfg_edges, skip_edges, role_edges, trace_summary,
+    url_template, method_profile, parameter_profile, parameter_sets, request_samples, top_paths, site_totals, header_profile, path_parameters, openapi_paths, value_typing,
+    label_left_join, label_counts, label_semi, label_anti, time_window, rule_hits, findings_by_rule, rule_evidence, rule_run_summary, request_values, business_focus, noise_overlap,
+    boundary_relations, project_support, actor_access, upstream_window, sequence_norms, close_sequences, dbscan_labels, cluster_summary, cluster_members, nearest_members, noise_sessions, auto_eps, review_rules, review_summary,
 )

@@ -22,6 +22,7 @@ ev as (
 
 
 S = sessions(IDLE)
+NAME_SET = "array_to_string(list_sort(list_distinct(list_transform(pairs, lambda p: p.name))), ',')"
 LABEL = "case when bool_or(event_type = 'error') then 'abnormal' else 'normal' end as session_label"
 BY_SESSION = f"select user_id, segment, min(us) as start_us, max(us) as end_us, count(*) as session_length, {LABEL} from seg group by user_id, segment"
 
@@ -60,6 +61,9 @@ def kind(x: str) -> str:
     when length({x}) >= 24 and regexp_full_match({x}, '[A-Za-z0-9._~+/=-]+') then 'TOKEN' when contains({x}, ',') then 'LIST' else 'STR' end"""
 
 
+TYPE_PATTERN = f"array_to_string(list_transform(pairs, lambda p: p.name || '=<' || {kind('p.value')} || '>'), '&')"
+STATIC = r"'\.(jpg|jpeg|png|gif|css|js|txt|xml|ico|svg|woff|woff2|ttf|map|bmp|webp|mp4)$'"
+HEALTH = "(full_path in ('', '/', '/health', '/healthz') or starts_with(full_path, '/health/') or starts_with(full_path, '/healthz/'))"
 STRIPPED = r"regexp_replace(w, '^\s+|\s+$', '', 'g')"
 
 PAIR = f"""
@@ -124,7 +128,7 @@ with {S.strip()}, obj as (
   ) group by all
 )"""
 
-VECTORS = f"""
+VECTORS_OF = f"""
 with recursive {S.strip()}, lists as (
   select session_id, list(api order by step) as apis from steps group by session_id
 ), dist as (
@@ -149,8 +153,8 @@ with recursive {S.strip()}, lists as (
   select x.trace as a, y.trace as b, greatest(0, least(1, 1 - (any_value(p.dot) + any_value(x.len * y.len)) / any_value(x.norm * y.norm))) as dist
   from (select l.trace as a, r.trace as b, sum(l.v * r.v) as dot from vec l join vec r on l.feature = r.feature and l.trace < r.trace group by 1, 2) p
   join norm x on x.trace = p.a join norm y on y.trace = p.b group by 1, 2
-), near as (
-  select a, b, dist from pairs where dist <= 0.3 union all select b, a, dist from pairs where dist <= 0.3
+)<kth>, near as (
+  select a, b, dist from pairs where dist <= <eps> union all select b, a, dist from pairs where dist <= <eps>
 ), core as (
   select d.trace, d.head from dist d left join (select a, sum(d.n) as others from near join dist d on d.trace = b group by a) o on o.a = d.trace where d.n + coalesce(others, 0) >= 3
 ), edge as (
@@ -165,18 +169,55 @@ with recursive {S.strip()}, lists as (
   select trace, cluster from numbered
   union all select a, min(cluster) from near join numbered on numbered.trace = b where a not in (select trace from core) group by a
 )"""
-SUMMARY = """
+#: Distance of every two sequences; those without a shared feature have their lengths only.
+APART = "case when x.trace = y.trace then 0 else coalesce(p.dist, greatest(0, least(1, 1 - x.len * y.len / (x.norm * y.norm)))) end"
+KTH = f"""
+, steps_k as (
+  select a, dist, sum(m) over (partition by a order by dist range between unbounded preceding and current row) as reach from (
+    select x.trace as a, case when x.trace = y.trace then y.n - 1 else y.n end as m, {APART} as dist
+    from norm x cross join norm y left join pairs p on p.a = least(x.trace, y.trace) and p.b = greatest(x.trace, y.trace)
+  )
+), kd as (
+  select a as trace, min(dist) as k from steps_k where reach >= 2 group by a
+), runs as (
+  select k, sum(n) as n from kd join norm using (trace) group by k
+), placed as (
+  select k, n, coalesce(sum(n) over (order by k desc rows between unbounded preceding and 1 preceding), 0) as x0, sum(n) over () - 1 as last, max(k) over () as high, min(k) over () as low from runs
+), ends as (
+  select *, unnest([x0, x0 + n - 1]) as x from placed
+), chosen as (
+  select k as raw_eps, least(0.6, greatest(0.15, k)) as eps from ends
+  order by round(abs((low - high) * x - last * k + last * high) / sqrt((low - high) ^ 2 + last::double ^ 2), 12) desc, x limit 1
+)"""
+VECTORS = VECTORS_OF.replace("<kth>", "").replace("<eps>", "0.3")
+AUTO = VECTORS_OF.replace("<kth>", KTH).replace("<eps>", "(select eps + 1e-9 from chosen)")
+MEDOID = f"""
 , member as (
   select l.trace, cluster, d.n, d.head, d.length from labels l join dist d on d.trace = l.trace
-), sums as (
-  select m.trace, m.cluster, m.head, sum(o.n * case when o.trace = m.trace then 0 else coalesce(p.dist, 1) end) as total
-  from member m join member o on m.cluster = o.cluster left join (select a, b, dist from pairs where dist <= 0.6 union all select b, a, dist from pairs where dist <= 0.6) p on p.a = m.trace and p.b = o.trace group by all
+), within as (
+  select m.cluster, x.trace, o.trace as other, o.n, m.head, {APART} as dist
+  from member m join member o on m.cluster = o.cluster join norm x on x.trace = m.trace join norm y on y.trace = o.trace left join pairs p on p.a = least(m.trace, o.trace) and p.b = greatest(m.trace, o.trace)
 ), medoid as (
-  select * from (select *, row_number() over (partition by cluster order by round(total, 9), head) as r from sums) where r = 1
-)
+  select * from (select *, row_number() over (partition by cluster order by round(total, 9), head) as r from (select cluster, trace, head, sum(n * dist) as total from within group by all)) where r = 1
+), away as (
+  select w.cluster, s.session_id, round(w.dist, 6) as distance, len(s.apis)::int as length, w.other as trace
+  from within w join medoid d on d.cluster = w.cluster and d.trace = w.trace join lists s on array_to_string(s.apis, '>') = w.other where s.session_id <> d.head
+)"""
+SUMMARY = MEDOID + """
 select m.cluster::int as cluster, sum(m.n)::bigint as cluster_size, min(m.length)::int as min_length, max(m.length)::int as max_length, round(sum(m.n * m.length) / sum(m.n), 3) as avg_length, any_value(d.head) as representative, any_value(d.trace) as representative_trace
 from member m join medoid d on d.cluster = m.cluster group by m.cluster having sum(m.n) >= 3
 """
+NOISE = "select s.session_id, len(s.apis)::int as length, array_to_string(s.apis, '>') as trace from lists s left join labels l on l.trace = array_to_string(s.apis, '>') where l.trace is null"
+ONE_HIT = f"{HITS}, one_hit as (select *, row_number() over (partition by fol_id order by session_id) as r from (select distinct fol_id, session_id from hits))"
+GATEWAY = f"""
+with {PAGE.strip()}, lines as (
+  select *, page_id % 2 = 1 as odd, {TYPE_PATTERN} as types, {NAME_SET} as names, case when query <> '' then full_path || '?' || query else full_path end as sent,
+    case when regexp_matches(lower(full_path), {STATIC}) then 'static_resource' when {HEALTH} then 'health_check' else 'dynamic_request' end as url_type,
+    case when page_id % 2 = 1 then 'POST ' else 'GET ' end as verb
+  from shaped
+), tokens as (
+  select *, verb || path || case when types <> '' then '?' || types else '' end as pattern from lines
+)"""
 
 SQL = {
     "session_gap": f"with {S.strip()} {BY_SESSION.replace('start_us', 'start_ts').replace('end_us', 'end_ts')}",
@@ -218,8 +259,22 @@ SQL = {
     "time_window": "select event_type, count(*) as n, round(sum(value), 2) as total from events where ts between timestamp '2024-01-05 00:00:00' and timestamp '2024-01-06 00:00:00' group by event_type",
     "rule_hits": f"{HITS} select session_id, fol_id, 1 as expr, reason, step, parameter, detail from hits",
     "findings_by_rule": f"{HITS}, found as (select fol_id, session_id, count(*) as n from hits group by all) select fol_id, count(*) as hit_count, sum(n)::bigint as expression_hit_count, count(distinct session_id) as hit_session_count, min(session_id) as first_session, max(session_id) as last_session from found group by fol_id",
-    "noise_overlap": f"""{HITS}, h as (select distinct session_id from hits where fol_id = 'R2'), z as (select session_id from steps group by session_id having count(*) = 1)
-      select (select count(*) from h) as hit_sessions, (select count(*) from z) as noise_sessions, count(*) as overlap, round(count(*) / (select count(*) from h), 6) as share_of_hits, round(count(*) / (select count(*) from z), 6) as share_of_noise from h join z using (session_id)""",
+    "rule_evidence": f"""{ONE_HIT}, t as (select session_id, string_agg(api, '>' order by step) as trace from steps group by session_id)
+      select h.fol_id, h.session_id, h.fol_id as scenario_id, string_agg(reason || '@' || step, ',' order by step, reason, parameter, detail) as hits, any_value(trace) as trace, 0::bigint as filtered_noise_count
+      from hits h join one_hit o on o.fol_id = h.fol_id and o.session_id = h.session_id and o.r <= 50 join t on t.session_id = h.session_id group by h.fol_id, h.session_id""",
+    "rule_run_summary": f"""{ONE_HIT}, c as (select fol_id, count(*) as n from one_hit group by fol_id), e as (select rule as fol_id, coalesce(n, 0) as n from (values ('R1'), ('R2'), ('R3'), ('R4'), ('R5'), ('R6')) v(rule) left join c on fol_id = rule)
+      select fol_id, n as rule_hit_count, least(n, 50) as emitted_count, (select count(distinct session_id) from steps) as session_count, 0::bigint as filtered_noise_count, (select count(distinct session_id) from one_hit where r <= 50) as hit_session_count,
+        6::bigint as rule_count, (select sum(least(n, 50))::bigint from e) as finding_count from e""",
+    "request_values": f"""with {PAGE.strip()}, r as (select *, row_number() over (partition by site_id order by page_id)::int as step from shaped),
+      v as (select site_id, step, full_path, unnest(list_concat(pairs, case when page_id % 2 = 0 then [struct_pack(name := 'page', value := page_id::varchar), struct_pack(name := 'kind', value := 'even page')] else [] end)) as p from r)
+      select site_id as session_id, step, 'GET ' || full_path as api, p.name as name, p.value as value from v""",
+    "business_focus": f"""with {PAGE.strip()}, r as (select *, 'GET ' || case when page_id % 3 = 0 then '/static/app.js' when page_id % 5 = 0 then '/logo.PNG?v=2' else path end as api from shaped),
+      n as (select *, page_id % 3 = 0 or page_id % 5 = 0 as noisy from r), d as (select *, count_if(noisy) over (partition by site_id)::bigint as dropped from n)
+      select site_id as session_id, row_number() over (partition by site_id order by page_id)::int as step, api, dropped from d where not noisy""",
+    "noise_overlap": f"""{VECTORS}, missing as (
+        select session_id from (select *, max(case when api = 'view' then step end) over (partition by session_id order by step rows between unbounded preceding and 1 preceding) as before from steps) where api = 'purchase' and before is null
+      ), h as (select distinct session_id from missing), z as (select session_id from ({NOISE}))
+      select (select count(*) from h) as hit_sessions, (select count(*) from z) as noise_sessions, count(*) as overlap, round(count(*) / (select nullif(count(*), 0) from h), 6) as share_of_hits, round(count(*) / (select nullif(count(*), 0) from z), 6) as share_of_noise from h join z using (session_id)""",
     "boundary_relations": f"{OBJECTS} select project, issue, n from relations",
     "project_support": f"{OBJECTS} select project, sum(n)::bigint as support, count(*) as issue_count from relations group by project having sum(n) >= 3",
     "actor_access": f"""{OBJECTS}, likely as (select issue, project from (select *, row_number() over (partition by issue order by n desc, project) as r from relations) where r <= 3)
@@ -230,4 +285,27 @@ SQL = {
     "close_sequences": f"{VECTORS} select a as left_trace, b as right_trace, round(dist, 6) as dist from pairs where dist <= 0.3",
     "dbscan_labels": f"{VECTORS} select s.session_id, coalesce(l.cluster, -1)::int as cluster from lists s left join labels l on l.trace = array_to_string(s.apis, '>')",
     "cluster_summary": VECTORS + SUMMARY,
+    "cluster_members": f"{VECTORS}{MEDOID} select cluster::int as cluster, session_id, distance, length, trace from away",
+    "nearest_members": f"{VECTORS}{MEDOID} select cluster::int as cluster, session_id, distance, length, trace from (select *, row_number() over (partition by cluster order by distance, session_id) as r from away) where r <= 5",
+    "noise_sessions": f"{VECTORS} {NOISE}",
+    "auto_eps": f"""{AUTO}, s as (select min(k) as low, max(k) as high, sum(k * n) / sum(n) as mean from runs)
+      select round(eps, 6)::double as eps, round(raw_eps, 6) as raw_eps, round(low, 6) as k_distance_min, round(high, 6) as k_distance_max, round(mean, 6) as k_distance_avg, 'auto_k_distance_elbow' as mode,
+        (select count(*) from labels) as clustered_sequences, (select count(*) from ({NOISE})) as noise_sessions from chosen, s""",
+    "first_sessions": f"with {S.strip()} select 's1' as site_id, session_id, count(*) as session_length from seg, lateral (select user_id || '_' || segment as session_id) where user_id % 3 = 1 group by session_id order by session_id limit 100",
+    "top_paths": f"with {PAGE.strip()}, c as (select site_id, path, count(*) as request_count from shaped group by all) select site_id, path, request_count, rank::int as rank from (select *, row_number() over (partition by site_id order by request_count desc, path) as rank from c) where rank <= 3",
+    "site_totals": f"with {PAGE.strip()} select site_id, count(distinct path) as path_count, count(*) as request_count from shaped group by site_id",
+    "header_profile": f"""with {PAGE.strip()}, h as (select site_id, page_id, unnest(['Host', 'X-Page']) as param, unnest([site_id, page_id::varchar]) as value from page where page_id % 7 <> 0),
+      t as (select site_id, count(*) as request_count from page group by site_id), x as (select site_id, param, string_agg(value, ' | ' order by r) as examples from (select *, row_number() over (partition by site_id, param order by seen) as r from (select site_id, param, value, min(page_id) as seen from h group by all)) where r <= 8 group by site_id, param)
+      select h.site_id, 'header' as location, h.param, any_value(request_count) as request_count, count(*) as count, count(*) as present_count, any_value(case when h.param = 'Host' then {kind('h.site_id')} else 'INT' end) as types, any_value(examples) as examples
+      from h join t on t.site_id = h.site_id join x on x.site_id = h.site_id and x.param = h.param group by h.site_id, h.param""",
+    "path_parameters": f"""with {PAGE.strip()}, z as (select page_id, unnest(list_zip(list_filter(string_split(path, '/'), lambda p: p <> ''), list_filter(string_split(full_path, '/'), lambda p: p <> ''))) as p from shaped)
+      select page_id, regexp_extract(p[1], '^\\{{(.*)\\}}$', 1) as name, p[2] as value from z where regexp_full_match(p[1], '\\{{.*\\}}')""",
+    "gateway_events": rf"""{GATEWAY} select 'r' || page_id as request_id, site_id, case when page_id % 5 = 0 then 'waf_log_websec' else 'waf_log_webaccess' end as tag, '2026-06-16 08:00:00' as timestamp, '192.0.2.' || (page_id % 250) as source_ip, trim(verb) as method,
+      (200 + page_id % 3)::int as status_code, full_path as path, path as path_pattern, query, url_type, case when page_id % 5 = 0 then 'abnormal' else 'normal' end as event_label, 'none' as event_type, case when full_path = '' then 'missing_url' else 'ok' end as reason,
+      names as param_name_set, types as param_type_pattern, len(pairs)::int as param_count, case when odd then 'kind,page' else '' end as body_param_name_set, case when odd then 'page=<INT>&kind=<STR>' else '' end as body_param_type_pattern, case when odd then 2 else 0 end::int as body_param_count,
+      verb || sent as api_request, pattern as api_request_pattern, verb || path || case when names <> '' then '?' || names else '' end as api_request_param_names,
+      pattern || case when odd then ' BODY page=<INT>&kind=<STR>' else '' end as token, verb || sent || case when odd then ' BODY page=' || page_id || '&kind=odd' else '' end as full_request from tokens""",
+    "gateway_counts": f"""{GATEWAY}, k as (select *, full_path <> '' and url_type = 'dynamic_request' as kept from lines)
+      select count_if(full_path <> '')::bigint as ok, count_if(full_path = '')::bigint as missing_url, count_if(full_path <> '' and url_type = 'static_resource')::bigint as static_resource, count_if(full_path <> '' and url_type = 'health_check')::bigint as health_check,
+        count_if(kept and query <> '')::bigint as with_query, count_if(kept and odd)::bigint as with_body_params from k""",
 }
