@@ -289,3 +289,58 @@ def test_request_values_of_shapes(spark):
     rows = [("a", 1, "POST /x?p=1&q BODY {\"k\": [1, {\"n\": null}]}"), ("a", 2, "GET /y BODY u=%41&u=b"), ("a", 3, "not a request"), ("a", 4, None)]
     got = {(r["step"], r["name"], r["value"], r["api"]) for r in detection.request_values(spark.createDataFrame(rows, "session_id string, step int, token string")).collect()}
     assert got == {(1, "p", "1", "POST /x"), (1, "q", "", "POST /x"), (1, "k[0]", "1", "POST /x"), (1, "k[1].n", "None", "POST /x"), (2, "u", "A", "GET /y"), (2, "u", "b", "GET /y")}
+
+
+CONTEXT = "array<struct<api:string,summary:string,operation_id:string,parameters:array<string>,object_parameters:array<string>,sensitive_fields:array<string>>>"
+
+
+def test_risk_api_equals_loop(spark):
+    import re
+
+    rng = random.Random(4)
+    words = ["issue", "user/role", "delete", "search", "login", "page_tree", "export-all", "枚举对象", "GET", "rest", "x1y2", "config"]
+    scenes = []
+    for i in range(60):
+        text = " ".join(rng.choices(words + ["/rest/user/role", "attack"], k=6))
+        some = [(f"GET /{rng.choice(words)}/{rng.choice(words)}", rng.choice([None, "export"]), rng.choice(words), rng.choices(words, k=rng.randrange(4)), rng.choice([None, [], ["id"]]), rng.choice([None, ["role"]])) for _ in range(rng.randrange(5))]
+        scenes.append((i, text, rng.choice(["BOLA", "BFLA", "BOPLA", "AUTH_BYPASS", "RESOURCE_CONSUMPTION", "OTHER"]), some))
+    scenes.append((60, None, "BOLA", None))
+
+    def best(text, kind, context):
+        tokens = set()
+        for t in re.findall("[A-Za-z][A-Za-z0-9_/-]{2,}", text or ""):
+            t = t.strip("/").lower()
+            if t and t not in rules.PLAIN_TOKENS:
+                tokens |= {t} | {x for x in re.split("[/_-]+", t) if len(x) > 2}
+        tokens |= set(re.findall("[\u4e00-\u9fff]{2,}", text or ""))
+        found = []
+        for at, (api, summary, op, params, objects, sensitive) in enumerate(context or []):
+            t = " ".join([api, summary or "", op, " ".join(params)])
+            bonus = {"BOLA": 4 * bool(objects), "BFLA": 5 * bool(re.search(rules.ADMIN, t)), "BOPLA": 5 * bool(sensitive), "AUTH_BYPASS": 5 * bool(re.search(rules.AUTH, t)), "RESOURCE_CONSUMPTION": 4 * bool(re.search(rules.FREQUENT, t))}.get(kind, 0)
+            risky = 2 if re.search(rules.ATTACK, text) and re.search(rules.RISKY_PARTS, t.lower()) else 0
+            found.append((sum(3 if "/" in x else 1 for x in tokens if x in t.lower()) + bonus + risky, len(params), -at, api))
+        return (max(found)[3], max(found)[0]) if found else (None, None)
+
+    got = {r["i"]: (r["api"], r["score"]) for r in rules.risk_api(spark.createDataFrame(scenes, f"i int, text string, security_type string, context {CONTEXT}")).collect()}
+    assert got == {i: best(t, k, c) for i, t, k, c in scenes}
+
+
+def test_parameter_blocks_titles_and_bindings(spark):
+    seq = (["GET /a", "view", "POST /b"], ["POST /b"], "", "", "skip", ["GET /c", "GET /a"])
+    rows = [(1, True, 0.9, "p", [], [
+        ("", "重复调用", "", "", "", None, (["orderId", " "], [], [], "unknown", "", "reuse of issueKey"), "/trigger/7 and orderId", ""),
+        ("", "something", "", "", "", seq, None, "", ""),
+        ("", "", "", "", "", seq, (["k"], ["PUT /t"], ["GET /u"], "own", "here", "x"), "both", ""),
+        ("", "bare", "", "", "", None, None, "", ""),
+    ])]
+    raw = spark.createDataFrame(rows, reviews.REVIEW_DDL)
+    blocks = reviews.parameter_blocks(raw)
+    got = {r["pos"]: r for r in blocks.collect()}
+    assert got[0]["parameters"] == ["orderId", "issueKey", "triggerId"] and got[0]["target_apis"] == [] and got[0]["dependency"] == "stable_within_target_api"
+    assert got[1]["target_apis"] == ["GET /c"] and got[1]["context_apis"] == ["GET /a", "POST /b"] and got[1]["expected_source"] == "upstream_context_api"
+    assert (got[2]["target_apis"], got[2]["context_apis"], got[2]["dependency"], got[2]["expected_source"]) == (["PUT /t"], ["GET /u"], "own", "here")
+    assert got[3]["parameters"] == [] and got[3]["context_apis"] == []
+    assert sorted((r["pos"], r["parameter"], r["api"], r["role"]) for r in reviews.parameter_occurrences(blocks).collect()) == [(2, "k", "GET /u", "context_source"), (2, "k", "PUT /t", "target_parameter")]
+    assert [(r["pos"], r["source_api"], r["target_api"], r["relation"]) for r in reviews.context_bindings(blocks).collect()] == [(2, "GET /u", "PUT /t", "own")]
+    titles = [s["scenario_title"] for s in reviews.normalise(raw).first()["possible_security_scenarios"]]
+    assert titles == ["orderId 上下文不一致导致的对象级访问风险", "b 业务顺序约束绕过风险", "k 上下文参数与业务顺序共同绕过风险"]

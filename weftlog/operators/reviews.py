@@ -15,9 +15,16 @@ from pyspark.sql.types import StructType
 MIN_LENGTH, MAX_STEPS, HEAD, TAIL = 5, 40, 18, 12
 
 # Words by which answers are sorted.
-NO_RISK = r"(?i)(无明显|无参数风险|无顺序风险|无法确定|none|no obvious|not applicable)"
-SEQUENCE_SIGNAL = r"(?i)(跳过|越序|提前|重复|缺失|乱序|顺序|绕过|skip|reorder|repeat|missing|before|bypass)"
-PARAMETER_SIGNAL = r"(?i)(参数|上下文|替换|来源|绑定|对象|id|key|param|context|object|binding)"
+NO_RISK = r"(?i)(无明显|无参数风险|无顺序风险|无法确定|无法推断|依据不足|none|not applicable|n/a)"
+SEQUENCE_SIGNAL = r"(?i)(跳过|越序|提前|缺失|重复|先.*后|直接调用|绕过|order|sequence|repeat|missing|skip)"
+PARAMETER_SIGNAL = r"(?i)(参数|对象|标识|id|key|token|上下文|来源|绑定|中途替换|不一致|跨对象|parameter|context|binding)"
+SEQUENCE_TITLE = r"(顺序|跳过|越序|重复调用|资源消耗)"
+FOREIGN_TITLE = r"(重复调用|资源消耗|顺序|跳过|越序)"
+PARAMETER_NAME = r"\b([A-Za-z][A-Za-z0-9_]*(?:Id|ID|Key|Name|Token|Role|Permission|Status|Type|Level|Number))\b"
+TRIGGER = r"(?i)/trigger/[^/\s]+"
+PARAMETER_TITLES = {"BOLA": " 上下文不一致导致的对象级访问风险", "BOPLA": " 属性参数越权修改风险", "AUTH_BYPASS": " 认证上下文不一致风险", "": " 参数上下文一致性风险"}
+SEQUENCE_TITLES = {"RESOURCE_CONSUMPTION": " 重复调用资源消耗风险", "BFLA": " 高权限操作顺序绕过风险", "": " 业务顺序约束绕过风险"}
+BOTH_TITLE, NO_TITLE, ANY_OBJECT, ANY_API = " 上下文参数与业务顺序共同绕过风险", "安全场景依据不足", "对象参数", "接口"
 COUPLED = r"(?is)(同时|共同|两者|both|组合|顺序.{0,30}参数|参数.{0,30}顺序|上下文.{0,30}跳过|跳过.{0,30}上下文)"
 OBJECTS = r"(?i)(id|key|object|issue|project|user|avatar|trigger|content|page|space|对象|标识)"
 PROPERTIES = r"(?i)(reporter|assignee|status|securityLevel|visibility|属性|字段|状态|负责人)"
@@ -107,11 +114,77 @@ def security_type(s: Column, risk: Column) -> Column:
     )
 
 
+def listed(a: Column) -> Column:
+    """The non-blank entries of a list, trimmed; none for null."""
+    return F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def aligned_title(s: Column, risk: Column, security: Column) -> Column:
+    """The scenario's title if it speaks of its own risk, else one made of its first parameter or last call."""
+    title = F.coalesce(s["scenario_title"], F.lit(""))
+    par, seq = title.rlike(PARAMETER_SIGNAL), title.rlike(SEQUENCE_SIGNAL)
+    fits = F.when(risk == "parameter_consistency", par & ~title.rlike(FOREIGN_TITLE)).when(risk == "sequence_order", seq | title.rlike(SEQUENCE_TITLE)).when(risk == "both", par & seq).otherwise(F.lit(False))
+    calls = F.filter(listed(s["sequence_order_risk"]["normal_sequence_pattern"]), lambda x: x.rlike(API))
+    name = F.coalesce(F.get(listed(s["parameter_consistency_risk"]["key_parameters_or_objects"]), F.lit(0)), F.lit(ANY_OBJECT))
+    call = F.coalesce(F.regexp_extract(F.get(calls, F.size(calls) - 1), r"([^/]*)$", 1), F.lit(ANY_API))
+
+    def ending(titles: dict[str, str]) -> Column:
+        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in titles.items() for v in kv]), security), F.lit(titles[""]))
+
+    made = F.when(risk == "parameter_consistency", F.concat(name, ending(PARAMETER_TITLES))).when(risk == "sequence_order", F.concat(call, ending(SEQUENCE_TITLES))).when(risk == "both", F.concat(name, F.lit(BOTH_TITLE)))
+    return F.when(fits, title).otherwise(F.coalesce(made, F.nullif(title, F.lit("")), F.lit(NO_TITLE)))
+
+
+def parameter_blocks(reviews: DataFrame, trace: str | None = None) -> DataFrame:
+    """One row per scenario with its parameters and APIs filled in: cluster_index, pos, parameters, target_apis, context_apis, dependency, expected_source, risky_form.
+
+    Parameters are those named and those that read like one anywhere in the scenario. Without target APIs the
+    last known API is the target, without context APIs all others are the context; ``trace`` names a column
+    with the representative's calls. Null lists are empty, and a scenario without any API has neither.
+    """
+    cluster = listed(F.col(trace)) if trace else F.array().cast("array<string>")
+    d = reviews.select("cluster_index", cluster.alias("cluster"), F.posexplode("possible_security_scenarios").alias("pos", "s"))
+    s, par, seq = F.col("s"), F.col("s.parameter_consistency_risk"), F.col("s.sequence_order_risk")
+    text = F.concat_ws("\n", s["scenario_title"], s["security_type"], s["risk_type"], s["overall_reason"], s["later_check_hint"], sequence_text(s), parameter_text(s))
+    calls = lambda a: F.filter(listed(a), lambda x: x.rlike(API))
+    trigger = F.when(text.rlike(TRIGGER), F.array(F.lit("triggerId"))).otherwise(F.array().cast("array<string>"))
+    d = d.withColumns({
+        "parameters": F.array_distinct(F.concat(listed(par["key_parameters_or_objects"]), F.regexp_extract_all(text, F.lit(PARAMETER_NAME), F.lit(1)), trigger)),
+        "apis": F.array_distinct(F.concat(calls(seq["normal_sequence_pattern"]), calls(seq["related_apis"]), calls(F.col("cluster")))),
+    })
+    told = calls(par["target_apis"])
+    d = d.withColumn("target_apis", F.when((F.size(told) > 0) | (F.size("apis") == 0), told).otherwise(F.slice("apis", -1, 1)))
+    told = calls(par["context_apis"])
+    d = d.withColumn("context_apis", F.when(F.size(told) > 0, told).otherwise(F.array_except("apis", "target_apis")))
+    known = lambda x: F.when(~F.lower(F.trim(x)).isin("", "unknown"), F.trim(x))
+    bound = F.size("context_apis") > 0
+    return d.select(
+        "cluster_index", "pos", "parameters", "target_apis", "context_apis",
+        F.coalesce(known(par["parameter_dependency_relation"]), F.when(bound, "bound_to_upstream_context").otherwise("stable_within_target_api")).alias("dependency"),
+        F.coalesce(known(par["expected_parameter_source"]), F.when(bound, "upstream_context_api").otherwise("same_request_or_business_context")).alias("expected_source"),
+        F.trim(F.coalesce(par["risky_parameter_form"], F.lit(""))).alias("risky_form"),
+    )
+
+
+def parameter_occurrences(blocks: DataFrame) -> DataFrame:
+    """Where each parameter is looked for: one row per parameter and API, context APIs as its source, target APIs as its use."""
+    row = blocks.select("cluster_index", "pos", F.explode("parameters").alias("parameter"), "context_apis", "target_apis")
+    source = row.select("cluster_index", "pos", "parameter", F.explode("context_apis").alias("api"), F.lit("response_or_business_context").alias("location"), F.lit("context_source").alias("role"))
+    return source.union(row.select("cluster_index", "pos", "parameter", F.explode("target_apis").alias("api"), F.lit("path_query_body_or_header").alias("location"), F.lit("target_parameter").alias("role")))
+
+
+def context_bindings(blocks: DataFrame) -> DataFrame:
+    """One row per parameter, source API and target API, with their relation."""
+    row = blocks.select("cluster_index", "pos", F.explode("parameters").alias("parameter"), "context_apis", "target_apis", F.col("dependency").alias("relation"))
+    row = row.withColumn("source_api", F.explode("context_apis")).withColumn("target_api", F.explode("target_apis"))
+    return row.select("cluster_index", "pos", "parameter", "source_api", "target_api", "relation")
+
+
 def normalise(reviews: DataFrame) -> DataFrame:
     """Reviews with their scenarios' risk and security types set, unsupported scenarios and foreign blocks removed, and ``warnings``."""
     def scenario(s: Column) -> Column:
         risk = risk_type(s)
-        return s.withField("security_type", security_type(s, risk)).withField("risk_type", risk).withField("sequence_order_risk", F.when(risk != "parameter_consistency", s["sequence_order_risk"])).withField("parameter_consistency_risk", F.when(risk != "sequence_order", s["parameter_consistency_risk"]))
+        return s.withField("scenario_title", aligned_title(s, risk, security_type(s, risk))).withField("security_type", security_type(s, risk)).withField("risk_type", risk).withField("sequence_order_risk", F.when(risk != "parameter_consistency", s["sequence_order_risk"])).withField("parameter_consistency_risk", F.when(risk != "sequence_order", s["parameter_consistency_risk"]))
 
     kept = F.filter(F.transform(F.coalesce("possible_security_scenarios", F.array().cast(f"array<{SCENARIO_DDL}>")), scenario), lambda s: s["risk_type"] != "none")
     score = F.coalesce("trust_score", F.lit(0.0))

@@ -12,6 +12,13 @@ from weftlog.operators.reviews import API
 SECURITY_NAMES = {"对象级越权": "BOLA", "横向越权": "BOLA", "功能级越权": "BFLA", "纵向越权": "BFLA", "对象属性级越权": "BOPLA", "属性越权": "BOPLA", "认证绕过": "AUTH_BYPASS", "资源消耗": "RESOURCE_CONSUMPTION", "其他": "OTHER"}
 UNKNOWN_STEP = "无法确定"
 NO_PARAMETERS = ("无", "none", "n/a", "na")
+ADMIN = r"(?i)(admin|permission|role|config|workflow|scheme|manage|delete|project.?role)"
+AUTH = r"(?i)(login|auth|session|cookie|token|xsrf|csrf|secure)"
+FREQUENT = r"(?i)(search|upload|download|export|avatar|attachment|jql|cql|poll|notification|gadget|autocomplete)"
+ATTACK = r"(?i)(attack|攻击|漏洞|枚举|篡改|绕过|越权|高危|直接调用)"
+RISKY_PARTS = r"(leader|admin|delete|permission|config|token|search|export)"
+PLAIN_TOKENS = ("get", "post", "put", "patch", "delete", "api", "jira", "rest")
+TOKEN, HAN_TOKEN = r"[A-Za-z][A-Za-z0-9_/-]{2,}", r"[\u4e00-\u9fff]{2,}"
 # End of fixed values.
 
 def texts(a: Column) -> Column:
@@ -31,6 +38,37 @@ def normal_api(x: Column) -> Column:
     return F.when(t.rlike(API), F.concat_ws(" ", F.upper(F.regexp_extract(t, r"^(\S+)", 1)), F.regexp_extract(t, r"^\S+\s+(.*)$", 1))).otherwise(t)
 
 
+def score_tokens(text: Column) -> Column:
+    """Distinct words of a text to look for in an API: whole ones, their parts of three letters or more, and runs of Han characters."""
+    whole = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda x: F.lower(F.regexp_replace(x, "^/+|/+$", "")))
+    whole = F.filter(whole, lambda x: (x != "") & ~x.isin(*PLAIN_TOKENS))
+    parts = F.filter(F.flatten(F.transform(whole, lambda x: F.split(x, "[/_-]+"))), lambda x: F.length(x) >= 3)
+    return F.array_distinct(F.concat(whole, parts, F.regexp_extract_all(text, F.lit(HAN_TOKEN), F.lit(0))))
+
+
+def risk_api(scenes: DataFrame) -> DataFrame:
+    """``scenes`` (text, security_type, context) with ``api`` and ``score`` of the context's riskiest API.
+
+    ``context`` is an array of (api, summary, operation_id, parameters, object_parameters, sensitive_fields).
+    A word of the text in the API counts 1, one with a slash 3, and the security type has its bonus. Of equal
+    scores the one with more parameters wins, then the first. An empty or null context has none.
+    """
+    size = lambda a: F.coalesce(F.size(a), F.lit(0))
+    of = lambda kind, when, points: F.when((F.col("security_type") == kind) & when, points).otherwise(0)
+    marked = scenes.withColumn("__tokens", score_tokens(F.coalesce("text", F.lit(""))))
+
+    def scored(c: Column, i: Column) -> Column:
+        words = F.concat_ws(" ", F.coalesce(c["api"], F.lit("")), F.coalesce(c["summary"], F.lit("")), F.coalesce(c["operation_id"], F.lit("")), F.array_join(F.coalesce(c["parameters"], F.array().cast("array<string>")), " "))
+        low = F.lower(words)
+        score = F.aggregate(F.filter("__tokens", lambda t: F.contains(low, F.lower(t))), F.lit(0), lambda n, t: n + F.when(F.contains(t, F.lit("/")), 3).otherwise(1))
+        score = score + of("BOLA", size(c["object_parameters"]) > 0, 4) + of("BFLA", words.rlike(ADMIN), 5) + of("BOPLA", size(c["sensitive_fields"]) > 0, 5) + of("AUTH_BYPASS", words.rlike(AUTH), 5) + of("RESOURCE_CONSUMPTION", words.rlike(FREQUENT), 4)
+        score = score + F.when(F.col("text").rlike(ATTACK) & low.rlike(RISKY_PARTS), 2).otherwise(0)
+        return F.struct(score.alias("score"), size(c["parameters"]).alias("n"), (-i).alias("minus"), c["api"].alias("api"))
+
+    best = F.array_max(F.transform("context", scored))
+    return marked.withColumn("__best", best).withColumns({"api": F.col("__best.api"), "score": F.col("__best.score")}).drop("__best", "__tokens")
+
+
 def scenarios(reviews: DataFrame, include_low_trust: bool = False) -> DataFrame:
     """One row per scenario of trusted reviews, with its position."""
     kept = reviews if include_low_trust else reviews.filter(F.coalesce("is_trustworthy", F.lit(False)))
