@@ -357,8 +357,40 @@ def review_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("fol_id", "status", F.col("source.security_type").alias("security_type"), F.array_join(F.transform("logic_expressions", lambda e: e["formula"]), " | ").alias("formulas"))
 
 
+def part_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as reviewed clusters: every second has a parameter scenario with its own target, the others none of substance."""
+    size, even = F.col("p_size").cast("int"), F.col("p_size") % 2 == 0
+    listed = lambda *x: F.array(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+    sequence = F.struct(listed(F.concat(F.lit("GET /type/"), (size % 5).cast("string")), "POST /buy"), empty, none, none, none, empty)
+    parameter = F.struct(F.when(even, listed("orderId")).otherwise(empty), F.when(even, listed("POST /pay")).otherwise(empty), empty, none, none, none)
+    scenario = F.struct(none, F.col("p_name"), none, F.lit("low"), none, sequence, parameter, none, F.when(size % 3 == 0, "brandKey changes"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("cluster_index"), (size % 3 > 0).alias("is_trustworthy"), (size / 50.0).alias("trust_score"), F.col("p_brand").alias("business_pattern_name"), empty.alias("mixed_member_session_ids"), F.array(scenario).cast(f"array<{reviews.SCENARIO_DDL}>").alias("possible_security_scenarios"))
+    return p
+
+
+def context_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = reviews.parameter_blocks(part_reviews(spark, sf_dir))
+    return reviews.context_bindings(blocks).groupBy("parameter", "source_api", "target_api", "relation").agg(F.count("*").alias("n"))
+
+
+def parameter_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = reviews.parameter_blocks(part_reviews(spark, sf_dir))
+    return reviews.parameter_occurrences(blocks).groupBy("parameter", "api", "location", "role").agg(F.count("*").alias("n"))
+
+
+def api_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each site's riskiest path for a scenario that starts from its first page."""
+    c = page_requests(spark, sf_dir).groupBy("site_id", "path").agg(F.min("page_id").alias("at"))
+    none = F.array().cast("array<string>")
+    entry = F.struct("at", F.concat(F.lit("GET "), "path").alias("api"), F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("operation_id"), none.alias("parameters"), F.when(F.col("path").contains("{int}"), F.array(F.lit("id"))).alias("object_parameters"), none.alias("sensitive_fields"))
+    s = c.groupBy("site_id").agg(F.array_sort(F.collect_list(entry)).alias("context"), F.min(F.struct("at", "path")).alias("first"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("BOLA", "BFLA", "RESOURCE_CONSUMPTION")]), (F.length("site_id") % 3 + 1).cast("int"))
+    return rules.risk_api(s.select("site_id", F.concat(F.lit("attack on "), "first.path", F.lit(" search")).alias("text"), kind.alias("security_type"), "context")).select("site_id", "security_type", "api", "score")
+
+
 def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = reviews.summary(reviews.normalise(demo_reviews(spark)))
+    s = reviews.summary(reviews.normalise(part_reviews(spark, sf_dir)))
     return s.withColumn("low_trust_cluster_indexes", F.array_join(F.transform("low_trust_cluster_indexes", lambda x: x.cast("string")), ","))
 
 
@@ -372,5 +404,5 @@ QUERIES = (
     gateway_events, gateway_counts, session_gap, session_gap_default, session_capped, session_length_hist, session_stream, first_sessions, dfg_edges, skip_edges, role_edges, trace_summary,
     url_template, method_profile, parameter_profile, parameter_sets, request_samples, top_paths, site_totals, header_profile, path_parameters, openapi_paths, value_typing,
     label_left_join, label_counts, label_semi, label_anti, time_window, rule_hits, findings_by_rule, rule_evidence, rule_run_summary, request_values, business_focus, noise_overlap,
-    boundary_relations, project_support, actor_access, upstream_window, sequence_norms, close_sequences, dbscan_labels, cluster_summary, cluster_members, nearest_members, noise_sessions, auto_eps, review_rules, review_summary,
+    boundary_relations, project_support, actor_access, upstream_window, sequence_norms, close_sequences, dbscan_labels, cluster_summary, cluster_members, nearest_members, noise_sessions, auto_eps, review_rules, review_summary, context_bindings, parameter_occurrences, api_risk,
 )

@@ -219,7 +219,28 @@ with {PAGE.strip()}, lines as (
   select *, verb || path || case when types <> '' then '?' || types else '' end as pattern from lines
 )"""
 
+BLOCKS = """
+with b as (
+  select p_partkey, p_size, 'GET /type/' || (p_size % 5) as first, case when p_size % 2 = 0 then 'POST /pay' else 'POST /buy' end as target,
+    list_filter([case when p_size % 2 = 0 then 'orderId' end, case when p_size % 3 = 0 then 'brandKey' end], lambda x: x is not null) as params, case when p_size % 2 = 0 then ['GET /type/' || (p_size % 5), 'POST /buy'] else ['GET /type/' || (p_size % 5)] end as sources
+  from part
+)"""
+
 SQL = {
+    "review_summary": """select count(*) as reviewed_clusters, count_if(p_size % 3 > 0)::bigint as trustworthy_clusters, count_if(p_size % 3 = 0)::bigint as untrustworthy_clusters, round(avg(p_size / 50.0), 4) as avg_trust_score,
+      coalesce(sum(case when p_size % 3 > 0 and p_size % 2 = 0 then 1 else 0 end), 0)::bigint as possible_security_scenario_count, coalesce(string_agg(case when p_size / 50.0 < 0.6 then p_partkey::varchar end, ',' order by p_partkey), '') as low_trust_cluster_indexes from part""",
+    "context_bindings": f"{BLOCKS}, s as (select target, sources, unnest(params) as parameter from b) select parameter, source_api, target as target_api, 'bound_to_upstream_context' as relation, count(*) as n from (select *, unnest(sources) as source_api from s) group by all",
+    "parameter_occurrences": f"""{BLOCKS}, s as (select target, sources, unnest(params) as parameter from b)
+      select parameter, api, location, role, count(*) as n from (select parameter, unnest(sources) as api, 'response_or_business_context' as location, 'context_source' as role from s union all select parameter, target, 'path_query_body_or_header', 'target_parameter' from s) group by all""",
+    "api_risk": rf"""with {PAGE.strip()}, c as (select site_id, path, min(page_id) as opening from shaped group by all),
+      s as (select site_id, 'attack on ' || arg_min(path, opening) || ' search' as text, ['BOLA', 'BFLA', 'RESOURCE_CONSUMPTION'][length(site_id) % 3 + 1] as security_type from c group by site_id),
+      w as (select *, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_/-]{{2,}}'), lambda x: lower(regexp_replace(x, '^/+|/+$', '', 'g'))), lambda x: x not in ('', 'get', 'post', 'put', 'patch', 'delete', 'api', 'jira', 'rest')) as whole from s),
+      t as (select *, list_distinct(list_concat(whole, list_filter(flatten(list_transform(whole, lambda x: regexp_split_to_array(x, '[/_-]+'))), lambda x: length(x) >= 3))) as tokens from w),
+      r as (select t.site_id, security_type, 'GET ' || path as api, opening, coalesce(list_sum(list_transform(list_filter(tokens, lambda x: contains(lower('GET ' || path), x)), lambda x: case when contains(x, '/') then 3 else 1 end)), 0)
+          + case when security_type = 'BOLA' and contains(path, '{{int}}') then 4 when security_type = 'BFLA' and regexp_matches(lower(path), '(admin|permission|role|config|workflow|scheme|manage|delete|project.?role)') then 5
+            when security_type = 'RESOURCE_CONSUMPTION' and regexp_matches(lower(path), '(search|upload|download|export|avatar|attachment|jql|cql|poll|notification|gadget|autocomplete)') then 4 else 0 end
+          + case when regexp_matches(lower(path), '(leader|admin|delete|permission|config|token|search|export)') then 2 else 0 end as score from t join c on c.site_id = t.site_id)
+      select site_id, security_type, api, score::int as score from (select *, row_number() over (partition by site_id order by score desc, opening) as n from r) where n = 1""",
     "session_gap": f"with {S.strip()} {BY_SESSION.replace('start_us', 'start_ts').replace('end_us', 'end_ts')}",
     "session_gap_default": f"with {sessions(600).strip()} {BY_SESSION.replace('start_us', 'start_ts').replace('end_us', 'end_ts')}",
     "session_capped": CAPPED,
