@@ -368,3 +368,14 @@ def test_exact_groups_keep_smallest(spark):
     docs = spark.createDataFrame([(3, "x"), (1, "x"), (2, "y")], "doc_id bigint, text string")
     got = {r["id"]: (r["keep_id"], r["kept"]) for r in exact_groups(docs, keep="smallest").collect()}
     assert got == {1: (1, True), 2: (2, True), 3: (1, False)}
+
+
+def test_ids_equal_the_tokenizers():
+    """Marks that join letters, letters that change when lowered, names of special tokens, contractions, odd white space."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    whole, ids, draw = Tokenizer.from_file(path), packing.Ids(path), random.Random(1)
+    parts = [*"aAbIiJKsSTWHYyéÉßİıǅﬁΣς.,'!<|>01 \t\n\x1f 　̱̀̇̌̊ͅẞÅΩ", "<|endoftext|>", "<|ENDOFTEXT|>", "'S", "'LL", "it's"]
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 12))) for _ in range(5000)]
+    assert list(ids.of(texts)) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]

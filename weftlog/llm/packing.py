@@ -42,6 +42,15 @@ PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
+def lowered(text: bytes) -> bytes:
+    """A-Z in lower case, as the tokenizer would, so that fewer chunks differ.
+
+    A text with combining marks (led by CC or CD) stays, for they join letters before those are lowered, and so
+    does one that may name special tokens, which are told by their case.
+    """
+    return text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()
+
+
 class Ids:
     """Ids of whole texts as little-endian 32-bit bytes, with white-space chunks remembered.
 
@@ -75,7 +84,7 @@ class Ids:
                 split[chunk] = SPLIT.findall(text.lower())
             else:
                 self.chunks[chunk] = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        unseen = list({p for pieces in split.values() for p in pieces} - self.pieces.keys())
+        unseen = list({p for pieces in split.values() for p in pieces}.difference(self.pieces))
         if unseen:
             ids = np.array(self.bare.encode_batch_fast([" ".join(unseen)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
@@ -91,8 +100,8 @@ class Ids:
             self.chunks[chunk] = b"".join(map(self.pieces.__getitem__, pieces))
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [(t or "").encode("utf-8").split() for t in texts]
-        new = set().union(*split) - self.chunks.keys() if split else set()
+        split = [lowered((t or "").encode("utf-8")).split() for t in texts]
+        new = set().union(*split).difference(self.chunks)  # looks up the few, where a subtraction of keys walks the cache
         if new:
             self.learn(new if len(new) + len(self.chunks) <= CACHE else set().union(*split))
         for words in split:
