@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftlog.functions import text as t
 from weftlog.functions import url as u
-from weftlog.operators import boundary, detection, labeling, mining, profile, reviews, rules, sessions
+from weftlog.operators import boundary, detection, labeling, mining, openapi, profile, reviews, rules, sessions
 from weftlog.operators import events as log
 from weftlog.operators.graph import written
 from weftlog.streaming import sessions as streamed
@@ -161,6 +161,35 @@ def openapi_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.openapi_paths(p)
 
 
+def part_documents(spark: SparkSession, sf_dir: str, last: str) -> DataFrame:
+    """A document for each part: a path of its brand and column ``last``, a method by its size, parameters, and a nested body named from its name."""
+    p = table(spark, sf_dir, "part")
+    word = lambda i: F.split("p_name", " ")[i]
+    body = F.format_string('{"type":"object","required":["%1$s"],"properties":{"%1$s":{"type":"object","properties":{"role":{"type":"string"}}},"%2$s":{}}}', word(0), word(1))
+    op = F.format_string('{"summary":"%s","parameters":[{"name":"partId","in":"path","required":true,"schema":{"type":"integer"}},{"name":"token","in":"body","schema":{"type":"string","format":null}}],"requestBody":{"content":{"application/json":{"schema":%s}}}}', F.col("p_name"), body)
+    method = F.element_at(F.array(*[F.lit(m) for m in ("get", "put", "post")]), F.col("p_size") % 3 + 1)
+    path = F.concat(F.lit("/parts/"), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("/"), F.col(last).cast("string"), F.lit("/{partId}"))
+    return p.select(F.col("p_type").alias("site_id"), "p_partkey", F.concat(F.lit('{"openapi":"3.2.0","paths":{"'), path, F.lit('":{"'), method, F.lit('":'), op, F.lit('}}}')).alias("doc"))
+
+
+def openapi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = lambda c: F.array_join(F.transform(c, lambda p: p["name"]), ",").alias(c)
+    found = openapi.index(openapi.entries(part_documents(spark, sf_dir, "p_partkey")))
+    needed = F.array_join(F.transform(F.filter("parameters", lambda p: p["required"]), lambda p: F.concat_ws(":", p["name"], p["in"], p["type"])), ",")
+    return found.select("site_id", "api", "summary", names("parameters"), needed.alias("required"), names("object_parameters"), names("sensitive_fields"), names("auth_fields"))
+
+
+def openapi_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of odd parts as they are; into them are merged every fourth part's, and of the others those with a path that is new."""
+    docs = part_documents(spark, sf_dir, "p_size")
+    old, always, other = [openapi.entries(docs.filter(w)) for w in ("p_partkey % 2 = 1", "p_partkey % 4 = 0", "p_partkey % 4 = 2")]
+    new = always.union(openapi.unseen(other, old)).withColumn("ordinal", F.lit(1))
+    merged = openapi.merge(old, new)
+    listed = F.size(F.from_json(F.get_json_object("value", "$.parameters"), "array<string>"))
+    token = F.get_json_object("value", "$.requestBody.content['application/json'].schema.properties.token.type")
+    return merged.select("site_id", "path", "key", listed.alias("n_parameters"), F.coalesce(token, F.lit("")).alias("body_token"))
+
+
 def value_typing(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("w"))
     return words.groupBy(t.value_type(F.col("w")).alias("kind")).agg(F.count("*").alias("n"))
@@ -402,7 +431,7 @@ def upstream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     gateway_events, gateway_counts, session_gap, session_gap_default, session_capped, session_length_hist, session_stream, first_sessions, dfg_edges, skip_edges, role_edges, trace_summary,
-    url_template, method_profile, parameter_profile, parameter_sets, request_samples, top_paths, site_totals, header_profile, path_parameters, openapi_paths, value_typing,
+    url_template, method_profile, parameter_profile, parameter_sets, request_samples, top_paths, site_totals, header_profile, path_parameters, openapi_paths, openapi_index, openapi_merge, value_typing,
     label_left_join, label_counts, label_semi, label_anti, time_window, rule_hits, findings_by_rule, rule_evidence, rule_run_summary, request_values, business_focus, noise_overlap,
     boundary_relations, project_support, actor_access, upstream_window, sequence_norms, close_sequences, dbscan_labels, cluster_summary, cluster_members, nearest_members, noise_sessions, auto_eps, review_rules, review_summary, context_bindings, parameter_occurrences, api_risk,
 )

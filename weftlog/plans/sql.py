@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from weftlog.operators import openapi
 from weftlog.operators.mining import Weights
 from weftlog.plans.queries import CAP_EVENTS, CAP_SECONDS, IDLE
 
@@ -226,7 +227,15 @@ with b as (
   from part
 )"""
 
+PART = """d as (select *, p_type as site_id, ['get', 'put', 'post'][p_size % 3 + 1] as key, '/parts/' || replace(p_brand, '#', '-') || '/' as base from part)"""
+
 SQL = {
+    "openapi_index": f"""with {PART}, n as (select *, split_part(p_name, ' ', 1) as a, ['partId', 'token', split_part(p_name, ' ', 1), split_part(p_name, ' ', 1) || '.role', split_part(p_name, ' ', 2)] as names from d)
+      select site_id, upper(key) || ' ' || base || p_partkey || '/{{partId}}' as api, p_name as summary, array_to_string(names, ',') as parameters, 'partId:path:integer,' || a || ':body:object' as required,
+        {", ".join(f"array_to_string(list_filter(names, lambda x: regexp_matches(x, '{pattern}')), ',') as {name}" for name, pattern in (("object_parameters", openapi.OBJECT), ("sensitive_fields", openapi.SENSITIVE), ("auth_fields", openapi.AUTH)))} from n""",
+    "openapi_merge": f"""with {PART}, e as (select site_id, base || p_size || '/{{partId}}' as path, key, p_partkey % 4 as r from d), old as (select * from e where r % 2 = 1),
+      new as (select * from e where r = 0 or (r = 2 and not exists (select 1 from old where old.site_id = e.site_id and lower(old.path) = lower(e.path))))
+      select site_id, path, key, min(m) as n_parameters, max(t) as body_token from (select *, 2::int as m, '' as t from old union all select *, 1::int, 'string' from new) group by all""",
     "review_summary": """select count(*) as reviewed_clusters, count_if(p_size % 3 > 0)::bigint as trustworthy_clusters, count_if(p_size % 3 = 0)::bigint as untrustworthy_clusters, round(avg(p_size / 50.0), 4) as avg_trust_score,
       coalesce(sum(case when p_size % 3 > 0 and p_size % 2 = 0 then 1 else 0 end), 0)::bigint as possible_security_scenario_count, coalesce(string_agg(case when p_size / 50.0 < 0.6 then p_partkey::varchar end, ',' order by p_partkey), '') as low_trust_cluster_indexes from part""",
     "context_bindings": f"{BLOCKS}, s as (select target, sources, unnest(params) as parameter from b) select parameter, source_api, target as target_api, 'bound_to_upstream_context' as relation, count(*) as n from (select *, unnest(sources) as source_api from s) group by all",
