@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlog.llm import exact_dedup, language_id, mixing, packing, quality_crf, quality_rules, repeats, sharding, simhash, toxicity
+from weftlog.llm import alignment, exact_dedup, importance, language_id, mixing, packing, pieces, quality_crf, quality_rules, repeats, sharding, simhash, toxicity
 from weftlog.llm.common import held_out, text_or_empty, written
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, BYTE_LEVEL, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 SHARDS = 24
 #: Words of a repeated passage, at least.
 PASSAGE_WORDS = 20
@@ -21,10 +21,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def not_in_fold(modulus: int, remainder: int):
@@ -89,6 +89,19 @@ def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), held_out("id", 5, 0).alias("held_out"), "score", (F.col("score") >= TOXIC_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(documents(spark, sf_dir), tokenizer_path(PIECES), keep_ids=False).withColumnRenamed("id", "doc_id")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), tokenizer_path(BYTE_LEVEL), tokenizer_path(PIECES)).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,7 +110,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_stratified_shards, op2_exact_dedup, op3_tier_packing, op4_quality_crf, op5_simhash_groups,
-    op6_repeated_lines, op7_host_line_rules, op8_source_mix, op9_rank_order_language, op10_compression_toxicity, pipeline,
+    op6_repeated_lines, op7_host_line_rules, op8_source_mix, op9_rank_order_language, op10_compression_toxicity,
+    op11_importance_resampling, op12_sentencepiece, op13_tokenizer_alignment, pipeline,
 )
 
 
