@@ -20,7 +20,7 @@ SF2 = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "benchmark"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 

@@ -252,9 +252,39 @@ select doc_id, size, source_size, target, (size * (n + case when before + here <
 """
 
 
+OP11_SQL = f"""
+with texts as (
+  select doc_id, 0 as aim, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w, row_number() over () as rid from documents
+  union all
+  select null, 1, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), row_number() over () from benchmark
+), grams as (
+  select aim, rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as gram from texts
+), counted as materialized (
+  select aim, rid, gram, count(*) as n from grams group by all
+), hashed as materialized (
+  select gram, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(hx), 2), lambda i: ('0x' || substr(hx, i, 2))::bigint)),
+    lambda a, x: xor(a >> 8, ({CRC_TABLE})[(xor(a, x) & 255) + 1])), 4294967295::bigint) % {importance.BUCKETS} as bucket
+  from (select distinct gram, hex(encode(gram)) as hx from counted)
+), sums as (
+  select bucket, coalesce(sum(n) filter (aim = 0), 0) as s, coalesce(sum(n) filter (aim = 1), 0) as t from counted join hashed using (gram) group by bucket
+), gains as (
+  select bucket, floor(1000 * ln((t + 1)::double * ((sum(s) over ()) + {importance.BUCKETS})::double / ((s + 1)::double * ((sum(t) over ()) + {importance.BUCKETS})::double)))::bigint as gain from sums
+), weights as (
+  select rid, sum(n * gain)::bigint as weight, sum(n)::bigint as n_features from counted join hashed using (gram) join gains using (bucket) where aim = 0 group by rid
+), scored as (
+  select doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{importance.SEED}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5) / 4294967296.0)))::bigint as score
+  from texts left join weights using (rid) where aim = 0
+), placed as (
+  select *, row_number() over (partition by n_words >= {importance.MIN_WORDS} order by score desc, doc_id nulls first) as place, count(*) over (partition by n_words >= {importance.MIN_WORDS}) as n from scored
+)
+select doc_id, n_features, weight, score, case when n_words >= {importance.MIN_WORDS} and place <= n * {importance.PERCENT} // 100 then place end::bigint as rank from placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that SQL can express; the others are tested against brute force."""
     import corpus_pipeline
 
-    found = {"op1_stratified_shards": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_repeated_lines": OP6_SQL, "op7_host_line_rules": OP7_SQL, "op8_source_mix": OP8_SQL}
+    found = {"op1_stratified_shards": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op6_repeated_lines": OP6_SQL, "op7_host_line_rules": OP7_SQL, "op8_source_mix": OP8_SQL, "op11_importance_resampling": OP11_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
