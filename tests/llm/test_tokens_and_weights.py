@@ -55,7 +55,7 @@ def test_remembered_chunks_are_forgotten(model):
     small = flat.Remembered(model.encode_chunks, limit=5)
     for text in ("one two three", "one four five six seven eight nine", "two one"):
         raw = text.encode()
-        ids, _ = small.of(*flat.with_space(np.frombuffer(raw, np.uint8), np.array([len(raw)])))
+        ids, _ = small.of(flat.coded(*flat.with_space(np.frombuffer(raw, np.uint8), np.array([len(raw)]))))
         assert ids.tolist() == model.library.encode(text)
 
 

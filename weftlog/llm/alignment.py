@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 
 from weftlog.llm import pieces
 from weftlog.llm.common import written
-from weftlog.llm.flat import Decimals, Remembered, blocks, byte_table, gathered, runs, sha256_each, sums, with_space
+from weftlog.llm.flat import Decimals, Remembered, blocks, byte_table, coded, gathered, runs, sha256_each, sums, with_space
 
-#: Bytes of text whose links share a list of pairs, and links that are expanded at a time.
-LIST_BYTES = 16_000_000
-EXPANDED = 4_000_000
+#: Bytes of text that are aligned at a time, and that share a list of pairs; links that are expanded at a time.
+ALIGNED_BYTES = 1_000_000
+LIST_BYTES = 8_000_000
+EXPANDED = 2_000_000
 #: Links of a group from which on its equal tokens are counted instead of expanded.
 CROWDED = 10_000
 #: Ids of the second tokenizer are below this.
@@ -58,26 +59,26 @@ class ByteLevel:
         self.table, self.starts, self.lens = byte_table(entries)
         self.chunks = Remembered(self.encode_chunks)
 
-    def ids(self, text: str) -> list[int]:
-        return self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """No token spans chunks, so those that end in a solid character are tokenised in a row and told apart by their bytes."""
-        last = [c[-1] for c in chunks]
-        own = [i for i, b in enumerate(last) if b <= 32 or b >= 127]
-        row = [i for i, b in enumerate(last) if 32 < b < 127]
-        ids = np.array(self.ids(b"".join([chunks[i] for i in row]).decode()), np.int32)
-        ends, wanted = np.cumsum(self.lens[ids]), np.cumsum([len(chunks[i]) for i in row], dtype=np.int64)
+        last = np.array([c[-1] for c in chunks])
+        solid = (last > 32) & (last < 127)
+        row, own = np.flatnonzero(solid), np.flatnonzero(~solid)
+        ids = np.array(self.ids([b"".join([chunks[i] for i in row.tolist()]).decode()])[0], np.int32)
+        ends, wanted = np.cumsum(self.lens[ids]), np.cumsum(np.array([len(chunks[i]) for i in row.tolist()], np.int64))
         at = np.searchsorted(ends, wanted)
-        if not np.array_equal(ends[at.clip(max=max(0, len(ends) - 1))] if len(ends) else ends, wanted):
+        if len(wanted) and (at[-1] != len(ends) - 1 or not np.array_equal(ends[at], wanted)):
             raise ValueError("the tokenizer has tokens across white space, or changes texts")
-        parts = np.split(ids, (at + 1)[:-1]) if row else []
-        found: list = [None] * len(chunks)
-        for i, p in zip(row, parts, strict=True):
-            found[i] = p
-        for i in own:
-            found[i] = np.array(self.ids(chunks[i].decode()), np.int32)
-        return np.concatenate(found), np.array([len(p) for p in found], np.int64)
+        alone = self.ids([chunks[i].decode() for i in own.tolist()])
+        lens = np.empty(len(chunks), np.int64)
+        lens[row], lens[own] = np.diff(at, prepend=-1), [len(x) for x in alone]
+        starts = np.empty(len(chunks), np.int64)
+        starts[row], starts[own] = np.cumsum(lens[row]) - lens[row], len(ids) + np.cumsum(lens[own]) - lens[own]
+        ids = np.concatenate([ids, np.array([i for x in alone for i in x], np.int32)])
+        return ids[runs(starts, lens)], lens
 
 
 class Aligner:
@@ -96,8 +97,8 @@ class Aligner:
 
     def add(self, ids: pa.Array, data: np.ndarray, lens: np.ndarray) -> None:
         body, grown = with_space(data, lens)
-        a, n_a = self.a.chunks.of(body, grown)
-        b, n_b = self.b.chunks.of(body, grown)
+        chunks = coded(body, grown)
+        (a, n_a), (b, n_b) = self.a.chunks.of(chunks), self.b.chunks.of(chunks)
         # a text whose tokens do not give it back has none
         same = np.ones(len(lens), bool)
         for side, own, n in ((self.a, a, n_a), (self.b, b, n_b)):
@@ -156,7 +157,7 @@ class Aligner:
             times.append(n)
         key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         self.keys.append(key)
-        self.times.append(np.bincount(inverse, np.concatenate(times), minlength=len(key)).astype(np.int64))
+        self.times.append(np.bincount(inverse, np.concatenate(times), minlength=len(key)).astype(np.int32))
 
     def pack(self, block: int) -> Iterator[pa.RecordBatch]:
         """A row with the list of pairs, then the documents' rows."""
@@ -205,7 +206,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
             _LOADED[where] = Aligner(*where)
         aligner, block = _LOADED[where], TaskContext.get().partitionId() << 32
         aligner.clear()  # of a task that failed
-        for id_, data, lens in blocks(batches):
+        for id_, data, lens in blocks(batches, ALIGNED_BYTES):
             aligner.add(id_, data, lens)
             if aligner.bytes_ >= LIST_BYTES:
                 yield from aligner.pack(block)

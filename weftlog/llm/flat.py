@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,25 @@ def chunk_starts(body: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+class Coded(NamedTuple):
+    """Texts as chunks: the distinct ones, which of them stand in a row, and how many each text has."""
+
+    chunks: list[bytes]
+    chunk: np.ndarray
+    counts: np.ndarray
+
+
+def coded(body: np.ndarray, lens: np.ndarray) -> Coded:
+    """``body`` and ``lens`` are as ``with_space`` makes them."""
+    starts = chunk_starts(body, lens)
+    if not len(starts):
+        return Coded([], starts, np.zeros(len(lens), np.int64))
+    offsets = np.append(starts, len(body)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+    ends = np.cumsum(lens)
+    return Coded(found.dictionary.to_pylist(), found.indices.to_numpy(), np.searchsorted(starts, ends) - np.searchsorted(starts, ends - lens))
+
+
 class Remembered:
     """Token ids of texts, with each chunk encoded once by ``encode``: chunks to all their ids in a row and the counts."""
 
@@ -92,17 +112,12 @@ class Remembered:
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
         return np.fromiter(map(self.at.__getitem__, chunks), np.int64, len(chunks))
 
-    def of(self, body: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and how many each text has. ``body`` is as ``with_space`` makes it."""
-        starts = chunk_starts(body, lens)
-        if not len(starts):
-            return np.zeros(0, np.int32), np.zeros(len(lens), np.int64)
-        offsets = np.append(starts, len(body)).astype(np.int32)
-        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
-        chunk = self.where(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        ends = np.cumsum(lens)
-        counts = np.searchsorted(starts, ends) - np.searchsorted(starts, ends - lens)
-        return self.ids[runs(self.starts[chunk], self.lens[chunk])], sums(self.lens[chunk], counts)
+    def of(self, coded: Coded) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each text has."""
+        if not len(coded.chunk):
+            return np.zeros(0, np.int32), np.zeros(len(coded.counts), np.int64)
+        chunk = self.where(coded.chunks)[coded.chunk]
+        return self.ids[runs(self.starts[chunk], self.lens[chunk])], sums(self.lens[chunk], coded.counts)
 
 
 def gathered(table: np.ndarray, starts: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.flat import Decimals, Remembered, blocks, byte_table, gathered, runs, sha256_each, sums, with_space
+from weftlog.llm.flat import Decimals, Remembered, blocks, byte_table, coded, gathered, runs, sha256_each, sums, with_space
 
 SPACE = "▁"
 NEVER = np.iinfo(np.int32).max
@@ -214,7 +214,7 @@ class Pieces:
         """Ids of each text, without an end id."""
         raw = [t.encode() for t in texts]
         body, lens = with_space(np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64))
-        ids, counts = self.chunks.of(body, lens)
+        ids, counts = self.chunks.of(coded(body, lens))
         return np.split(ids, np.cumsum(counts)[:-1])
 
     def decoded(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +271,7 @@ def encode_decode(docs: DataFrame, model_path: str, end: bool = True, keep_ids:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = loaded(model_path)
         for id_, data, lens in blocks(batches):
-            ids, counts = model.chunks.of(*with_space(data, lens))
+            ids, counts = model.chunks.of(coded(*with_space(data, lens)))
             if end:
                 at = np.cumsum(counts)
                 ids, counts = np.insert(ids, at, model.library.eos_id()), counts + 1
