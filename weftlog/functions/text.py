@@ -10,6 +10,8 @@ FIELD = r"([A-Za-z_][A-Za-z0-9_]*):(.*?)(?=;[A-Za-z_][A-Za-z0-9_]*:|$)"
 REQUEST_LINE = r"(?i)\b(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s+(\S+)\s+HTTP/[0-9.]+"
 MESSAGE_KEYS = ("raw_log", "msg", "message")
 SENSITIVE = r"(?i)(password|passwd|pwd|secret|token|authorization|cookie|session|apikey|api_key|credential)"
+# Suffixes with a status: what follows it goes too; and the kind that may hold its text inside, or lack its end.
+STATUS_SUFFIX, OPEN_STATUS_SUFFIX = r"\s+\[\d+\](?:\s+.*)?$", r"\s+\[\d+(?:\s+.*)?\]?$"
 # End of fixed values.
 
 
@@ -98,11 +100,12 @@ def redact(name: Column, value: Column, most: int = 256) -> Column:
     return F.when(name.rlike(SENSITIVE), "<redacted>").otherwise(short)
 
 
-def clean_token(x: Column, body: bool = False) -> Column:
-    """A sequence token without status, action and label suffixes, and without its body if asked."""
-    t = F.regexp_replace(strip(x), r"\s+\[\d+(?:\s+.*)?\]?$", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"\s+action=.*$", ""), r"\s+label=.*$", "")
-    return strip(F.regexp_replace(t, r"(?is)\s+BODY\s+.*$", "") if body else t)
+def clean_token(x: Column, body: bool = False, status: str = STATUS_SUFFIX) -> Column:
+    """A sequence token without its status suffix, action and label, and without its body if asked."""
+    t = strip(F.regexp_replace(strip(x), status, ""))
+    for cut in (" action=", " label=", *((" BODY ",) if body else ())):
+        t = strip(F.substring_index(t, cut, 1))
+    return t
 
 
 def replace_first_field(line: Column, name: str, value: Column) -> Column:
@@ -117,3 +120,12 @@ def capped_log(count: Column, cap: int) -> Column:
 
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
+
+
+def is_object(x: Column) -> Column:
+    """Whether a text is one JSON object and nothing else, blanks around it aside.
+
+    Readers of JSON stop behind the first value, so the text is tried inside a list and inside an object.
+    """
+    one = (F.json_array_length(F.concat(F.lit("["), x, F.lit("]"))) == 1) & F.try_parse_json(F.concat(F.lit('{"a":'), x, F.lit("}"))).isNotNull()
+    return F.coalesce(F.ltrim(x).startswith("{") & one, F.lit(False))

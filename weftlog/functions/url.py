@@ -11,10 +11,10 @@ from weftlog.functions.text import strip
 STATIC_SUFFIXES = (".jpg", ".jpeg", ".png", ".gif", ".css", ".js", ".txt", ".xml", ".ico", ".svg", ".woff", ".woff2", ".ttf", ".map", ".bmp", ".webp", ".mp4")
 HEALTH_PATHS = ("", "/", "/health", "/healthz")
 HEALTH_PREFIXES = ("/health/", "/healthz/")
-# End of fixed values.
-
 UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 HEX = r"^[0-9a-fA-F]{8,}$"
+INTEGER, ISSUE_KEY, DATE, TOKEN = r"^-?\d+$", r"^[A-Za-z][A-Za-z0-9]+-\d+$", r"^\d{4}-\d{2}-\d{2}$", r"^[A-Za-z0-9_-]{24,}$"
+# End of fixed values.
 
 
 def percent_decode(x: Column) -> Column:
@@ -35,6 +35,11 @@ def raw_path(url: Column) -> Column:
     return F.regexp_replace(bare, r";[^/]*$", "")
 
 
+def target_path(target: Column) -> Column:
+    """Path of a request's target: one that begins with a slash is a path as a whole, ``//a/b`` too; others are URLs."""
+    return F.when(target.startswith("/"), raw_path(F.concat(F.lit("http://host"), target))).otherwise(raw_path(target))
+
+
 def raw_query(url: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(url, r"#.*$", ""), r"\?(.*)$", 1)
 
@@ -49,8 +54,8 @@ def query_pairs(query: Column) -> Column:
 def segment_template(part: Column, keep_braces: bool = False, file_hash: bool = True) -> Column:
     stem, suffix = F.regexp_extract(part, r"^(.*)\.([^.]*)$", 1), F.regexp_extract(part, r"^(.*)\.([^.]*)$", 2)
     case = (
-        F.when(part.rlike(UUID), "{uuid}").when(part.rlike(r"^-?\d+$"), "{int}").when(part.rlike(r"^[A-Za-z][A-Za-z0-9]+-\d+$"), "{issue_key}")
-        .when(part.rlike(HEX), "{hex}").when(part.rlike(r"^\d{4}-\d{2}-\d{2}$"), "{date}").when(part.rlike(r"^[A-Za-z0-9_-]{24,}$"), "{token}")
+        F.when(part.rlike(UUID), "{uuid}").when(part.rlike(INTEGER), "{int}").when(part.rlike(ISSUE_KEY), "{issue_key}")
+        .when(part.rlike(HEX), "{hex}").when(part.rlike(DATE), "{date}").when(part.rlike(TOKEN), "{token}")
     )
     if keep_braces:
         case = F.when(part.rlike(r"^\{.*\}$"), part).otherwise(case)
@@ -113,4 +118,4 @@ def request_target(token: Column) -> Column:
 def request_api(token: Column) -> Column:
     """``METHOD path`` of a token, path decoded, query and body dropped; a token of another shape as it is."""
     known = token.rlike(r"(?i)^\s*(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s+\S")
-    return F.when(known, F.concat_ws(" ", request_method(token), percent_decode(raw_path(request_target(token))))).otherwise(strip(token))
+    return F.when(known, F.concat_ws(" ", request_method(token), percent_decode(target_path(request_target(token))))).otherwise(strip(token))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftlog.functions.params import BOUNDARY, body_pairs
 from weftlog.functions.text import strip
-from weftlog.functions.url import query_pairs, raw_path, raw_query, request_api, request_target
+from weftlog.functions.url import query_pairs, raw_query, request_api, request_target, target_path
 
 # What counts as an object's field, segment or value.
 OBJECT_FIELD = r"(?i)(issue|project|space|content|page|comment|worklog|attachment|board|sprint|filter|dashboard|avatar|user|group|role|permission|account|tenant).*(id|key|name)?$|^(id|key)$"
@@ -71,7 +71,7 @@ def event_objects(steps: DataFrame, token: str = "token") -> DataFrame:
     """``steps`` with ``api``, ``objects`` (distinct, in order) and ``hints`` (values of actor-like fields)."""
     t = F.col(token)
     body = F.regexp_extract(t, r"(?is)\s+BODY\s+(.*)$", 1)
-    df = steps.withColumns({"api": request_api(t), "__query": query_pairs(raw_query(request_target(t))), "__body": body_pairs(body, BOUNDARY), "__path": raw_path(request_target(t))})
+    df = steps.withColumns({"api": request_api(t), "__query": query_pairs(raw_query(request_target(t))), "__body": body_pairs(body, BOUNDARY), "__path": target_path(request_target(t))})
     pairs = F.filter(F.concat("__query", "__body"), lambda p: p["name"].rlike(ACTOR_FIELD) & object_like(p["value"]))
     objects = F.array_distinct(F.concat(path_objects(F.col("__path")), pair_objects(F.col("__query"), "query"), pair_objects(F.col("__body"), "body")))
     return df.withColumns({"objects": objects, "hints": F.array_distinct(F.transform(pairs, lambda p: p["value"]))}).drop("__query", "__body", "__path")

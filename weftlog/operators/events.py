@@ -25,7 +25,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     o = lambda k: F.get_json_object("value", f"$.{k}")
     df = df.withColumn("http", t.base64_text(t.first_nonempty(f("http"), o("http"))))
     df = df.withColumn("raw_url", u.clean_target(t.first_nonempty(t.request_target(F.col("http")), f("url"), f("uri"), o("url"), o("uri"))))
-    df = df.withColumn("path", u.percent_decode(u.raw_path(F.col("raw_url"))))
+    df = df.withColumn("path", u.percent_decode(u.target_path(F.col("raw_url"))))
     df = df.withColumn("query", u.percent_decode(u.raw_query(F.col("raw_url"))))
     df = df.withColumns({
         "reason": F.when(F.coalesce("path", F.lit("")) == "", "missing_url").otherwise("ok"),

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from weftlog.functions.text import is_object
+
 MIN_LENGTH, MAX_STEPS, HEAD, TAIL = 5, 40, 18, 12
 
 # Words by which answers are sorted.
@@ -37,8 +39,15 @@ API = r"(?i)^(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+"
 # End of fixed values.
 
 SEQUENCE_DDL = "struct<normal_sequence_pattern:array<string>,possible_violation_sequence_pattern:array<string>,violated_order_constraint:string,missing_or_reordered_step:string,why_this_order_is_risky:string,related_apis:array<string>>"
-PARAMETER_DDL = "struct<key_parameters_or_objects:array<string>,target_apis:array<string>,context_apis:array<string>,parameter_dependency_relation:string,expected_parameter_source:string,risky_parameter_form:string>"
-SCENARIO_DDL = f"struct<scenario_id:string,scenario_title:string,security_type:string,risk_level:string,risk_type:string,sequence_order_risk:{SEQUENCE_DDL},parameter_consistency_risk:{PARAMETER_DDL},overall_reason:string,later_check_hint:string>"
+OCCURRENCE_DDL = "struct<parameter:string,api:string,location:string,role:string,evidence:string>"
+BINDING_DDL = "struct<source_api:string,target_api:string,parameter:string,relation:string,explanation:string>"
+PARAMETER_DDL = f"struct<key_parameters_or_objects:array<string>,target_apis:array<string>,context_apis:array<string>,parameter_dependency_relation:string,expected_parameter_source:string,risky_parameter_form:string,normal_parameter_sequence:array<string>,parameter_occurrences:array<{OCCURRENCE_DDL}>,context_binding:array<{BINDING_DDL}>>"
+ANGLE_DDL = "struct<angle:string,reason:string,related_apis:array<string>,related_parameters_or_objects:array<string>>"
+DETAILS = ("target_asset", "business_security_boundary", "risk_direction", "why_reasonable_in_this_cluster", "possible_attack_path", "later_rule_generation_hint")
+SCENARIO_DDL = (
+    f"struct<scenario_id:string,scenario_title:string,security_type:string,risk_level:string,risk_type:string,sequence_order_risk:{SEQUENCE_DDL},parameter_consistency_risk:{PARAMETER_DDL},overall_reason:string,later_check_hint:string,"
+    f"risk_score:double,{','.join(f'{c}:string' for c in DETAILS)},scenario_angles:array<{ANGLE_DDL}>>"
+)
 REVIEW_DDL = f"cluster_index int, is_trustworthy boolean, trust_score double, business_pattern_name string, mixed_member_session_ids array<string>, possible_security_scenarios array<{SCENARIO_DDL}>"
 
 
@@ -69,9 +78,9 @@ def review_with(clusters: DataFrame, reviewer: Callable[[pd.DataFrame], pd.DataF
 
 
 def parse_answers(answers: DataFrame, text: str = "answer") -> DataFrame:
-    """Reviews from answer texts; the outermost braces of an answer are taken, and what is no JSON is dropped."""
+    """Reviews from answer texts: what stands between the first and the last brace, if it is one object; other answers are dropped."""
     found = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return answers.filter(F.try_parse_json(found).isNotNull()).select(F.from_json(found, REVIEW_DDL).alias("r")).select("r.*")
+    return answers.filter(is_object(found)).select(F.from_json(found, REVIEW_DDL).alias("r")).select("r.*")
 
 
 def words(block: Column, fields: tuple[str, ...], lists: tuple[str, ...]) -> Column:

@@ -12,7 +12,7 @@ IDLE, MAX_SECONDS, MAX_EVENTS = 600, 7200, 500
 
 
 def client_key() -> Column:
-    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("raw_client_ip", "source_ip", "src_ip")], F.lit("unknown_client"))
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in ("raw_client_ip", "source_ip", "src_ip")], F.lit("unknown_ip"))
 
 
 def by_gap(events: DataFrame, keys: list[str], ts: str, order: list[str], idle: float = IDLE) -> DataFrame:

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlog.plans.queries import QUERIES
-from weftlog.plans.sql import SQL
+from weftlog.plans import queries as base
+from weftlog.plans import reviewed, reviewed_sql, sql
+
+QUERIES = (*base.QUERIES, *reviewed.QUERIES)
+SQL = sql.SQL | reviewed_sql.SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -373,27 +373,16 @@ def auto_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found["labels"].join(found["distinct"], "seq").agg(*own, F.lit(info["mode"]).alias("mode"), F.count_if(F.col("cluster") >= 0).alias("clustered_sequences"), F.sum(F.when(F.col("cluster") < 0, F.col("n")).otherwise(0)).alias("noise_sessions"))
 
 
-def demo_reviews(spark: SparkSession) -> DataFrame:
-    scenario = ("", "purchase without view", "", "high", "sequence_order", (["GET /view", "POST /cart", "POST /buy"], ["POST /buy"], "view before buy", "GET /view skipped", "step missing", []), None, "the view step is skipped", "")
-    bound = ("", "order id", "", "low", "parameter_consistency", None, (["orderId"], ["POST /buy"], ["GET /view"], "derived_from_context_api", "", "orderId replaced"), "id not from context", "")
-    none = ("", "nothing", "", "low", "both", None, None, "", "")
-    return spark.createDataFrame([(0, True, 0.9, "shop", [], [scenario, bound]), (1, True, 0.5, "shop", ["s9"], [none]), (2, False, 0.2, "other", [], [scenario])], reviews.REVIEW_DDL)
-
-
-def review_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules from normalised reviews: a fixed small input; the tables hold no reviews."""
-    made = rules.generate(reviews.normalise(demo_reviews(spark)))
-    return made.select("fol_id", "status", F.col("source.security_type").alias("security_type"), F.array_join(F.transform("logic_expressions", lambda e: e["formula"]), " | ").alias("formulas"))
-
-
 def part_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as reviewed clusters: every second has a parameter scenario with its own target, the others none of substance."""
     size, even = F.col("p_size").cast("int"), F.col("p_size") % 2 == 0
     listed = lambda *x: F.array(*[F.lit(v) if isinstance(v, str) else v for v in x])
     none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
     sequence = F.struct(listed(F.concat(F.lit("GET /type/"), (size % 5).cast("string")), "POST /buy"), empty, none, none, none, empty)
-    parameter = F.struct(F.when(even, listed("orderId")).otherwise(empty), F.when(even, listed("POST /pay")).otherwise(empty), empty, none, none, none)
-    scenario = F.struct(none, F.col("p_name"), none, F.lit("low"), none, sequence, parameter, none, F.when(size % 3 == 0, "brandKey changes"))
+    records = [F.lit(None).cast(f"array<{ddl}>") for ddl in (reviews.OCCURRENCE_DDL, reviews.BINDING_DDL)]
+    parameter = F.struct(F.when(even, listed("orderId")).otherwise(empty), F.when(even, listed("POST /pay")).otherwise(empty), empty, none, none, none, empty, *records)
+    more = [F.lit(None).cast("double"), *[none for _ in reviews.DETAILS], F.lit(None).cast(f"array<{reviews.ANGLE_DDL}>")]
+    scenario = F.struct(none, F.col("p_name"), none, F.lit("low"), none, sequence, parameter, none, F.when(size % 3 == 0, "brandKey changes"), *more)
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("cluster_index"), (size % 3 > 0).alias("is_trustworthy"), (size / 50.0).alias("trust_score"), F.col("p_brand").alias("business_pattern_name"), empty.alias("mixed_member_session_ids"), F.array(scenario).cast(f"array<{reviews.SCENARIO_DDL}>").alias("possible_security_scenarios"))
     return p
 
@@ -433,5 +422,5 @@ QUERIES = (
     gateway_events, gateway_counts, session_gap, session_gap_default, session_capped, session_length_hist, session_stream, first_sessions, dfg_edges, skip_edges, role_edges, trace_summary,
     url_template, method_profile, parameter_profile, parameter_sets, request_samples, top_paths, site_totals, header_profile, path_parameters, openapi_paths, openapi_index, openapi_merge, value_typing,
     label_left_join, label_counts, label_semi, label_anti, time_window, rule_hits, findings_by_rule, rule_evidence, rule_run_summary, request_values, business_focus, noise_overlap,
-    boundary_relations, project_support, actor_access, upstream_window, sequence_norms, close_sequences, dbscan_labels, cluster_summary, cluster_members, nearest_members, noise_sessions, auto_eps, review_rules, review_summary, context_bindings, parameter_occurrences, api_risk,
+    boundary_relations, project_support, actor_access, upstream_window, sequence_norms, close_sequences, dbscan_labels, cluster_summary, cluster_members, nearest_members, noise_sessions, auto_eps, review_summary, context_bindings, parameter_occurrences, api_risk,
 )

@@ -31,13 +31,16 @@ def trace_text(steps: DataFrame) -> DataFrame:
 
 
 def append_fields(line: Column, **fields: Column) -> Column:
-    """The line as JSON with more fields: spliced into an object, else wrapped with the line as ``raw``."""
+    """The line as JSON with more fields: spliced before its last brace, else wrapped with the line as ``raw_line``.
+
+    Only line ends are cut off it, so that a line with blanks behind its brace is wrapped. An empty object becomes
+    one of the new fields alone.
+    """
     extra = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
-    trimmed = F.regexp_replace(line, r"\s+$", "")
-    empty = trimmed.rlike(r"^\s*\{\s*\}$")
-    spliced = F.concat(F.regexp_replace(trimmed, r"\}$", ""), F.lit(","), F.substring(extra, F.lit(2), F.length(extra)))
-    wrapped = F.to_json(F.struct(line.alias("raw"), *[v.alias(k) for k, v in fields.items()]))
-    return F.when(empty, extra).when(trimmed.endswith("}"), spliced).otherwise(wrapped)
+    bare = F.regexp_replace(line, r"\n+$", "")
+    spliced = F.concat(F.substring(bare, F.lit(1), F.length(bare) - 1), F.lit(","), F.substring(extra, F.lit(2), F.length(extra)))
+    wrapped = F.to_json(F.struct(bare.alias("raw_line"), *[v.alias(k) for k, v in fields.items()]))
+    return F.when(bare.rlike(r"^\s*\{\s*\}$"), extra).when(bare.endswith("}"), spliced).otherwise(wrapped)
 
 
 def new_rows(fresh: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
