@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ STATUS_SUFFIX, OPEN_STATUS_SUFFIX = r"\s+\[\d+\](?:\s+.*)?$", r"\s+\[\d+(?:\s+.*
 # End of fixed values.
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x``, with ``x`` in the expression once however often ``f`` uses it: filters over long chains of columns stay small."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends (``trim`` takes spaces only)."""
     return F.regexp_replace(x, r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftlog.functions.text import strip
+from weftlog.functions.text import let, strip
 
 # Static suffixes and health checks.
 STATIC_SUFFIXES = (".jpg", ".jpeg", ".png", ".gif", ".css", ".js", ".txt", ".xml", ".ico", ".svg", ".woff", ".woff2", ".ttf", ".map", ".bmp", ".webp", ".mp4")
@@ -19,9 +19,13 @@ INTEGER, ISSUE_KEY, DATE, TOKEN = r"^-?\d+$", r"^[A-Za-z][A-Za-z0-9]+-\d+$", r"^
 
 def percent_decode(x: Column) -> Column:
     """Percent-decoding that keeps ``+`` and malformed escapes, and reads bad UTF-8 as U+FFFD."""
-    whole = F.regexp_replace(x, r"%(?![0-9A-Fa-f]{2})", "%25")
-    decoded = F.make_valid_utf8(F.try_url_decode(F.replace(whole, F.lit("+"), F.lit("%2B"))))
-    return F.when(x.contains("%"), F.coalesce(decoded, x)).otherwise(x)
+
+    def decoded(text: Column) -> Column:
+        whole = F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25")
+        plain = F.make_valid_utf8(F.try_url_decode(F.replace(whole, F.lit("+"), F.lit("%2B"))))
+        return F.when(text.contains("%"), F.coalesce(plain, text)).otherwise(text)
+
+    return let(x, decoded)
 
 
 def clean_target(x: Column) -> Column:
@@ -36,8 +40,9 @@ def raw_path(url: Column) -> Column:
 
 
 def target_path(target: Column) -> Column:
-    """Path of a request's target: one that begins with a slash is a path as a whole, ``//a/b`` too; others are URLs."""
-    return F.when(target.startswith("/"), raw_path(F.concat(F.lit("http://host"), target))).otherwise(raw_path(target))
+    """Path of a request's target: one that begins with a slash is a path as a whole, ``//a/b`` too; others may be URLs."""
+    bare = F.regexp_replace(F.regexp_replace(target, r"[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    return F.regexp_replace(bare, r";[^/]*$", "")
 
 
 def raw_query(url: Column) -> Column:
@@ -73,14 +78,15 @@ def path_template(path: Column, keep_braces: bool = False, file_hash: bool = Tru
 
 
 def path_class(path: Column) -> Column:
-    low = F.lower(path)
-    static = F.lit(False)
-    for suffix in STATIC_SUFFIXES:
-        static = static | low.endswith(suffix)
-    health = path.isin(*HEALTH_PATHS)
-    for prefix in HEALTH_PREFIXES:
-        health = health | path.startswith(prefix)
-    return F.when(static, "static_resource").when(health, "health_check").otherwise("dynamic_request")
+    def named(p: Column) -> Column:
+        static, health = F.lit(False), p.isin(*HEALTH_PATHS)
+        for suffix in STATIC_SUFFIXES:
+            static = static | F.lower(p).endswith(suffix)
+        for prefix in HEALTH_PREFIXES:
+            health = health | p.startswith(prefix)
+        return F.when(static, "static_resource").when(health, "health_check").otherwise("dynamic_request")
+
+    return let(path, named)
 
 
 def join_query(path: Column, query: Column) -> Column:

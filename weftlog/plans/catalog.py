@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftlog.plans import queries as base
-from weftlog.plans import reviewed, reviewed_sql, sql
+from weftlog.plans import logged, logged_sql, reviewed, reviewed_sql, sql
 
-QUERIES = (*base.QUERIES, *reviewed.QUERIES)
-SQL = sql.SQL | reviewed_sql.SQL
+QUERIES = (*base.QUERIES, *reviewed.QUERIES, *logged.QUERIES)
+SQL = sql.SQL | reviewed_sql.SQL | logged_sql.SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
