@@ -136,3 +136,19 @@ def supported(relations: DataFrame, left: str, right: str, min_support: int = MI
     """Per ``left``: support and distinct ``right``, where support reaches the minimum; widest first."""
     out = relations.groupBy(left).agg(F.sum("n").alias("support"), F.count("*").alias(f"{right}_count"))
     return out.filter(F.col("support") >= min_support).orderBy(F.desc(f"{right}_count"), F.desc("support"), left)
+
+
+def widest(relations: DataFrame, left: str, right: str, min_support: int = MIN_SUPPORT, top_items: int = 20, limit: int = 20) -> DataFrame:
+    """The first ``limit`` rows of ``supported``, each with its ``top_items`` most frequent ``right`` as (value, count); 0 means all.
+
+    Of items as frequent as each other, and of rows as wide and as well supported, the first by name count. Both limits
+    apply within tasks before anything is shuffled for them.
+    """
+    rows = supported(relations, left, right, min_support)
+    rows = rows.limit(limit) if limit else rows
+    items = relations.join(F.broadcast(rows.select(left)) if limit else rows.select(left), left, "left_semi")
+    if top_items:
+        rank = F.row_number().over(Window.partitionBy(left).orderBy(F.desc("n"), right))
+        items = items.withColumn("__r", rank).filter(F.col("__r") <= top_items)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), F.col(right).alias("value")))), lambda x: F.struct(x["value"].alias("value"), (-x["minus"]).alias("count")))
+    return rows.join(items.groupBy(left).agg(listed.alias(f"{right}s")), left)

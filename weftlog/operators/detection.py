@@ -156,16 +156,34 @@ def capped_evidence(hits: DataFrame, most: int) -> DataFrame:
     return hits.join(first, ["fol_id", "session_id"], "left_semi")
 
 
+#: What a finding tells of its rule: the field, and where generated rules have it, the first that is there.
+TOLD = {
+    "scenario_id": ("source",), "scenario_title": ("source",), "security_type": ("scenario_summary", "source"), "risk_level": ("scenario_summary",),
+    "business_pattern_name": ("source",), "overall_reason": ("scenario_summary",),
+}
+
+
+def told(rules: DataFrame) -> DataFrame:
+    """fol_id, source and the fields of ``TOLD``; those that the rules lack are empty."""
+    held = {c: rules.schema[c].dataType.names for c in ("source", "scenario_summary") if c in rules.columns}
+    of = lambda name, where: [F.col(f"{c}.{name}").cast("string") for c in where if name in held.get(c, [])]
+    return rules.select("fol_id", "source", *[F.coalesce(*of(name, where), F.lit("")).alias(name) for name, where in TOLD.items()])
+
+
 def session_findings(hits: DataFrame, steps: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row per rule and session hit: the rule's source, the hits by expression and step, and the session's sequence.
+    """One row per rule and session hit: what the rule says (``TOLD``), the hits by expression and step, and the session's context.
 
-    ``steps`` may have ``dropped``, the front-end requests that were left out of the session.
+    ``steps`` may have ``dropped``, the front-end requests that were left out of the session, ``token``, the requests as
+    sent, which make ``raw_sequence``, and ``source_ip``. Without them these are 0, empty and empty.
     """
     own = hits.groupBy("fol_id", "session_id").agg(F.array_sort(F.collect_list(F.struct("expr", "step", "reason", "parameter", "detail"))).alias("expression_hits"))
-    dropped = F.max("dropped") if "dropped" in steps.columns else F.max(F.lit(0))
-    sequence = F.transform(F.array_sort(F.collect_list(F.struct("step", "api"))), lambda x: x["api"])
-    context = steps.join(own.select("session_id").distinct(), "session_id", "left_semi").groupBy("session_id").agg(sequence.alias("api_sequence"), dropped.alias("filtered_noise_count"))
-    return own.join(context, "session_id", "left").join(rules.select("fol_id", "source"), "fol_id")
+    has = set(steps.columns)
+    dropped = F.max("dropped") if "dropped" in has else F.max(F.lit(0))
+    sequence = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("step", c))), lambda x: x[c])
+    raw = sequence("token") if "token" in has else F.array().cast("array<string>")
+    source = F.coalesce(F.max("source_ip"), F.lit("")) if "source_ip" in has else F.lit("")
+    context = steps.join(own.select("session_id").distinct(), "session_id", "left_semi").groupBy("session_id").agg(sequence("api").alias("api_sequence"), raw.alias("raw_sequence"), source.alias("source_ip"), dropped.alias("filtered_noise_count"))
+    return own.join(context, "session_id", "left").join(told(rules), "fol_id")
 
 
 def run_summary(hits: DataFrame, steps: DataFrame, rules: DataFrame, most: int = 0) -> DataFrame:

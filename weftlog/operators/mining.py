@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftlog.functions.text import capped_log, clamp
 from weftlog.operators.graph import components, written
+from weftlog.operators.ranges import before
 
 #: Tasks that a cluster's sum of a feature is dealt to.
 SALTS = 16
@@ -116,8 +117,8 @@ def kth_distances(distinct: DataFrame, pairs: DataFrame, vector: DataFrame, norm
     """seq, n, k_dist: the distance of the k-th nearest other session, k = max(1, min(min_samples - 1, total - 1)).
 
     ``pairs`` has the close ones. A sequence with too few of those is compared with all that share a feature
-    with it; one that shares too little for the length feature not to matter, with every sequence. A lone
-    session has no such distance.
+    with it; one that shares too little for the length feature not to matter, also with as many of the others as
+    may be nearest by that feature. A lone session has no such distance.
     """
     k = max(1, min(min_samples - 1, total - 1))
     weight = distinct.select(F.col("seq").alias("o"), F.col("n").alias("m"))
@@ -143,17 +144,21 @@ def kth_distances(distinct: DataFrame, pairs: DataFrame, vector: DataFrame, norm
     reached = kth(lacking, sharing).join(ratio, "seq").join(F.broadcast(greatest)).filter(F.col("k_dist") <= 1 - F.col("ratio") * F.col("greatest"))
     near = written(reached.select("seq", "k_dist"))
     left = written(lacking.join(near, "seq", "left_anti"))
-    strange = left.join(ratio, "seq").crossJoin(ratios).filter("seq != o").join(sharing, ["seq", "o"], "left_anti").withColumn("dot", F.lit(0.0)).select("seq", "o", apart)
+    # strangers are the nearer the greater their own share of length, so of all sequences in that order the first few
+    # suffice: one for each session wanted, one for each sequence that shares a feature, and one for itself
+    shared = sharing.join(left, "seq", "left_semi").groupBy("seq").agg(F.count("*").alias("s"))
+    wanted = left.join(shared, "seq", "left").join(ratio, "seq").select("seq", "ratio", F.explode(F.sequence(F.lit(0), F.coalesce("s", F.lit(0)) + k)).alias("place"), F.pmod(F.hash("seq"), F.lit(SALTS)).alias("salt"))
+    ladder = before(ratios, [F.desc("other"), F.asc("o")], "place").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    strange = wanted.join(ladder, ["place", "salt"]).filter("seq != o").join(sharing, ["seq", "o"], "left_anti").withColumn("dot", F.lit(0.0)).select("seq", "o", apart)
     far = kth(left, sharing.join(left, "seq", "left_semi").union(strange))
     return distinct.select("seq", "n").join(found.union(near).union(far), "seq")
 
 
 def elbow(k_dist: DataFrame) -> float:
-    """The k-distance farthest from the chord of the falling curve; the first of equals. One row per distinct value is windowed."""
-    runs = k_dist.groupBy("k_dist").agg(F.sum("n").alias("n"))
-    before = Window.orderBy(F.desc("k_dist")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    runs = runs.withColumn("x0", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumns({"last": F.sum("n").over(whole) - 1, "high": F.max("k_dist").over(whole), "low": F.min("k_dist").over(whole)})
+    """The k-distance farthest from the chord of the falling curve; the first of equals. Distinct values are placed range by range."""
+    runs = before(k_dist.groupBy("k_dist").agg(F.sum("n").alias("n")), [F.desc("k_dist")], "x0", "n")
+    whole = runs.agg((F.sum("n") - 1).alias("last"), F.max("k_dist").alias("high"), F.min("k_dist").alias("low"))
+    runs = runs.crossJoin(F.broadcast(whole))  # one row
     ends = runs.select("*", F.explode(F.array(F.col("x0"), F.col("x0") + F.col("n") - 1)).alias("x"))
     away = F.abs((F.col("low") - F.col("high")) * F.col("x") - F.col("last") * F.col("k_dist") + F.col("last") * F.col("high")) / F.sqrt((F.col("low") - F.col("high")) ** 2 + F.col("last").cast("double") ** 2)
     best = ends.select(F.round(away, 12).alias("away"), "x", "k_dist").orderBy(F.desc("away"), "x").first()
@@ -172,7 +177,7 @@ def dbscan(distinct: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame
     inner = near.join(core.select(F.col("seq").alias("a")), "a", "left_semi").join(core.select(F.col("seq").alias("b")), "b", "left_semi")
     rooted = components(core.select(F.col("seq").alias("node")), inner.filter("a < b")).withColumnRenamed("node", "seq").join(core, "seq")
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
-    number = heads.withColumn("cluster", F.row_number().over(Window.orderBy("head")) - 1).select("root", "cluster")  # one row per cluster
+    number = before(heads, [F.asc("head")], "cluster").select("root", F.col("cluster").cast("int").alias("cluster"))
     cores = written(rooted.join(number, "root").select("seq", "cluster"))
     border = near.join(cores.withColumnRenamed("seq", "b"), "b").join(cores.select(F.col("seq").alias("a")), "a", "left_anti").groupBy(F.col("a").alias("seq")).agg(F.min("cluster").alias("cluster"))
     return distinct.select("seq").join(cores.union(border), "seq", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))

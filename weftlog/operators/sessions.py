@@ -25,6 +25,28 @@ def by_gap(events: DataFrame, keys: list[str], ts: str, order: list[str], idle:
     return events.filter(F.col(ts).isNotNull()).withColumn("__new", F.coalesce((gap > idle).cast("int"), F.lit(0))).withColumn("segment", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
+def by_gap_wide(events: DataFrame, keys: list[str], ts: str, order: list[str], idle: float = IDLE, span: float = 86_400) -> DataFrame:
+    """The same as ``by_gap`` where a few keys may have most of the events, such as clients behind one proxy.
+
+    Events are split by key and ``span`` seconds, and counted within these; then only one row per key and span is
+    carried over the spans of a key: whether its first event opens a session after the last one before, and how many
+    sessions were opened up to there. Ties in time never cross a span.
+    """
+    cut = events.filter(F.col(ts).isNotNull()).withColumn("__span", F.floor(F.col(ts) / span))
+    here = Window.partitionBy(*keys, "__span").orderBy(ts, *order)
+    gap = F.col(ts) - F.lag(ts).over(here)
+    cut = cut.withColumn("__new", F.coalesce((gap > idle).cast("int"), F.lit(0))).withColumn("__own", F.sum("__new").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    per = cut.groupBy(*keys, "__span").agg(F.min(ts).alias("__first"), F.max(ts).alias("__last"), F.sum("__new").alias("__opened"))
+    over = Window.partitionBy(*keys).orderBy("__span")
+    per = per.withColumn("__opens", F.coalesce((F.col("__first") - F.lag("__last").over(over) > idle).cast("int"), F.lit(0)))
+    # opened in the spans before, and at this span's own beginning
+    ahead = F.sum(F.col("__opened") + F.col("__opens")).over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__opened")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in (*keys, "__span")]
+    carried = per.select(*[F.col(k).alias(f"__{k}") for k in (*keys, "__span")], ahead.alias("__ahead"))
+    joined = cut.join(carried, same).withColumn("segment", F.col("__ahead") + F.col("__own"))
+    return joined.select(*events.columns, "segment")
+
+
 def capped(events: DataFrame, keys: list[str], ts: str, order: list[str], idle: float = IDLE, max_seconds: float = MAX_SECONDS, max_events: int = MAX_EVENTS) -> DataFrame:
     """``events`` with ``segment`` and ``part``: a segment is cut before an event more than ``max_seconds`` after
     the part's first or when the part has ``max_events``.

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from weftlog.functions import params, times
 from weftlog.functions import text as t
 from weftlog.operators import events as log
-from weftlog.operators import labeling, reviews, sessions
+from weftlog.operators import boundary, detection, labeling, reviews, sessions
 from weftlog.operators.graph import shared_dir, written
-from weftlog.plans.queries import event_steps, events, page_requests, part_reviews, table
+from weftlog.plans.queries import EVIDENCE, IDLE, actor_access, boundary_relations, demo_rules, event_steps, event_values, events, page_requests, part_reviews, table
 from weftlog.sources import readers, writers
 
 
@@ -152,4 +152,55 @@ def cluster_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.union(short.select("user_id", F.lit("short"), F.array_join("trace", ">")))
 
 
-QUERIES = (all_session_steps, line_reasons, routed_lines, gateway_bodies, client_sessions, json_leaves, scenario_titles, answer_reviews, cluster_briefs)
+def session_gap_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``session_gap`` with the users' events split by hours and stitched."""
+    s = sessions.by_gap_wide(events(spark, sf_dir), ["user_id"], "sec", ["event_id"], IDLE, span=3600.0)
+    return sessions.summaries(s, ["user_id"], ["segment"], "us", ["event_id"], F.col("event_type") == "error")
+
+
+def session_gap_one_client(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as those of one client, cut into sessions by every task."""
+    e = events(spark, sf_dir).withColumn("client", F.lit("proxy"))
+    return sessions.by_gap_wide(e, ["client"], "sec", ["event_id"], 30, span=3600.0).groupBy("client", "segment").agg(F.count("*").alias("session_length"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
+
+
+def project_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten widest projects with their five most frequent issues."""
+    rows = boundary.widest(boundary_relations(spark, sf_dir), "project", "issue", top_items=5, limit=10)
+    return rows.select("project", "support", "issue_count", F.array_join(F.transform("issues", lambda x: F.concat_ws("*", x["value"], x["count"].cast("string"))), ",").alias("issues"))
+
+
+def actor_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The actors with enough support and their three most frequent projects."""
+    rows = boundary.widest(actor_access(spark, sf_dir), "actor", "project", top_items=3, limit=25)
+    return rows.select("actor", "support", "project_count", F.array_join(F.transform("projects", lambda x: F.concat_ws("*", x["value"], x["count"].cast("string"))), ",").alias("projects"))
+
+
+def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with all that a report tells of them: the rule's scenario, the client, and the requests as sent."""
+    s = event_steps(spark, sf_dir)
+    steps = written(s.select("session_id", "step", "api", "k", F.concat(F.lit("GET /"), "api", F.lit("?k="), F.coalesce(F.col("k").cast("string"), F.lit(""))).alias("token"), F.concat(F.lit("192.0.2."), (F.col("user_id") % 250).cast("string")).alias("source_ip"), (F.col("user_id") % 3).alias("dropped")))
+    used = detection.active(demo_rules(spark))
+    source = F.struct("source.scenario_id", F.concat(F.lit("title of "), "fol_id").alias("scenario_title"), F.lit("BOLA").alias("security_type"), F.lit("shop").alias("business_pattern_name"))
+    summary = F.struct(F.when(F.col("fol_id") == "R2", "BFLA").alias("security_type"), F.when(F.col("fol_id") != "R3", "high").alias("risk_level"), F.concat(F.lit("reason of "), "fol_id").alias("overall_reason"))
+    rules = used.withColumns({"source": source, "scenario_summary": summary})
+    hits = written(detection.detect(steps, event_values(steps), detection.expressions(used)))
+    found = detection.session_findings(detection.capped_evidence(hits, EVIDENCE), steps, rules)
+    shown = F.array_join(F.transform("expression_hits", lambda h: F.concat_ws("@", h["reason"], h["step"].cast("string"))), ",")
+    return found.select("fol_id", "session_id", *detection.TOLD, "source_ip", F.array_join("raw_sequence", " ").alias("requests"), F.array_join("api_sequence", ">").alias("trace"), shown.alias("hits"), F.col("filtered_noise_count").cast("bigint").alias("filtered_noise_count"))
+
+
+def refreshed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by status, written three times: stale ones first, then the true ones twice over; and once more by what is not finished."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    base = f"{shared_dir(spark)}/weftlog-orders-{uuid.uuid4().hex}"
+    writers.refresh(o.withColumn("o_totalprice", F.lit(0.0)), f"{base}/all", "o_orderstatus")
+    for _ in range(2):
+        writers.refresh(o.filter("o_orderstatus != 'P'"), f"{base}/all", "o_orderstatus")
+    for some in (o.filter("o_orderstatus = 'F'"), o.withColumn("o_totalprice", -F.col("o_totalprice")), o):
+        writers.refresh_new(some, f"{base}/new", f"{base}/finished", "o_orderstatus")
+    rows = [spark.read.schema("o_orderkey bigint, o_totalprice double, o_orderstatus string").parquet(f"{base}/{way}").withColumn("way", F.lit(way)) for way in ("all", "new")]
+    return rows[0].union(rows[1]).groupBy("way", "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+QUERIES = (session_gap_wide, session_gap_one_client, project_tops, actor_tops, rule_findings, refreshed_orders, all_session_steps, line_reasons, routed_lines, gateway_bodies, client_sessions, json_leaves, scenario_titles, answer_reviews, cluster_briefs)

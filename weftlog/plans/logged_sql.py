@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from weftlog.plans.sql import PAGE, sessions
 from weftlog.plans.queries import IDLE
+from weftlog.plans.sql import OBJECTS, ONE_HIT, PAGE, sessions
+from weftlog.plans.sql import SQL as BASE
 
 STEPS = f"""with {sessions(IDLE).strip()}, spread as (
   select *, (user_id % 3)::varchar as site, case when bool_or(event_type = 'error') over (partition by session_id) then 'abnormal' else 'normal' end as label, count(*) over (partition by session_id) as n,
@@ -98,6 +99,40 @@ select user_id, case when len(trace) >= 10 then 'review' else 'short' end as kin
   else list_concat(trace[1:9], ['... omitted_steps=' || (len(trace) - 13) || ', total_steps=' || len(trace)], trace[len(trace) - 3:len(trace)]) end, '>') as trace from s
 """
 
+ONE_CLIENT = """
+with e as (select epoch_us(ts) as us, epoch_us(ts) / 1e6 as sec, event_id from events), g as (
+  select *, case when sec - lag(sec) over (order by sec, event_id) > 30 then 1 else 0 end as fresh from e
+), s as (
+  select *, sum(fresh) over (order by sec, event_id rows unbounded preceding)::bigint as segment from g
+)
+select 'proxy' as client, segment, count(*) as session_length, min(us) as start_us, max(us) as end_us from s group by segment
+"""
+
+PROJECTS = f"""{OBJECTS}, per as (select project, sum(n)::bigint as support, count(*) as issue_count from relations group by project having sum(n) >= 3 order by issue_count desc, support desc, project limit 10),
+  r as (select *, row_number() over (partition by project order by n desc, issue) as r from relations)
+select p.project, support, issue_count, string_agg(issue || '*' || n, ',' order by r) as issues from per p join r on r.project = p.project and r.r <= 5 group by all
+"""
+
+ACTORS = f"""{OBJECTS}, likely as (select issue, project from (select *, row_number() over (partition by issue order by n desc, project) as r from relations) where r <= 3),
+  access as (select actor, project, count(*) as n from (select actor, project from obj where project is not null union all select o.actor, l.project from obj o join likely l on l.issue = o.issue) group by all),
+  per as (select actor, sum(n)::bigint as support, count(*) as project_count from access group by actor having sum(n) >= 3 order by project_count desc, support desc, actor limit 25),
+  r as (select *, row_number() over (partition by actor order by n desc, project) as r from access)
+select p.actor, support, project_count, string_agg(project || '*' || n, ',' order by r) as projects from per p join r on r.actor = p.actor and r.r <= 3 group by all
+"""
+
+FINDINGS = f"""{ONE_HIT}, t as (select session_id, any_value(user_id) as user_id, string_agg(api, '>' order by step) as trace, string_agg('GET /' || api || '?k=' || coalesce(k::varchar, ''), ' ' order by step) as requests from steps group by session_id)
+select h.fol_id, h.session_id, h.fol_id as scenario_id, 'title of ' || h.fol_id as scenario_title, case when h.fol_id = 'R2' then 'BFLA' else 'BOLA' end as security_type, case when h.fol_id <> 'R3' then 'high' else '' end as risk_level,
+  'shop' as business_pattern_name, 'reason of ' || h.fol_id as overall_reason, '192.0.2.' || (any_value(t.user_id) % 250) as source_ip, any_value(requests) as requests, any_value(trace) as trace,
+  string_agg(reason || '@' || step, ',' order by step, reason, parameter, detail) as hits, (any_value(t.user_id) % 3)::bigint as filtered_noise_count
+from hits h join one_hit o on o.fol_id = h.fol_id and o.session_id = h.session_id and o.r <= 50 join t on t.session_id = h.session_id group by h.fol_id, h.session_id
+"""
+
+REFRESHED = """
+select 'all' as way, o_orderstatus, count(*) as n, round(sum(case when o_orderstatus = 'P' then 0.0::double else o_totalprice end), 2) as total from orders group by all
+union all select 'new', o_orderstatus, count(*), round(sum(case when o_orderstatus = 'F' then o_totalprice else -o_totalprice end), 2) from orders group by all
+"""
+
 SQL = {
+    "session_gap_wide": BASE["session_gap"], "session_gap_one_client": ONE_CLIENT, "project_tops": PROJECTS, "actor_tops": ACTORS, "rule_findings": FINDINGS, "refreshed_orders": REFRESHED,
     "all_session_steps": ALL_STEPS, "line_reasons": REASONS, "routed_lines": ROUTED, "gateway_bodies": BODIES, "client_sessions": CLIENTS, "json_leaves": LEAVES, "scenario_titles": TITLES, "answer_reviews": ANSWERS, "cluster_briefs": BRIEFS,
 }

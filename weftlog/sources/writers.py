@@ -46,3 +46,36 @@ def append_fields(line: Column, **fields: Column) -> Column:
 def new_rows(fresh: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys the earlier output does not have yet."""
     return fresh.join(existing.select(*keys).distinct(), keys, "left_anti")
+
+
+def refresh(df: DataFrame, path: str, by: str) -> None:
+    """Write ``df`` by ``by``: its partitions replace those that are there, others stay, so that a rerun never doubles rows.
+
+    Rows without a value of ``by`` go to a partition of their own.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def finish(done: DataFrame, manifest: str, by: str) -> None:
+    """Note the partitions of ``done`` as finished, after they are written; noting them again changes nothing that is read."""
+    done.select(F.col(by).cast("string").alias("part")).distinct().write.mode("append").parquet(manifest)
+
+
+def unfinished(df: DataFrame, manifest: str | None, by: str) -> DataFrame:
+    """The rows of ``df`` whose partition no earlier run has finished; all of them without a manifest (None)."""
+    if manifest is None:
+        return df
+    known = df.sparkSession.read.schema("part string").parquet(manifest).distinct()
+    return df.join(known, F.col(by).cast("string").eqNullSafe(F.col("part")), "left_anti")
+
+
+def refresh_new(df: DataFrame, path: str, manifest: str, by: str) -> None:
+    """Write only the partitions that no earlier run has finished, then note them.
+
+    A run that is lost before its note leaves partitions that the next one replaces.
+    """
+    fs = df.sparkSession._jvm.org.apache.hadoop.fs.Path(manifest)
+    there = fs.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(fs)
+    new = unfinished(df, manifest if there else None, by)
+    refresh(new, path, by)
+    finish(new, manifest, by)
