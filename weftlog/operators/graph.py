@@ -10,21 +10,25 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local session without one gets its own."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Only a local session without that setting (tests, a laptop) gets a folder of its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="weftlog-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back, which cuts the lineage."""
-    path = f"{shared_dir(df.sparkSession)}/weftlog-{uuid.uuid4().hex}"
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and outlives executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/weftlog-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
