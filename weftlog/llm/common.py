@@ -2,43 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlog.operators.graph import written
+
+__all__ = ["FEW", "WORD", "few", "held_out", "join_hot", "prefix_sums", "seeded_key", "text_or_empty", "written"]
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: A key counts as hot above this share of all rows, so there are never more than 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.001
+#: Rows that a key may have at least before it is hot.
+HOT_LEAST = 1000
 #: Rows up to which a counted table is broadcast.
 FEW = 50_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session without that setting (tests, a laptop) gets a folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="weftlog-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftlog-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
@@ -60,7 +41,7 @@ def join_hot(rows: DataFrame, side: DataFrame, key: str, n_col: str, total: int,
     Keys with over ``HOT_SHARE`` of ``total`` rows, at most 1 / HOT_SHARE of them, are dealt by ``salt``
     into parts of at most that share; that bounded list of keys is what gets broadcast.
     """
-    limit = max(1000, int(total * HOT_SHARE))
+    limit = max(HOT_LEAST, int(total * HOT_SHARE))
     parts = F.ceil(F.col(n_col) / limit).cast("int")
     hot = side.filter(F.col(n_col) > limit).select(key, parts.alias("__parts"))
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.coalesce(F.pmod(salt, F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import few, held_out, seeded_key, written
+from weftlog.llm.common import few, seeded_key, written
 
 PROFILE = 400
 #: Labelled documents per language that a profile is counted from, at most; chosen by a seeded key.
@@ -119,7 +119,11 @@ class Profiles:
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFILE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: id, lang_pred and score. ``und`` with score 0 for a null text or one without a letter."""
+    """One row per input row: id, lang_pred and score. ``und`` with score 0 for a null text or one without a letter, and without any profile.
+
+    Of languages as near as each other the first by name is taken, with score 0. Rows with the same id or text are judged
+    apart; an empty table gives no rows, and other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Profiles(profiles, size)
@@ -128,7 +132,3 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
             yield pa.record_batch([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id bigint, lang_pred string, score double")
-
-
-def not_held_out(id_col: str):
-    return ~held_out(id_col, 4, 2)

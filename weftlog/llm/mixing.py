@@ -41,7 +41,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int, int],
     ``weights`` repeating; share[0] / share[1] of all words are dealt, and what a source cannot take is dealt
     to the others by weight again until none is above its cap. Caps are met in order of cap by weight, so
     the level follows from running sums of integers; the one division makes the result the same anywhere.
-    The windows run over one row per source, not over documents.
+    The windows run over one row per source, not over documents. Products of words and weights are decimals, which
+    hold them at any size.
     """
     order = Window.orderBy("__s")
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")).cast("bigint")
@@ -53,21 +54,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int, int],
         "all_w": F.sum("w").over(whole), "budget": F.sum("source_size").over(whole) * share[0],
     })
     # dealt by weight among this and all later sources; the first that stays below its cap sets the level
-    over = F.col("budget") - share[1] * F.col("caps")
-    under = share[1] * (F.col("all_w") - F.col("used"))
-    below = over * F.col("w") <= F.col("cap") * under
+    whole_number = lambda c: c.cast("decimal(19,0)")
+    over = whole_number(F.col("budget") - share[1] * F.col("caps"))
+    under = whole_number(share[1] * (F.col("all_w") - F.col("used")))
+    below = over * whole_number(F.col("w")) <= whole_number(F.col("cap")) * under
     level = F.min(F.when(below, F.struct((F.col("cap") / F.col("w")).alias("ratio"), F.col("__s"), over.alias("over"), under.alias("under")))).over(whole)
     t = t.withColumn("level", level)
     after = F.struct((F.col("cap") / F.col("w")).alias("ratio"), F.col("__s")) >= F.struct(F.col("level.ratio"), F.col("level.__s"))
-    target = F.when(after, (F.col("level.over") * F.col("w")).cast("double") / F.col("level.under").cast("double")).otherwise(F.col("cap").cast("double"))
+    target = F.when(after, (F.col("level.over") * whole_number(F.col("w"))).cast("double") / F.col("level.under").cast("double")).otherwise(F.col("cap").cast("double"))
     return t.select("__s", "source_size", target.alias("target"))
 
 
 def thresholds(thin: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
     """``__s``, passes and threshold for each source of ``goals``; thin has __s, __k and __size.
 
-    Each level keeps the boundary bucket's documents only. The last boundary bucket is taken if that brings
-    the source nearer to its target.
+    The first level sums all rows; the rows of its boundary buckets, a 4096th of each source, are then written, and
+    the later levels read these alone. The last boundary bucket is taken if that brings the source nearer to its target.
+    A source without words has the threshold 0 or that of its last key; rows that share a key are taken alike; without
+    rows there are no thresholds.
     """
     state = goals.select("__s", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0)).cast("int").alias("passes"), "target", "source_size")
     state = state.select("__s", "passes", (F.col("target") - F.col("passes") * F.col("source_size")).alias("rest"), F.lit(0).cast("bigint").alias("low"))
@@ -78,6 +82,8 @@ def thresholds(thin: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
         inside = by_source(rows, state.select("__s", "low"), n_sources, F.col("__k"))
         if level > 1:
             inside = inside.filter((F.col("__k") >= F.col("low")) & (F.shiftright("__k", width + BITS) == F.shiftright("low", width + BITS)))
+        if level == 2:
+            rows = inside = written(inside.drop("low"), "boundary")
         sums = inside.groupBy("__s", bucket.alias("b")).agg(F.sum("__size").alias("sum"))
         running = Window.partitionBy("__s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows at most
         sums = sums.withColumn("before", F.coalesce(F.sum("sum").over(running), F.lit(0)))

@@ -41,6 +41,9 @@ PIECE = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("length", pa.int
 PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
+#: Texts that tell whether a tokenizer splits and joins as ``Ids`` does: case, white space, digits, signs, letters beyond ASCII.
+PROBES = ("", "A b  c", "It's  WE'LL 12ab3 x-y!!", "Ünïcödé  ñandú é", "line\n\ttab  end ", "<|x|> \u4e2d\u6587 \u0130", "the the theatre")
+
 
 def lowered(text: bytes) -> bytes:
     """A-Z in lower case, as the tokenizer would, so that fewer chunks differ.
@@ -71,6 +74,12 @@ class Ids:
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.chunks: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.split = True
+        for probe in PROBES:  # another tokenizer's texts go through it whole
+            self.split &= b"".join(self.of([probe])) == self.whole_ids(probe)
+
+    def whole_ids(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, new: set[bytes]) -> None:
         if len(self.chunks) + len(new) > CACHE:
@@ -100,6 +109,9 @@ class Ids:
             self.chunks[chunk] = b"".join(map(self.pieces.__getitem__, pieces))
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
+        if not self.split:
+            yield from (self.whole_ids(t or "") for t in texts)
+            return
         split = [lowered((t or "").encode("utf-8")).split() for t in texts]
         new = set().union(*split).difference(self.chunks)  # looks up the few, where a subtraction of keys walks the cache
         if new:

@@ -215,18 +215,24 @@ def train(docs: DataFrame, labels: DataFrame, where, most: int = TRAIN_DOCS, cha
     return fit([t for t, _ in pairs], [y for _, y in pairs])
 
 
-def score(docs: DataFrame, model: dict, out: str = "score", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: dict, out: str = "score", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``out``: 0 to 1, higher for better texts. A null or empty text is one empty line.
 
-    A column ``out`` that the input has is replaced. An empty table gives no rows.
+    A column ``out`` that the input has is replaced. ``keep`` names the columns that are returned, all by default; others
+    are not read, and the text goes to the workers once. An empty table gives no rows.
     """
-    own = docs.drop(out).select(F.col(text).cast("string").alias("__t"), F.struct(*[F.col(f"`{c}`") for c in docs.drop(out).columns]).alias("__row"))
-    schema = own.select("__row", F.lit(0.0).alias("__score")).schema
+    docs = docs.drop(out)
+    names = docs.columns if keep is None else keep
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row")
+    within = text in names and docs.schema[text].dataType.simpleString() == "string"
+    own = docs.select(row) if within else docs.select(row, F.col(text).cast("string").alias("__t"))
+    schema = docs.select(row, F.lit(0.0).alias("__score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)
-                yield pa.record_batch([some.column(1), pa.array(scores(model, some.column(0).to_pylist()), pa.float64())], names=["__row", "__score"])
+                texts = some.column(0).flatten()[names.index(text)] if within else some.column(1)
+                yield pa.record_batch([some.column(0), pa.array(scores(model, texts.to_pylist()), pa.float64())], names=["__row", "__score"])
 
     return own.mapInArrow(run, schema).select("__row.*", F.col("__score").alias(out))

@@ -50,7 +50,7 @@ def op3_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), not_in_fold(5, 0))
-    scored = quality_crf.score(docs.select("doc_id", "text"), model)
+    scored = quality_crf.score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -300,11 +300,6 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), "<u8"))
 
 
-def wide_fingerprint(text: str | None, size: int) -> bytes:
-    """512 bits of a text's distinct shingles; zeros for a null or wordless text."""
-    return wide_print(shingles(text, size))
-
-
 def wide_print(hashes: np.ndarray) -> bytes:
     if not len(hashes):
         return bytes(8 * WIDE)
