@@ -1,6 +1,8 @@
 """From documents to packed sequences: quality, exact copies, near copies, source mix, packing.
 
-Each stage takes what its predecessor kept, written as Parquet and read again.
+Each stage takes what its predecessor kept, written as Parquet and read again. A null text counts as empty in every
+stage. Rows with the same id are judged each by its own text; of rows alike in both, the stages of copies keep one. An
+empty table gives an empty table, and columns that a stage does not name pass through all but the last.
 """
 
 from __future__ import annotations
