@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftlog.functions.params import DETECTION, body_pairs
 from weftlog.functions.url import query_pairs, raw_query, request_api, request_target
+from weftlog.operators.graph import written
 
 # Front-end requests, and words of rules.
 NOISE = r"(?i)\.(?:js|css|png|jpg|jpeg|gif|svg|ico|woff2?|ttf|map)(?:$|\?)|/s/|/download/resources/|/download/batch/|/images/|/static/|/assets/|/rest/wrm/|/webResources/|/useravatar|/avatar|/favicon"
@@ -122,20 +123,25 @@ def sequence_hits(steps: DataFrame, exprs: DataFrame) -> DataFrame:
     return repeated_calls(steps, exprs).unionByName(missing_before(steps, exprs)).unionByName(risky_order(steps, exprs))
 
 
-def combined_hits(sequence: DataFrame, parameter: DataFrame, exprs: DataFrame) -> DataFrame:
-    """One hit per session and combined expression that has both kinds."""
-    both = exprs.filter("dimension = 'sequence_order_and_parameter_consistency'").select("fol_id", "expr")
-    s = sequence.groupBy(*KEY).agg(F.min("step").alias("step"), F.count("*").alias("ns"))
-    p = parameter.groupBy(*KEY).agg(F.count("*").alias("np"))
-    return s.join(p, KEY).join(both, ["fol_id", "expr"]).select(*KEY, F.lit("combined_sequence_parameter_risk").alias("reason"), "step", F.lit("").alias("parameter"), F.concat_ws("+", "ns", "np").alias("detail"))
+def combined_hits(found: DataFrame) -> DataFrame:
+    """One hit per session and expression for which ``found`` has hits of both kinds, ``sequence`` and ``parameter``."""
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    both = found.groupBy(*KEY).agg(n("sequence").alias("ns"), n("parameter").alias("np"), F.min(F.when(F.col("kind") == "sequence", F.col("step"))).alias("step")).filter("ns > 0 and np > 0")
+    return both.select(*KEY, F.lit("combined_sequence_parameter_risk").alias("reason"), "step", F.lit("").alias("parameter"), F.concat_ws("+", "ns", "np").alias("detail"))
 
 
 def detect(steps: DataFrame, values: DataFrame, exprs: DataFrame) -> DataFrame:
-    """All hits: session_id, fol_id, expr, reason, step, parameter, detail."""
-    kind = lambda d: exprs.filter(F.col("dimension") == d)
-    both = kind("sequence_order_and_parameter_consistency")
-    own = sequence_hits(steps, kind("sequence_order")).unionByName(parameter_hits(values, kind("parameter_consistency")))
-    return own.unionByName(combined_hits(sequence_hits(steps, both), parameter_hits(values, both), exprs))
+    """All hits: session_id, fol_id, expr, reason, step, parameter, detail.
+
+    Steps and values are searched once for expressions of one kind and of both; the hits, few beside the steps, are
+    written before those of both kinds are put together.
+    """
+    sequence = sequence_hits(steps, exprs.filter("dimension like 'sequence_order%'")).withColumn("kind", F.lit("sequence"))
+    parameter = parameter_hits(values, exprs.filter("dimension like '%parameter_consistency'")).withColumn("kind", F.lit("parameter"))
+    found = written(sequence.unionByName(parameter).join(exprs.select("fol_id", "expr", "dimension"), ["fol_id", "expr"]), "hits")
+    combined = F.col("dimension") == "sequence_order_and_parameter_consistency"
+    columns = [*KEY, "reason", "step", "parameter", "detail"]
+    return found.filter(~combined).select(*columns).unionByName(combined_hits(found.filter(combined)).select(*columns))
 
 
 def findings_by_rule(hits: DataFrame) -> DataFrame:
