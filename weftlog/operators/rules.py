@@ -302,7 +302,8 @@ def generate(reviews: DataFrame, index: DataFrame | None = None, include_low_tru
         "raw_type": F.coalesce(F.nullif("s.security_type", F.lit("")), F.lit("OTHER")), "security_type": security_name(F.col("s.security_type")),
         "scenario_id": F.coalesce(F.nullif("s.scenario_id", F.lit("")), F.concat(F.lit("C"), F.coalesce(F.col("cluster_index").cast("string"), F.lit("None")), F.lit("-S"), (F.col("pos") + 1).cast("string"))),
     })
-    d = expressions(parameter_scope(constants(activities(d))))
+    # few rows beside the logs, and long expressions: each part is written, not planned into the next
+    d = expressions(written(parameter_scope(written(constants(written(activities(d), "activities")), "constants")), "scopes"))
     blank = lambda c: text_of(F.col(f"s.{c}")) == ""
     lacking = F.array_compact(F.array(F.when(F.size("related") == 0, "related_apis"), *[F.when(blank(c), c) for c in ("scenario_title", "overall_reason")]))
     unbound = F.array_compact(F.array(*[F.when(F.col(f"bindings.{c}") == "", c) for c in ("risk_level", "risk_type")], F.when(F.lower("bindings.risk_type").isin("sequence_order", "both") & (F.size("labels") == 0), "activity_abstraction")))
