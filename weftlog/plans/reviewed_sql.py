@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftlog.plans.sql import PAGE
+from weftlog.plans.sql import PAGE, kind
 
 TEMPLATE = """'/' || array_to_string(list_transform(shaped, lambda p, i: case when regexp_full_match(p, '\\{{.*\\}}') and len(list_filter(shaped[1:i], lambda q: q = p)) > 1
   then regexp_replace(p, '\\}}$', '') || '_' || len(list_filter(shaped[1:i], lambda q: q = p)) || '}}' else p end), '/')"""
@@ -128,4 +128,25 @@ select 'FOL-' || case when k % 19 = 0 then 'own-' || k else 'C' || k || '-S1' en
 from ready
 """
 
-SQL = {"documented_calls": DOCUMENTED, "review_rules": RULES}
+OPENAPI = f"""with {PAGE.strip()}, named as (
+  select *, {TEMPLATE.format().replace("shaped", "segments")} as template from (select *, list_filter(string_split(path, '/'), lambda p: p <> '') as segments from shaped)
+), pair as (
+  select site_id, path, template, page_id, pairs[i].name as param, pairs[i].value as value, i from (select *, unnest(range(1, len(pairs) + 1)) as i from named)
+), one as (
+  select site_id, path, template, param, page_id, count(*) as pairs, arg_max({kind('value')}, i) as type from pair group by all
+), kinds as (
+  select *, row_number() over (partition by site_id, path, param order by n desc, seen, type) as nth from (select site_id, path, param, type, count(*) as n, min(page_id) as seen from one group by all)
+), total as (
+  select site_id, path, count(*) as requests from named group by all
+), entry as (
+  select o.site_id, o.path, any_value(template) as template, o.param, sum(pairs) as n, round(count(*) / any_value(requests), 4) as ratio, any_value(k.type) as type
+  from one o join total t on t.site_id = o.site_id and t.path = o.path join kinds k on k.site_id = o.site_id and k.path = o.path and k.param = o.param and k.nth = 1 group by o.site_id, o.path, o.param
+), shown as (
+  select *, '{{"name":' || to_json(param)::varchar || ',"in":"query","required":' || case when ratio >= 1 then 'true' else 'false' end || ',"schema":{{"type":"' ||
+    case type when 'INT' then 'integer' when 'FLOAT' then 'number' when 'BOOL' then 'boolean' when 'ARRAY' then 'array' when 'LIST' then 'array' when 'JSON' then 'object' else 'string' end || '"}}}}' as shape from entry
+)
+select site_id, template, '{{"get":{{"summary":"GET ' || template || '","operationId":"get' || regexp_replace(template, '[^A-Za-z0-9]+', '_', 'g') || '","parameters":[' || string_agg(shape, ',' order by ratio desc, n desc, param) || ']}}}}' as item
+from shown group by site_id, template
+"""
+
+SQL = {"documented_calls": DOCUMENTED, "review_rules": RULES, "openapi_paths": OPENAPI}
