@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlog.functions import url as u
-from weftlog.operators import apidocs, reviews, rules
+from weftlog.operators import apidocs, openapi, reviews, rules
 from weftlog.plans.queries import page_requests, table
 
 
@@ -89,4 +89,24 @@ def review_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = (documented_calls, review_rules)
+def customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each customer, of six shapes: parameters alone, several media types, nested bodies, neither, odd entries, and no JSON."""
+    key = F.col("c_custkey").cast("string")
+    nested = F.format_string('{"type":"object","required":["user","n%1$s"],"properties":{"user":{"type":"object","required":["ownerId"],"properties":{"ownerId":{"type":"string"},"role":{"properties":{"level":{"type":"integer"}}}}},"n%1$s":{"type":"number"},"plain":{}}}', key)
+    op = F.element_at(F.array(
+        F.format_string('{"summary":"s%1$s","operationId":"o%1$s","parameters":[{"name":"id%1$s","in":"path","required":true,"schema":{"type":"integer"}},{"in":"query"},{"name":"token","in":"header"}]}', key),
+        F.format_string('{"parameters":[],"requestBody":{"content":{"application/json":{"schema":%s},"text/x-form":{"schema":{"properties":{"status":{"type":"string"}}}},"a/b":{}}}}', nested),
+        F.format_string('{"requestBody":{"required":true,"content":{"application/json":{"schema":%s}}}}', nested), F.lit('{"summary":"none"}'), F.lit('{"parameters":{"name":"x"},"requestBody":{"content":[1]}}'), F.lit('"no object"')), (F.col("c_custkey") % 6 + 1).cast("int"))
+    method = F.element_at(F.array(*[F.lit(x) for x in ("get", "POST", "x-note", "delete")]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    doc = F.format_string('{"paths":{"/c/%1$s/{id}":{"%2$s":%3$s,"parameters":[]},"/odd":[1]}}', key, method, op)
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("s"), (F.col("c_custkey") % 5).cast("string")).alias("site_id"), F.when(F.col("c_custkey") % 11 == 0, F.substring(doc, F.lit(1), F.length(doc) - 1)).otherwise(doc).alias("doc"))
+
+
+def openapi_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of these documents: every parameter and body field with its place, need and type."""
+    found = openapi.index(openapi.entries(customer_documents(spark, sf_dir)))
+    shown = lambda p: F.concat_ws(":", p["name"], p["in"], p["required"].cast("string"), p["type"])
+    return found.select("site_id", "api", "summary", "operation_id", joined("parameters", shown).alias("parameters"), *[joined(c, lambda p: p["name"]).alias(c) for c in ("object_parameters", "sensitive_fields", "auth_fields")])
+
+
+QUERIES = (openapi_shapes, documented_calls, review_rules)

@@ -149,4 +149,41 @@ select site_id, template, '{{"get":{{"summary":"GET ' || template || '","operati
 from shown group by site_id, template
 """
 
-SQL = {"documented_calls": DOCUMENTED, "review_rules": RULES, "openapi_paths": OPENAPI}
+SHAPES = f"""
+with recursive made as (
+  select 's' || (c_custkey % 5) as site_id, c_custkey as k, '{{"type":"object","required":["user","n' || c_custkey || '"],"properties":{{"user":{{"type":"object","required":["ownerId"],"properties":{{"ownerId":{{"type":"string"}},"role":{{"properties":{{"level":{{"type":"integer"}}}}}}}}}},"n' || c_custkey || '":{{"type":"number"}},"plain":{{}}}}}}' as nested from customer
+), ops as (
+  select *, case k % 6
+    when 0 then '{{"summary":"s' || k || '","operationId":"o' || k || '","parameters":[{{"name":"id' || k || '","in":"path","required":true,"schema":{{"type":"integer"}}}},{{"in":"query"}},{{"name":"token","in":"header"}}]}}'
+    when 1 then '{{"parameters":[],"requestBody":{{"content":{{"application/json":{{"schema":' || nested || '}},"text/x-form":{{"schema":{{"properties":{{"status":{{"type":"string"}}}}}}}},"a/b":{{}}}}}}}}'
+    when 2 then '{{"requestBody":{{"required":true,"content":{{"application/json":{{"schema":' || nested || '}}}}}}}}' when 3 then '{{"summary":"none"}}' when 4 then '{{"parameters":{{"name":"x"}},"requestBody":{{"content":[1]}}}}' else '"no object"' end as op from made
+), docs as (
+  select site_id, k, ('{{"paths":{{"/c/' || k || '/{{id}}":{{"' || ['get', 'POST', 'x-note', 'delete'][k % 4 + 1] || '":' || op || ',"parameters":[]}},"/odd":[1]}}}}')::json as doc from ops where k % 11 <> 0
+), paths as (
+  select site_id, k, p, json_extract(doc, '$.paths."' || p || '"') as item from (select *, unnest(json_keys(doc, '$.paths')) as p from docs)
+), entries as (
+  select site_id, k, p, m, json_extract(item, '$."' || m || '"') as op from (select *, unnest(json_keys(item)) as m from paths where json_type(item) = 'OBJECT')
+), operations as (
+  select row_number() over () as id, site_id, upper(m) || ' ' || p as api, op from entries where lower(m) in ('get', 'put', 'post', 'delete', 'patch', 'head', 'options') and json_type(op) = 'OBJECT'
+), listed as (
+  select id, [0, i] as place, x->>'name' as name, coalesce(x->>'in', '') as kind, coalesce((x->>'required')::boolean, false) as required, coalesce(x->'schema'->>'type', 'unknown') as type
+  from (select id, unnest(range(0, json_array_length(op, '$.parameters')::bigint)) as i, op from operations where json_type(op, '$.parameters') = 'ARRAY'), lateral (select json_extract(op, '$.parameters[' || i || ']') as x)
+), media as (
+  select id, i, json_extract(op, '$.requestBody.content."' || json_keys(op, '$.requestBody.content')[i] || '".schema') as body from (select *, unnest(range(1, len(json_keys(op, '$.requestBody.content')) + 1)) as i from operations where json_type(op, '$.requestBody.content') = 'OBJECT')
+), walk as (
+  select id, [1, i] as place, '' as name, body, false as required from media where json_type(body) = 'OBJECT'
+  union all
+  select id, list_append(place, i), case when name = '' then keys[i] else name || '.' || keys[i] end, json_extract(body, '$.properties."' || keys[i] || '"'), list_contains(coalesce(from_json(json_extract(body, '$.required'), '["varchar"]'), []::varchar[]), keys[i])
+  from (select *, json_keys(body, '$.properties') as keys, unnest(range(1, len(json_keys(body, '$.properties')) + 1)) as i from walk where json_type(body, '$.properties') = 'OBJECT')
+), fields as (
+  select id, place, name, kind, required, type from listed where name <> ''
+  union all select id, place, name, 'body', required, coalesce(body->>'type', 'unknown') from walk where name <> ''
+), grouped as (
+  select id, list(name order by place) as names, string_agg(name || ':' || kind || ':' || required || ':' || type, ',' order by place) as parameters from fields group by id
+)
+select site_id, api, coalesce(op->>'summary', '') as summary, coalesce(op->>'operationId', '') as operation_id, coalesce(parameters, '') as parameters,
+  {", ".join(f"coalesce(array_to_string(list_filter(names, lambda x: regexp_matches(x, '{pattern}', 'i')), ','), '') as {name}" for name, pattern in (("object_parameters", OBJECT), ("sensitive_fields", SENSITIVE), ("auth_fields", "(login|auth|session|cookie|token|xsrf|csrf|secure)")))}
+from operations o left join grouped g on g.id = o.id
+"""
+
+SQL = {"openapi_shapes": SHAPES, "documented_calls": DOCUMENTED, "review_rules": RULES, "openapi_paths": OPENAPI}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from weftlog.operators import openapi
 from weftlog.operators.mining import Weights
 from weftlog.plans.queries import CAP_EVENTS, CAP_SECONDS, IDLE
 
@@ -229,10 +228,16 @@ with b as (
 
 PART = """d as (select *, p_type as site_id, ['get', 'put', 'post'][p_size % 3 + 1] as key, '/parts/' || replace(p_brand, '#', '-') || '/' as base from part)"""
 
+# What names of objects, of sensitive fields and of fields of a login have in them.
+OBJECT_NAMES = "(?i)(issue|project|space|content|page|comment|worklog|attachment|board|sprint|filter|dashboard|avatar|user|group|id|key)"
+SENSITIVE_NAMES = "(?i)(reporter|creator|author|assignee|owner|status|resolution|security|visibility|role|permission|sprint|version|duedate|project|issuetype|transition)"
+LOGIN_NAMES = "(?i)(login|auth|session|cookie|token|xsrf|csrf|secure)"
+# End of fixed values.
+
 SQL = {
     "openapi_index": f"""with {PART}, n as (select *, split_part(p_name, ' ', 1) as a, ['partId', 'token', split_part(p_name, ' ', 1), split_part(p_name, ' ', 1) || '.role', split_part(p_name, ' ', 2)] as names from d)
       select site_id, upper(key) || ' ' || base || p_partkey || '/{{partId}}' as api, p_name as summary, array_to_string(names, ',') as parameters, 'partId:path:integer,' || a || ':body:object' as required,
-        {", ".join(f"array_to_string(list_filter(names, lambda x: regexp_matches(x, '{pattern}')), ',') as {name}" for name, pattern in (("object_parameters", openapi.OBJECT), ("sensitive_fields", openapi.SENSITIVE), ("auth_fields", openapi.AUTH)))} from n""",
+        {", ".join(f"array_to_string(list_filter(names, lambda x: regexp_matches(x, '{pattern}')), ',') as {name}" for name, pattern in (("object_parameters", OBJECT_NAMES), ("sensitive_fields", SENSITIVE_NAMES), ("auth_fields", LOGIN_NAMES)))} from n""",
     "openapi_merge": f"""with {PART}, e as (select site_id, base || p_size || '/{{partId}}' as path, key, p_partkey % 4 as r from d), old as (select * from e where r % 2 = 1),
       new as (select * from e where r = 0 or (r = 2 and not exists (select 1 from old where old.site_id = e.site_id and lower(old.path) = lower(e.path))))
       select site_id, path, key, min(m) as n_parameters, max(t) as body_token from (select *, 2::int as m, '' as t from old union all select *, 1::int, 'string' from new) group by all""",
