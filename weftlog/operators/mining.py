@@ -201,6 +201,11 @@ def medoids(distinct: DataFrame, labels: DataFrame, vector: DataFrame, norm: Dat
     return least.select("cluster", "m.seq", "m.total")
 
 
+def largest_clusters(summary: DataFrame, most: int = 0) -> DataFrame:
+    """The first ``most`` rows of a summary, all for 0: the largest clusters, of equals the earlier number."""
+    return summary.orderBy(F.desc("cluster_size"), "cluster").limit(most) if most else summary
+
+
 def cluster_summary(distinct: DataFrame, labels: DataFrame, medoid: DataFrame, min_size: int = 3) -> DataFrame:
     """Clusters of at least ``min_size`` sessions: size, lengths, representative; largest first."""
     member = labels.filter("cluster >= 0").join(distinct, "seq")

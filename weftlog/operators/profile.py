@@ -56,6 +56,26 @@ def samples(requests: DataFrame, request: str, site: str = "site_id", path: str
     return first.join(opening, by).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= SAMPLES_PER_PATH).drop("opening", "r")
 
 
+def log_sample(url: Column, method: Column, query: Column, status: Column, content_type: Column, content_length: Column, body_pairs: Column | None = None, header_pairs: Column | None = None) -> Column:
+    """A request as it is shown: request and response, values of body and headers redacted and cut.
+
+    Of a name that repeats the last value counts. Nulls are empty, a method is GET and a status 0; bodies and headers
+    without a pair are null, and so is left out of JSON.
+    """
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+
+    def shown(pairs: Column | None) -> Column:
+        if pairs is None:
+            return F.lit(None).cast("map<string,string>")
+        last = F.filter(pairs, lambda p, i: F.size(F.filter(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["name"] == p["name"])) == 0)
+        return F.when(F.size(pairs) > 0, F.map_from_entries(F.transform(last, lambda p: F.struct(p["name"], redact(p["name"], text(p["value"]))))))
+
+    verb = F.upper(F.coalesce(F.nullif(method, F.lit("")), F.lit("GET")))
+    request = F.struct(F.regexp_replace(text(url), r"^[A-Z]+ ", "").alias("url"), verb.alias("method"), text(query).alias("query"), shown(body_pairs).alias("body"), shown(header_pairs).alias("headers"))
+    response = F.struct(F.coalesce(status.cast("int"), F.lit(0)).alias("status"), text(content_type).alias("content_type"), text(content_length).alias("content_length"))
+    return F.struct(request.alias("request"), response.alias("response"))
+
+
 def headers(requests: DataFrame, columns: tuple[str, ...] = ("headers", "request_headers", "header_params", "requestHeaders")) -> DataFrame:
     """``requests`` with ``header_pairs``: (name, value) of the first column that is a map, pairs or the text of a JSON object.
 

@@ -106,3 +106,16 @@ def session_id(site: str, client: str, start: str, ordinal: str) -> Column:
 def length_bucket(length: Column) -> Column:
     """Buckets by length; their bounds are read from the names."""
     return F.when(length <= 2, "short_1_2").when(length <= 50, "main_3_50").otherwise("long_51_plus")
+
+
+def run_report(sessions: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """Counters of a run, one row each (counter, n): events, sessions, ``label_..`` and ``length_..``; and rejected lines by ``reason``.
+
+    A counter without anything to count has no row.
+    """
+    one = sessions.groupBy("session_length", "session_label").agg(F.count("*").alias("n"), F.sum("session_length").alias("events"))
+    names = F.array(F.struct(F.lit("events").alias("counter"), F.col("events").alias("n")), *[F.struct(c.alias("counter"), F.col("n").alias("n")) for c in (F.lit("sessions"), F.concat(F.lit("label_"), "session_label"), F.concat(F.lit("length_"), F.col("session_length").cast("string")))])
+    rows = one.select(F.explode(names).alias("c")).select("c.counter", "c.n")
+    if rejected is not None:
+        rows = rows.union(rejected.filter("reason != 'ok'").groupBy("reason").agg(F.count("*").alias("n")))
+    return rows.groupBy("counter").agg(F.sum("n").alias("n"))

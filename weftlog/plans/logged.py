@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from weftlog.functions import params, times
 from weftlog.functions import text as t
 from weftlog.operators import events as log
-from weftlog.operators import boundary, detection, labeling, reviews, sessions
+from weftlog.operators import boundary, detection, labeling, mining, profile, reviews, sessions
 from weftlog.operators.graph import shared_dir, written
-from weftlog.plans.queries import EVIDENCE, IDLE, actor_access, boundary_relations, demo_rules, event_steps, event_values, events, page_requests, part_reviews, table
+from weftlog.plans.queries import EVIDENCE, IDLE, actor_access, boundary_relations, clusters, demo_rules, event_steps, event_values, events, page_requests, part_reviews, table
 from weftlog.sources import readers, writers
 
 
@@ -203,4 +203,27 @@ def refreshed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows[0].union(rows[1]).groupBy("way", "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-QUERIES = (session_gap_wide, session_gap_one_client, project_tops, actor_tops, rule_findings, refreshed_orders, all_session_steps, line_reasons, routed_lines, gateway_bodies, client_sessions, json_leaves, scenario_titles, answer_reviews, cluster_briefs)
+def log_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' sample requests as they are shown, odd ones with a body that has a secret and a repeated name."""
+    p = page_requests(spark, sf_dir)
+    pair = lambda n, v: F.struct(F.lit(n).alias("name"), v.cast("string").alias("value"))
+    page = F.col("page_id")
+    body = F.when(page % 2 == 1, F.array(pair("page", F.lit("old")), pair("password", page), pair("page", page), pair("note", F.lit("n" * 300)))).otherwise(F.array().cast("array<struct<name:string,value:string>>"))
+    shown = profile.log_sample(F.concat(F.lit("GET "), "full_path"), F.when(page % 3 > 0, "get"), F.col("query"), F.when(page % 4 > 0, 200 + page % 4), F.lit("text/html"), F.lit(None).cast("string"), body)
+    return profile.samples(p, "page_id").select("site_id", "path", "page_id", F.col("at").alias("sample_no"), F.to_json(shown).alias("sample"))
+
+
+def session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of the sessions' run, with the lines that were rejected before it."""
+    e = events(spark, sf_dir)
+    bad = e.select(F.when(F.col("event_id") % 40 == 0, "bad_json").when(F.col("event_id") % 40 == 1, "bad_time").otherwise("ok").alias("reason"), "*")
+    s = sessions.by_gap(bad.filter("reason = 'ok'").drop("reason"), ["user_id"], "sec", ["event_id"], IDLE)
+    return sessions.run_report(sessions.summaries(s, ["user_id"], ["segment"], "us", ["event_id"], F.col("event_type") == "error"), bad)
+
+
+def top_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two largest clusters."""
+    return mining.largest_clusters(clusters(spark, sf_dir)["summary"], 2)
+
+
+QUERIES = (log_samples, session_report, top_clusters, session_gap_wide, session_gap_one_client, project_tops, actor_tops, rule_findings, refreshed_orders, all_session_steps, line_reasons, routed_lines, gateway_bodies, client_sessions, json_leaves, scenario_titles, answer_reviews, cluster_briefs)

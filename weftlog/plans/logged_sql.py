@@ -132,7 +132,29 @@ select 'all' as way, o_orderstatus, count(*) as n, round(sum(case when o_orderst
 union all select 'new', o_orderstatus, count(*), round(sum(case when o_orderstatus = 'F' then o_totalprice else -o_totalprice end), 2) from orders group by all
 """
 
+SAMPLES = f"""with {PAGE.strip()}, f as (
+  select *, row_number() over (partition by site_id, path, method order by page_id) as r, min(page_id) over (partition by site_id, path, method) as opening from shaped
+), g as (
+  select *, row_number() over (partition by site_id, path order by opening, r) as sample_no from f where r <= 40
+)
+select site_id, path, page_id, sample_no, '{{"request":{{"url":' || to_json(full_path)::varchar || ',"method":"GET","query":' || to_json(query)::varchar
+  || case when page_id % 2 = 1 then ',"body":{{"password":"<redacted>","page":"' || page_id || '","note":"' || repeat('n', 253) || '..."}}' else '' end
+  || '}},"response":{{"status":' || case when page_id % 4 > 0 then 200 + page_id % 4 else 0 end || ',"content_type":"text/html","content_length":""}}}}' as sample from g where sample_no <= 40
+"""
+
+REPORT = f"""
+with e as (select *, epoch_us(ts) / 1e6 as sec from events), g as (
+  select *, case when sec - lag(sec) over (partition by user_id order by sec, event_id) > {IDLE} then 1 else 0 end as fresh from e where event_id % 40 > 1
+), seg as (
+  select *, sum(fresh) over (partition by user_id order by sec, event_id rows unbounded preceding) as segment from g
+), s as (
+  select count(*) as n, case when bool_or(event_type = 'error') then 'abnormal' else 'normal' end as label from seg group by user_id, segment
+)
+select 'events' as counter, sum(n)::bigint as n from s union all select 'sessions', count(*) from s union all select 'label_' || label, count(*) from s group by label union all select 'length_' || n, count(*) from s group by n
+union all select case event_id % 40 when 0 then 'bad_json' else 'bad_time' end, count(*) from events where event_id % 40 < 2 group by 1
+"""
+
 SQL = {
-    "session_gap_wide": BASE["session_gap"], "session_gap_one_client": ONE_CLIENT, "project_tops": PROJECTS, "actor_tops": ACTORS, "rule_findings": FINDINGS, "refreshed_orders": REFRESHED,
+    "log_samples": SAMPLES, "session_report": REPORT, "top_clusters": f"select * from ({BASE['cluster_summary']}) order by cluster_size desc, cluster limit 2", "session_gap_wide": BASE["session_gap"], "session_gap_one_client": ONE_CLIENT, "project_tops": PROJECTS, "actor_tops": ACTORS, "rule_findings": FINDINGS, "refreshed_orders": REFRESHED,
     "all_session_steps": ALL_STEPS, "line_reasons": REASONS, "routed_lines": ROUTED, "gateway_bodies": BODIES, "client_sessions": CLIENTS, "json_leaves": LEAVES, "scenario_titles": TITLES, "answer_reviews": ANSWERS, "cluster_briefs": BRIEFS,
 }

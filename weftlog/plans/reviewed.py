@@ -109,4 +109,9 @@ def openapi_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("site_id", "api", "summary", "operation_id", joined("parameters", shown).alias("parameters"), *[joined(c, lambda p: p["name"]).alias(c) for c in ("object_parameters", "sensitive_fields", "auth_fields")])
 
 
-QUERIES = (openapi_shapes, documented_calls, review_rules)
+def rule_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated rules as lines of a report."""
+    return rules.markdown(rules.generate(rule_reviews(spark, sf_dir), part_index(spark, sf_dir), place="place"))
+
+
+QUERIES = (rule_lines, openapi_shapes, documented_calls, review_rules)

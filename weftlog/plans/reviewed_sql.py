@@ -186,4 +186,8 @@ select site_id, api, coalesce(op->>'summary', '') as summary, coalesce(op->>'ope
 from operations o left join grouped g on g.id = o.id
 """
 
-SQL = {"openapi_shapes": SHAPES, "documented_calls": DOCUMENTED, "review_rules": RULES, "openapi_paths": OPENAPI}
+LINES = f"""select '- **' || fol_id || '** ' || p_name || case when p_partkey % 17 = 0 then ' "x\y"' else '' end || ': `' || formula || '`' as value
+from (select *, unnest(string_split(formulas, ' | ')) as formula from ({RULES}) where formulas <> '') r join part on p_partkey = regexp_extract(fol_id, '[0-9]+')::bigint
+"""
+
+SQL = {"rule_lines": LINES, "openapi_shapes": SHAPES, "documented_calls": DOCUMENTED, "review_rules": RULES, "openapi_paths": OPENAPI}
