@@ -226,4 +226,15 @@ def top_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.largest_clusters(clusters(spark, sf_dir)["summary"], 2)
 
 
-QUERIES = (log_samples, session_report, top_clusters, session_gap_wide, session_gap_one_client, project_tops, actor_tops, rule_findings, refreshed_orders, all_session_steps, line_reasons, routed_lines, gateway_bodies, client_sessions, json_leaves, scenario_titles, answer_reviews, cluster_briefs)
+def later_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions that an earlier run, which wrote every user's first one by site as JSON lines, does not have."""
+    e = events(spark, sf_dir).withColumn("at", F.timestamp_micros("us"))
+    s = sessions.by_gap(e, ["user_id"], "sec", ["event_id"], IDLE)
+    s = s.groupBy("user_id", "segment").agg(times.epoch_seconds(F.min("at")).alias("start"), F.count("*").alias("session_length"))
+    path = f"{shared_dir(spark)}/weftlog-sessions-{uuid.uuid4().hex}"
+    writers.write_by(s.filter("segment = 0").withColumn("site_id", F.col("user_id") % 3), "site_id", path, "json")
+    known = readers.json_lines(spark, path, "user_id bigint, segment bigint, session_length bigint")
+    return writers.new_rows(s, known, ["user_id", "segment"]).select("user_id", "segment", "session_length", F.floor(F.col("start") * 1000).alias("start_ms"))
+
+
+QUERIES = (later_sessions, log_samples, session_report, top_clusters, session_gap_wide, session_gap_one_client, project_tops, actor_tops, rule_findings, refreshed_orders, all_session_steps, line_reasons, routed_lines, gateway_bodies, client_sessions, json_leaves, scenario_titles, answer_reviews, cluster_briefs)

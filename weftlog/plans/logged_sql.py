@@ -154,7 +154,9 @@ select 'events' as counter, sum(n)::bigint as n from s union all select 'session
 union all select case event_id % 40 when 0 then 'bad_json' else 'bad_time' end, count(*) from events where event_id % 40 < 2 group by 1
 """
 
+LATER = f"with {sessions(IDLE).strip()} select user_id, segment, count(*) as session_length, floor(min(us) / 1e6 * 1000)::bigint as start_ms from seg where segment > 0 group by user_id, segment"
+
 SQL = {
-    "log_samples": SAMPLES, "session_report": REPORT, "top_clusters": f"select * from ({BASE['cluster_summary']}) order by cluster_size desc, cluster limit 2", "session_gap_wide": BASE["session_gap"], "session_gap_one_client": ONE_CLIENT, "project_tops": PROJECTS, "actor_tops": ACTORS, "rule_findings": FINDINGS, "refreshed_orders": REFRESHED,
+    "later_sessions": LATER, "log_samples": SAMPLES, "session_report": REPORT, "top_clusters": f"select * from ({BASE['cluster_summary']}) order by cluster_size desc, cluster limit 2", "session_gap_wide": BASE["session_gap"], "session_gap_one_client": ONE_CLIENT, "project_tops": PROJECTS, "actor_tops": ACTORS, "rule_findings": FINDINGS, "refreshed_orders": REFRESHED,
     "all_session_steps": ALL_STEPS, "line_reasons": REASONS, "routed_lines": ROUTED, "gateway_bodies": BODIES, "client_sessions": CLIENTS, "json_leaves": LEAVES, "scenario_titles": TITLES, "answer_reviews": ANSWERS, "cluster_briefs": BRIEFS,
 }
