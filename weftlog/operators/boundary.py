@@ -14,7 +14,12 @@ OBJECT_FIELD = r"(?i)(issue|project|space|content|page|comment|worklog|attachmen
 NON_OBJECT_FIELD = r"(?i)(pageSize|pageNum|pageNumber|startAt|maxResults|limit|offset|size|sort|order|expand|fields|userScope|scope|filterType|jql|cql|query|search|issueNavId)$"
 NON_OBJECT_VALUE = r"(?i)^(all|none|null|true|false|undefined|sidebar|search|default|primary|latest)$"
 OBJECT_TYPES = ("issue", "project", "space", "content", "page", "comment", "worklog", "attachment", "board", "sprint", "filter", "dashboard", "avatar", "user", "group", "role", "permission", "account", "tenant")
-SEGMENT_PLURALS = OBJECT_TYPES[:17]
+SEGMENT_TYPES = {
+    "issue": "issue", "issues": "issue", "project": "project", "projects": "project", "space": "space", "spaces": "space", "content": "content", "page": "page", "pages": "page",
+    "comment": "comment", "comments": "comment", "worklog": "worklog", "worklogs": "worklog", "attachment": "attachment", "attachments": "attachment", "board": "board", "boards": "board",
+    "sprint": "sprint", "sprints": "sprint", "filter": "filter", "filters": "filter", "dashboard": "dashboard", "dashboards": "dashboard", "avatar": "avatar", "avatars": "avatar",
+    "user": "user", "users": "user", "group": "group", "groups": "group", "role": "role", "roles": "role", "permission": "permission", "permissions": "permission",
+}
 ACTOR_FIELD = r"(?i)(user|username|account|owner|author|reporter|creator|assignee|session|token|cookie)"
 STATIC = r"(?i)\.(?:js|css|png|jpg|jpeg|gif|svg|ico|woff2?|ttf|map)(?:$|\?)|/s/|/download/resources/|/images/|/static/"
 ID_VALUE = r"^[A-Za-z0-9][A-Za-z0-9_.:-]{0,80}$"
@@ -48,9 +53,8 @@ def object_type(name: Column) -> Column:
 
 
 def segment_type(segment: Column) -> Column:
-    low = F.lower(segment)
-    singular = F.when(low.isin("content", "contents"), F.nullif(low, F.lit("contents"))).otherwise(F.regexp_replace(low, "s$", ""))
-    return F.when(F.coalesce(singular.isin(*SEGMENT_PLURALS), F.lit(False)), singular).otherwise("")
+    named = F.create_map(*[F.lit(x) for pair in SEGMENT_TYPES.items() for x in pair])
+    return F.coalesce(F.try_element_at(named, F.lower(segment)), F.lit(""))
 
 
 def path_objects(path: Column) -> Column:
