@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 ODD = [
     None, "", " ", "  ", "\n", "a", "A  b ", " lead", "trail ", "x" * 50, "ab" * 3000, " " * 40 + "y", "▁ ▁x", "Ünïcödé 中文 🦦 naïve", "<s> </s> <|endoftext|> <0x0A>", "\x00\t\r\n\r\r z",
-    "a b c　d \u0085e", "é ﬁ ‍", "12345 67,890.5", "same text", "same text", "it's we'll I'D don't", "==== " * 30, "Tab\tand\x0b\x0cfeeds", "word " * 700, "e" * 2100 + " tail",
+    "a b c　d \u0085e", "é ﬁ ‍", "12345 67,890.5", "same text", "same text", "it's we'll I'D don't", "==== " * 30, "Tab\tand\x0b\x0cfeeds", "word " * 700, "e" * 2100 + " tail", "esntr" * 90 + " " + "esntr" * 200,
 ]
 
 
@@ -43,6 +43,15 @@ def test_pieces_equal_library(model):
     assert [e.tolist() for e in model.encode(texts)] == library.encode(texts)
 
 
+def test_hasty_merges_equal_library(model):
+    """Words of few letters, and of pieces that outrank their parts, whose merges meet at once in many places."""
+    library, rng = plain(queries.tokenizer_path(queries.PIECES)), random.Random(9)
+    hasty = [library.id_to_piece(int(i)).replace("▁", "") for i in np.flatnonzero(model.one_by_one[np.minimum(model.rank, len(model.one_by_one) - 1)])[:1500]]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 120))) for letters in ("ab", "aeiou", "th ean", "=-", " a", "0123", "esntr") for _ in range(300)]
+    texts += ["".join(rng.choice(hasty) for _ in range(rng.randint(2, 30))) for _ in range(2000)] + [(x + y) * 9 for x, y in zip(hasty, hasty[1:], strict=False)]
+    assert [e.tolist() for e in model.encode(texts)] == library.encode(texts)
+
+
 def test_decoding_equals_library(model):
     library, rng = plain(queries.tokenizer_path(queries.PIECES)), random.Random(3)
     rows = [library.encode(t, add_eos=True) for t in rough_texts(500, 4)] + [[rng.randrange(rng.choice([260, 32000])) for _ in range(rng.randint(0, 9))] for _ in range(3000)]

@@ -4,8 +4,8 @@ A text with a space before it is cut where white space follows other characters;
 crosses such a place. The chunks not seen before are encoded together, as one flat array of symbols: each
 round takes the least rank of each chunk's adjacent pairs, merges all its occurrences at once (of overlapping
 ones every other from the left), closes the gaps, and looks up only the pairs that changed; a chunk without a
-pair left leaves. Pairs of which the library's order would let a better one arise in between are merged one at
-a time. Characters outside the vocabulary become their bytes.
+pair left leaves. Where a merge would put a better pair beside it, which the library would merge before the
+other occurrences, the chunk merges the first occurrence alone in that round. Characters outside the vocabulary become their bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from weftlog.llm.flat import Decimals, Remembered, blocks, byte_table, coded, ga
 SPACE = "▁"
 NEVER = np.iinfo(np.int32).max
 #: Symbols from which on a chunk is merged with a heap, in time that does not grow with rounds times length.
-LONG = 2000
+LONG = 500
 #: Probes of the loaded model against the library: spaces, other white space, ligatures, what is outside the vocabulary.
 PROBES = ("", " ", "a  b ", " \tx\n\n y", "ﬁ ▁▁ z", "<s> \U0001f9a6\x00́e", "the theatre  ....... aaaaaaaaa 12345", "中文  x")
 
@@ -108,6 +108,23 @@ class Pieces:
             asked, keys, slots = asked[on], keys[on], (slots[on] + 1) & self.mask
         return found, ranks
 
+    def betters(self, symbols, word, made, rank, at, asked) -> np.ndarray:
+        """Which merges ``at[asked]`` put a symbol beside a neighbour, or beside the next merge's, that it pairs with as well or better."""
+        here = at[asked]
+        found = np.zeros(len(here), bool)
+        for own, left, right in ((here > 0, here - 1, None), (here + 2 < len(word), None, here + 2)):
+            other = left if right is None else right
+            some = np.flatnonzero(own)
+            some = some[word[other[some]] == word[here[some]]]
+            pair = (symbols[other[some]], made[here[some]]) if right is None else (made[here[some]], symbols[other[some]])
+            found[some] |= self.put_together(*pair)[1] <= rank[here[some]]
+        some = np.flatnonzero(asked + 1 < len(at))
+        after = at[asked[some] + 1]
+        near = (after == here[some] + 2) & (word[after] == word[here[some]])
+        some, after = some[near], after[near]
+        found[some] |= self.put_together(made[here[some]], made[after])[1] <= rank[here[some]]
+        return found
+
     def merged(self, symbols: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols left when no pair remains, and how many each chunk has. All of ``lens`` are 1 or more."""
         word = np.repeat(np.arange(len(lens)), lens)
@@ -128,8 +145,9 @@ class Pieces:
             opens = np.diff(at, prepend=-2) > 1
             begin = np.maximum.accumulate(np.where(opens, at, 0))
             at = at[(at - begin) % 2 == 0]
-            alone = self.one_by_one[rank[at]]
-            if alone.any():
+            asked = np.flatnonzero(self.one_by_one[rank[at]])
+            if len(asked):
+                alone = np.isin(word[at], word[at[asked[self.betters(symbols, word, made, rank, at, asked)]]])
                 at = at[~alone | (np.diff(word[at], prepend=-1) != 0)]
             symbols[at] = made[at]
             gone = over
