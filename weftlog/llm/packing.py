@@ -32,7 +32,8 @@ BLOCK_TOKENS = 2_000_000
 #: Sequences of one step group.
 STEP = 64
 ROWS = 128
-CACHE = 300_000
+#: Chunks and pieces of chunks that a worker remembers before it forgets them all.
+CACHE, PIECES = 500_000, 200_000
 
 PIECE_DDL = "doc bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, seq bigint, offset bigint, tier int"
 PIECE = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("seq", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32())])
@@ -84,7 +85,7 @@ class Ids:
     def learn(self, new: set[bytes]) -> None:
         if len(self.chunks) + len(new) > CACHE:
             self.chunks = {}
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) > PIECES:
             self.pieces = {}
         split: dict[bytes, list[str]] = {}
         for chunk in new:
