@@ -171,7 +171,7 @@ TOLD = {
 
 def told(rules: DataFrame) -> DataFrame:
     """fol_id, source and the fields of ``TOLD``; those that the rules lack are empty."""
-    held = {c: rules.schema[c].dataType.names for c in ("source", "scenario_summary") if c in rules.columns}
+    held = {c: getattr(rules.schema[c].dataType, "names", []) for c in ("source", "scenario_summary") if c in rules.columns}
     of = lambda name, where: [F.col(f"{c}.{name}").cast("string") for c in where if name in held.get(c, [])]
     return rules.select("fol_id", "source", *[F.coalesce(*of(name, where), F.lit("")).alias(name) for name, where in TOLD.items()])
 
