@@ -195,17 +195,21 @@ def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 _LOADED: dict[tuple[str, str], Aligner] = {}
 
 
+def loaded(a_path: str, b_path: str) -> Aligner:
+    """Both tokenizers and what they remember, kept by a worker from task to task; without what a failed task left."""
+    if (a_path, b_path) not in _LOADED:
+        _LOADED[a_path, b_path] = Aligner(a_path, b_path)
+    _LOADED[a_path, b_path].clear()
+    return _LOADED[a_path, b_path]
+
+
 def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of documents and, one a block, of lists of pairs, written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        where = a_path, b_path
-        if where not in _LOADED:
-            _LOADED[where] = Aligner(*where)
-        aligner, block = _LOADED[where], TaskContext.get().partitionId() << 32
-        aligner.clear()  # of a task that failed
+        aligner, block = loaded(a_path, b_path), TaskContext.get().partitionId() << 32
         for id_, data, lens in blocks(batches, ALIGNED_BYTES):
             aligner.add(id_, data, lens)
             if aligner.bytes_ >= LIST_BYTES:

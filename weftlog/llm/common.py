@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlog.operators.graph import written
 
-__all__ = ["FEW", "WORD", "few", "held_out", "join_hot", "prefix_sums", "seeded_key", "text_or_empty", "written"]
+__all__ = ["FEW", "WORD", "few", "held_out", "join_hot", "keeps", "prefix_sums", "seeded_key", "text_or_empty", "working", "written"]
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,6 +22,22 @@ HOT_LEAST = 1000
 FEW = 50_000
 
 
+#: How an operator's workers forget what they remember, by operator.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, forget: Callable[[], None]) -> None:
+    """Say how a worker frees what it remembers for an operator."""
+    _KEPT[operator] = forget
+
+
+def working(operator: str) -> None:
+    """Free what this worker remembers for other operators: workers outlive a job, and the next one needs their memory."""
+    for name, forget in _KEPT.items():
+        if name != operator:
+            forget()
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

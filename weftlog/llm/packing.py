@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import written
+from weftlog.llm.common import keeps, working, written
 
 TIERS = (256, 512, 1024, 2048)
 END = 1
@@ -33,7 +33,7 @@ BLOCK_TOKENS = 2_000_000
 STEP = 64
 ROWS = 128
 #: Chunks and pieces of chunks that a worker remembers before it forgets them all.
-CACHE, PIECES = 500_000, 200_000
+CACHE = 600_000
 
 PIECE_DDL = "doc bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part int, seq bigint, offset bigint, tier int"
 PIECE = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("seq", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32())])
@@ -85,7 +85,7 @@ class Ids:
     def learn(self, new: set[bytes]) -> None:
         if len(self.chunks) + len(new) > CACHE:
             self.chunks = {}
-        if len(self.pieces) > PIECES:
+        if len(self.pieces) > CACHE:
             self.pieces = {}
         split: dict[bytes, list[str]] = {}
         for chunk in new:
@@ -202,13 +202,22 @@ class Packer:
 
 
 _IDS: dict[str, Ids] = {}
+keeps("packing", _IDS.clear)
+
+
+def loaded(path: str) -> Ids:
+    """The tokenizer and what it remembers, kept by a worker from task to task; a task's own function would get a copy."""
+    if path not in _IDS:
+        _IDS[path] = Ids(path)
+    return _IDS[path]
 
 
 def _pack(path: str, tiers: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids = _IDS.setdefault(path, Ids(path)) if path not in _IDS else _IDS[path]
+        working("packing")
+        ids = loaded(path)
         packer, end, since = Packer(TaskContext.get().partitionId(), tiers), np.array([END], "<u4").tobytes(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import seeded_key
+from weftlog.llm.common import seeded_key, working
 
 #: Labelled documents the model is fitted on, and characters of one of them, at most; chosen by a seeded key.
 TRAIN_DOCS, TRAIN_CHARS = 6000, 20_000
@@ -229,6 +229,7 @@ def score(docs: DataFrame, model: dict, out: str = "score", text: str = "text",
     schema = docs.select(row, F.lit(0.0).alias("__score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("quality")
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 some = batch.slice(at, ROWS)

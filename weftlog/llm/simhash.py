@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import few, join_hot, written
+from weftlog.llm.common import few, join_hot, working, written
 
 SEED = 42
 ROWS = 256
@@ -429,6 +429,7 @@ def similar_rows(docs: DataFrame, similarity: float, size: int, id_col: str, tex
     keyed = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"), row_key(id_col, text).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("simhash")
         for batch in batches:
             found = []
             for at in range(0, batch.num_rows, ROWS):
