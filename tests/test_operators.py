@@ -316,6 +316,8 @@ def test_parameter_blocks_titles_and_bindings(spark):
         ("", "", "", "", "", seq, (["k"], ["PUT /t"], ["GET /u"], "own", "here", "x"), "both", ""),
         ("", "bare", "", "", "", None, None, "", ""),
     ])]
+    whole = lambda s: (*s[:6], s[6] and (*s[6], None, None, None), *s[7:], *[None] * (2 + len(reviews.DETAILS)))
+    rows = [(*r[:5], [whole(s) for s in r[5]]) for r in rows]
     raw = spark.createDataFrame(rows, reviews.REVIEW_DDL)
     blocks = reviews.parameter_blocks(raw)
     got = {r["pos"]: r for r in blocks.collect()}

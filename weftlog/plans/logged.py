@@ -55,7 +55,7 @@ def line_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     way = F.col("event_id") % 12
     line = F.when(way == 0, F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"))).when(way == 1, F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit("]"))).when(way == 2, F.concat(F.lit('{"timestamp": "soon", "event_id": '), F.col("event_id").cast("string"), F.lit("} "))).when(way == 3, F.concat(F.lit('  {"event_id": '), F.col("event_id").cast("string"), F.lit("}"))).otherwise(record)
     read = readers.tagged_lines(spark, lines_in_files(events(spark, sf_dir).select(line.alias("value"))), "timestamp string, event_id bigint", times.log_time)
-    return read.select("line", "reason", F.col("record.event_id").alias("event_id"), F.unix_millis("time").alias("at_ms"))
+    return read.select("line", "reason", F.coalesce("record.event_id", F.lit(-1)).alias("event_id"), F.coalesce(F.unix_millis("time"), F.lit(-1)).alias("at_ms"))
 
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

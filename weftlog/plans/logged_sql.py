@@ -27,8 +27,8 @@ with e as (
     when 9 then strftime(moment, '%Y-%m-%d') || 'T:' || strftime(moment, '%M:%S') when 10 then strftime(moment, '%Y-%m-%dT%H:%M:%S') || '.250000Z' when 11 then strftime(moment, '%Y-%m-%d %H:%M:%S') || '|late' end as shown from e
 )
 select case way when 0 then '{"event_id": ' || event_id when 1 then '[' || event_id || ']' when 2 then '{"timestamp": "soon", "event_id": ' || event_id || '}' when 3 then '{"event_id": ' || event_id || '}' else '{"timestamp": "' || shown || '", "event_id": ' || event_id || '}' end as line,
-  case when way < 2 then 'bad_json' when way < 4 then 'bad_time' else 'ok' end as reason, case when way >= 2 then event_id end as event_id,
-  case when way >= 4 then epoch_ms(case way when 5 then moment - interval 2 hour when 8 then day + interval 1 day when 9 then day + to_minutes(minute(moment)) + to_seconds(second(moment)) - interval 8 hour when 10 then moment + interval 250 millisecond when 4 then moment else moment - interval 8 hour end) end as at_ms
+  case when way < 2 then 'bad_json' when way < 4 then 'bad_time' else 'ok' end as reason, case when way >= 2 then event_id else -1 end as event_id,
+  case when way >= 4 then epoch_ms(case way when 5 then moment - interval 2 hour when 8 then day + interval 1 day when 9 then day + to_minutes(minute(moment)) + to_seconds(second(moment)) - interval 8 hour when 10 then moment + interval 250 millisecond when 4 then moment else moment - interval 8 hour end) else -1 end as at_ms
 from spelt
 """
 

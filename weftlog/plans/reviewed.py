@@ -28,7 +28,8 @@ def page_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documented_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apidocs.documented(page_calls(spark, sf_dir), page_documents(spark, sf_dir), place="place")
+    found = apidocs.documented(page_calls(spark, sf_dir), page_documents(spark, sf_dir), place="place")
+    return found.select("api", F.coalesce("doc_api", F.lit("")).alias("doc_api"), F.coalesce("place", F.lit(-1)).alias("place"))
 
 
 def part_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ DOCUMENTED = rf"""with {PAGE.strip()}, parts as (
 ), first as (
   select * from (select *, row_number() over (partition by api order by place, doc_api) as n from met) where n <= 2
 )
-select c.api, f.doc_api, f.place from cut c left join first f on c.api = f.api
+select c.api, coalesce(f.doc_api, '') as doc_api, coalesce(f.place, -1) as place from cut c left join first f on c.api = f.api
 """
 
 STEP = "regexp_matches(x, '^(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS) ', 'i')"
