@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlog.functions.text import capped_log, clamp
+from weftlog.operators import blocks
 from weftlog.operators.graph import components, written
 from weftlog.operators.ranges import before
 
@@ -91,67 +92,26 @@ def norms(distinct: DataFrame, vector: DataFrame, weights: Weights = Weights())
     return vector.groupBy("seq").agg(F.sum(F.col("v") * F.col("v")).alias("s")).join(lengths, "seq").select("seq", "len", F.sqrt(F.col("s") + F.col("len") * F.col("len")).alias("norm"))
 
 
-def close_pairs(vector: DataFrame, norm: DataFrame, eps: float) -> DataFrame:
-    """(a, b, dist), a < b, of all pairs with cosine distance up to ``eps`` (below 1).
+def close_pairs(vector: DataFrame, norm: DataFrame, eps: float, names: DataFrame | None = None) -> DataFrame:
+    """(a, b, dist), a < b, of all pairs with cosine distance up to ``eps`` (below 1); by ``names`` (seq, name) if given."""
+    names = norm.select("seq", F.col("seq").alias("name")) if names is None else names
+    return blocks.close(blocks.packed(names, vector, norm, "name"), eps, "name")
 
-    Features are ordered from rare to common and a vector offers only a prefix: the rest is too short, by
-    Cauchy's inequality, to reach the similarity alone. Pairs that share no offered feature are never formed,
-    so features that nearly all sequences have form none; the pairs left get their whole product.
-    """
-    need = 1 - eps
-    df = vector.groupBy("feature").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("seq").orderBy(F.desc("df"), "feature")
-    # the length term is counted with every rest, as if the other vector had all of it
-    ranked = vector.join(df, "feature").join(norm, "seq").withColumn("tail", F.sqrt(F.sum(F.col("v") * F.col("v")).over(order) + F.col("len") * F.col("len")))
-    offered = written(ranked.filter(F.col("tail") >= (need - 1e-9) * F.col("norm")).select("seq", "feature"))
-    left, right = offered.select(F.col("seq").alias("a"), "feature"), offered.select(F.col("seq").alias("b"), "feature")
-    pairs = written(left.join(right, "feature").filter("a < b").select("a", "b").distinct())
-    va, vb = vector.select(F.col("seq").alias("a"), "feature", F.col("v").alias("va")), vector.select(F.col("seq").alias("b"), "feature", F.col("v").alias("vb"))
-    dots = pairs.join(va, "a").join(vb, ["b", "feature"]).groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("dot"))
-    na, nb = norm.select(F.col("seq").alias("a"), F.col("len").alias("la"), F.col("norm").alias("na")), norm.select(F.col("seq").alias("b"), F.col("len").alias("lb"), F.col("norm").alias("nb"))
-    dist = clamp(1 - (F.col("dot") + F.col("la") * F.col("lb")) / (F.col("na") * F.col("nb")), 0.0, 1.0)
-    return dots.join(na, "a").join(nb, "b").select("a", "b", dist.alias("dist")).filter(F.col("dist") <= eps)
-
-
-def kth_distances(distinct: DataFrame, pairs: DataFrame, vector: DataFrame, norm: DataFrame, min_samples: int, total: int) -> DataFrame:
+
+def kth_distances(distinct: DataFrame, pairs: DataFrame | None, vector: DataFrame, norm: DataFrame, min_samples: int, total: int) -> DataFrame:
     """seq, n, k_dist: the distance of the k-th nearest other session, k = max(1, min(min_samples - 1, total - 1)).
 
-    ``pairs`` has the close ones. A sequence with too few of those is compared with all that share a feature
-    with it; one that shares too little for the length feature not to matter, also with as many of the others as
-    may be nearest by that feature. A lone session has no such distance.
+    All distances count, so ``pairs`` (the close ones) is not read. A lone session has no such distance.
     """
-    k = max(1, min(min_samples - 1, total - 1))
-    weight = distinct.select(F.col("seq").alias("o"), F.col("n").alias("m"))
-    reach = Window.partitionBy("seq").orderBy("dist").rangeBetween(Window.unboundedPreceding, 0)
-
-    def kth(who: DataFrame, near: DataFrame) -> DataFrame:
-        own = who.join(distinct, "seq").select("seq", (F.col("n") - 1).alias("m"), F.lit(0.0).alias("dist"))
-        other = near.join(weight, "o").select("seq", "m", "dist")
-        return own.union(other).withColumn("reach", F.sum("m").over(reach)).filter(F.col("reach") >= k).groupBy("seq").agg(F.min("dist").alias("k_dist"))
-
-    close = pairs.select(F.col("a").alias("seq"), F.col("b").alias("o"), "dist").union(pairs.select(F.col("b").alias("seq"), F.col("a").alias("o"), "dist"))
-    found = written(kth(distinct.select("seq"), close))
-    lacking = written(distinct.select("seq").join(found, "seq", "left_anti"))
-    ratio = norm.select("seq", (F.col("len") / F.col("norm")).alias("ratio"))
-    unit = vector.join(norm, "seq").select("seq", "feature", (F.col("v") / F.col("norm")).alias("u"))
-    mine, theirs = unit.join(lacking, "seq"), unit.select(F.col("seq").alias("o"), "feature", F.col("u").alias("w"))
-    dots = mine.join(theirs, "feature").filter("seq != o").groupBy("seq", "o").agg(F.sum(F.col("u") * F.col("w")).alias("dot"))
-    ratios = ratio.select(F.col("seq").alias("o"), F.col("ratio").alias("other"))
-    apart = clamp(1 - F.col("dot") - F.col("ratio") * F.col("other"), 0.0, 1.0).alias("dist")
-    sharing = written(dots.join(ratio, "seq").join(ratios, "o").select("seq", "o", apart))
-    # no sequence without a shared feature is nearer than by the greatest length
-    greatest = ratio.agg(F.max("ratio").alias("greatest"))
-    reached = kth(lacking, sharing).join(ratio, "seq").join(F.broadcast(greatest)).filter(F.col("k_dist") <= 1 - F.col("ratio") * F.col("greatest"))
-    near = written(reached.select("seq", "k_dist"))
-    left = written(lacking.join(near, "seq", "left_anti"))
-    # strangers are the nearer the greater their own share of length, so of all sequences in that order the first few
-    # suffice: one for each session wanted, one for each sequence that shares a feature, and one for itself
-    shared = sharing.join(left, "seq", "left_semi").groupBy("seq").agg(F.count("*").alias("s"))
-    wanted = left.join(shared, "seq", "left").join(ratio, "seq").select("seq", "ratio", F.explode(F.sequence(F.lit(0), F.coalesce("s", F.lit(0)) + k)).alias("place"), F.pmod(F.hash("seq"), F.lit(SALTS)).alias("salt"))
-    ladder = before(ratios, [F.desc("other"), F.asc("o")], "place").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    strange = wanted.join(ladder, ["place", "salt"]).filter("seq != o").join(sharing, ["seq", "o"], "left_anti").withColumn("dot", F.lit(0.0)).select("seq", "o", apart)
-    far = kth(left, sharing.join(left, "seq", "left_semi").union(strange))
-    return distinct.select("seq", "n").join(found.union(near).union(far), "seq")
+    return nearest_sessions(blocks.packed(distinct, vector, norm, "n"), max(1, min(min_samples - 1, total - 1)))
+
+
+def nearest_sessions(vectors: DataFrame, k: int) -> DataFrame:
+    """``kth_distances`` of packed vectors: the ``k`` nearest of every block have the nearest of all."""
+    own = vectors.select("at", F.lit(0.0).alias("dist"), (F.col("n") - 1).alias("m"))
+    within = Window.partitionBy("at").orderBy("dist").rangeBetween(Window.unboundedPreceding, 0)
+    reached = own.union(blocks.nearest(vectors, k)).withColumn("reach", F.sum("m").over(within)).filter(F.col("reach") >= k)
+    return vectors.select("at", "seq", "n").join(reached.groupBy("at").agg(F.min("dist").alias("k_dist")), "at").drop("at")
 
 
 def elbow(k_dist: DataFrame) -> float:
@@ -165,22 +125,20 @@ def elbow(k_dist: DataFrame) -> float:
     return 0.0 if best is None else float(best.k_dist)
 
 
-def dbscan(distinct: DataFrame, pairs: DataFrame, min_samples: int) -> DataFrame:
-    """seq and cluster (from 0 by smallest core session; -1 is noise) for pairs within eps.
+def dbscan(vectors: DataFrame, eps: float, min_samples: int) -> DataFrame:
+    """seq and cluster (from 0 by smallest core session; -1 is noise) of packed vectors.
 
-    A sequence is core if sessions within eps, its own included, reach ``min_samples``. Clusters are the
+    A sequence is core if sessions within ``eps``, its own included, reach ``min_samples``. Clusters are the
     components of core sequences; a border sequence joins the adjacent cluster that comes first.
     """
-    near = written(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    reach = near.join(distinct.select(F.col("seq").alias("b"), "n"), "b").groupBy(F.col("a").alias("seq")).agg(F.sum("n").alias("others"))
-    core = written(distinct.join(reach, "seq", "left").filter(F.col("n") + F.coalesce("others", F.lit(0)) >= min_samples).select("seq", "first"))
-    inner = near.join(core.select(F.col("seq").alias("a")), "a", "left_semi").join(core.select(F.col("seq").alias("b")), "b", "left_semi")
-    rooted = components(core.select(F.col("seq").alias("node")), inner.filter("a < b")).withColumnRenamed("node", "seq").join(core, "seq")
+    others = blocks.reach(vectors, eps)
+    core = written(vectors.join(others, "at", "left").filter(F.col("n") + F.coalesce("others", F.lit(0)) >= min_samples).select(*vectors.columns))
+    rooted = components(core.select(F.col("at").alias("node")), blocks.links(core, eps)).withColumnRenamed("node", "at").join(core.select("at", "first"), "at")
     heads = rooted.groupBy("root").agg(F.min("first").alias("head"))
     number = before(heads, [F.asc("head")], "cluster").select("root", F.col("cluster").cast("int").alias("cluster"))
-    cores = written(rooted.join(number, "root").select("seq", "cluster"))
-    border = near.join(cores.withColumnRenamed("seq", "b"), "b").join(cores.select(F.col("seq").alias("a")), "a", "left_anti").groupBy(F.col("a").alias("seq")).agg(F.min("cluster").alias("cluster"))
-    return distinct.select("seq").join(cores.union(border), "seq", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
+    cores = written(rooted.join(number, "root").select("at", "cluster"))
+    border = blocks.least_cluster(vectors.join(cores, "at", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1))), eps)
+    return vectors.select("at", "seq").join(cores.union(border), "at", "left").select("seq", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def medoids(distinct: DataFrame, labels: DataFrame, vector: DataFrame, norm: DataFrame) -> DataFrame:
@@ -243,14 +201,14 @@ def cluster_sessions(steps: DataFrame, session: str = "session_id", api: str = "
     distinct, of = sequences(steps, session, api)
     vector = written(vectors(distinct, weights))
     norm = written(norms(distinct, vector, weights))
-    pairs = written(close_pairs(vector, norm, eps or eps_max))
+    packed = blocks.packed(distinct, vector, norm, "n", "first")
     info = {"mode": "manual", "eps": eps}
     if not eps:
-        kth = written(kth_distances(distinct, pairs, vector, norm, min_samples, of.count()))
+        kth = written(nearest_sessions(packed, max(1, min(min_samples - 1, of.count() - 1))))
         raw = elbow(kth)
         eps = min(eps_max, max(eps_min, raw))
         low, high, avg = kth.agg(F.min("k_dist"), F.max("k_dist"), F.sum(F.col("k_dist") * F.col("n")) / F.sum("n")).first()
         info = {"mode": "auto_k_distance_elbow", "neighbor_rank": max(1, min_samples - 1), "raw_eps": raw, "eps": eps, "k_distance_min": low or 0.0, "k_distance_max": high or 0.0, "k_distance_avg": avg or 0.0}
-    labels = written(dbscan(distinct, pairs.filter(F.col("dist") <= eps + SLACK), min_samples))
+    labels = written(dbscan(packed, eps + SLACK, min_samples))
     medoid = written(medoids(distinct, labels, vector, norm))
-    return {"eps": eps, "eps_info": info, "vector": vector, "norm": norm, "of": of, "distinct": distinct, "labels": labels, "sessions": of.join(labels, "seq").select(session, "cluster"), "medoids": medoid, "summary": cluster_summary(distinct, labels, medoid), "pairs": pairs}
+    return {"eps": eps, "eps_info": info, "vector": vector, "norm": norm, "of": of, "distinct": distinct, "labels": labels, "sessions": of.join(labels, "seq").select(session, "cluster"), "medoids": medoid, "summary": cluster_summary(distinct, labels, medoid)}
