@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weftlog.operators import blocks, mining
 from weftlog.operators.graph import shared_dir
@@ -32,6 +33,17 @@ def test_no_table_of_pairs(spark, eps):
     assert most_rows(spark, lambda: mining.cluster_sessions(steps, eps=eps)) < 60 * n
 
 
+def test_close_pairs_writes_no_candidates(spark):
+    """Of all pairs only the close ones become rows, by the names given."""
+    steps, n = some_steps(spark, 500)
+    distinct, _ = mining.sequences(steps)
+    vector, names = mining.vectors(distinct), distinct.select("seq", F.array_join("apis", ">").alias("name"))
+    norm, found = mining.norms(distinct, vector), []
+    assert most_rows(spark, lambda: found.extend(mining.close_pairs(vector, norm, 0.3, names).collect())) < 60 * n
+    assert found and all(r.a < r.b and r.dist <= 0.3 and "," not in r.a and ">" in r.a for r in found)
+    assert len({(r.a, r.b) for r in found}) == len(found)
+
+
 @pytest.mark.parametrize("cells", [1, 37, 1 << 21])
 def test_slices_equal_one_product(monkeypatch, cells):
     monkeypatch.setattr(blocks, "CELLS", cells)

@@ -335,10 +335,8 @@ def sequence_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def close_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     distinct, _ = mining.sequences(event_steps(spark, sf_dir).select("session_id", "step", "api"))
     v = mining.vectors(distinct)
-    pairs = mining.close_pairs(v, mining.norms(distinct, v), 0.3)
-    name = lambda c: distinct.select(F.col("seq").alias(c), F.array_join("apis", ">").alias(f"{c}_trace"))
-    out = pairs.join(name("a"), "a").join(name("b"), "b")
-    return out.select(F.least("a_trace", "b_trace").alias("left_trace"), F.greatest("a_trace", "b_trace").alias("right_trace"), F.round("dist", 6).alias("dist"))
+    pairs = mining.close_pairs(v, mining.norms(distinct, v), 0.3, distinct.select("seq", F.array_join("apis", ">").alias("name")))
+    return pairs.select(F.col("a").alias("left_trace"), F.col("b").alias("right_trace"), F.round("dist", 6).alias("dist"))
 
 
 def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
