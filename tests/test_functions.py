@@ -1,5 +1,6 @@
 """Table-driven cases of the scalar operators, quirks included."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,19 @@ def test_small_helpers(spark):
     assert [tuple(b) for b in one(spark, lambda x: url.path_bindings(F.lit("/a/{id}"), x), "/a/7")] == [("id", "7")]
     assert one(spark, lambda x: url.path_bindings(F.lit("/a/{id}"), x), "/a/7/8") == []
     assert one(spark, url.request_api, "get /a/%41?x=1 [200]") == "GET /a/A"
+
+
+def test_repeated_bodies_are_read_once(monkeypatch):
+    """Texts that repeat in a batch are parsed once; nulls and bad texts stay null, empty lists stay empty."""
+    read = []
+
+    def parts(text):
+        read.append(text)
+        return None if text == "bad" else [(c, c.upper()) for c in text]
+
+    texts = pa.array(["ab", None, "bad", "", "ab", "c"] * 50 + ["ab"])
+    got = params.lists(texts, parts, [("name", pa.string()), ("value", pa.string())]).to_pylist()
+    pair = lambda s: [{"name": c, "value": c.upper()} for c in s]
+    assert got == [pair("ab"), None, None, [], pair("ab"), pair("c")] * 50 + [pair("ab")]
+    assert sorted(read) == ["", "ab", "bad", "c"]
+    assert params.lists(texts[:0], parts, [("name", pa.string()), ("value", pa.string())]).to_pylist() == []

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from typing import Any
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -50,21 +52,30 @@ def flatten(value: Any, dialect: Dialect, prefix: str = "") -> Iterator[tuple[st
             yield name, dialect.null if now is None else str(now)
 
 
+def lists(texts: pa.Array, read: Callable[[str], list[tuple] | None], kind: list[tuple[str, pa.DataType]]) -> pa.Array:
+    """What ``read`` finds in each text, as a list of structs; texts that repeat in a batch are read once."""
+    coded = texts.dictionary_encode()
+    found = [read(t) for t in coded.dictionary.to_pylist()]
+    rows = list(chain.from_iterable(x or () for x in found))
+    columns = [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kind)]
+    ends = np.cumsum([0, *(len(x or ()) for x in found)])
+    each = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, [n for n, _ in kind]), mask=pa.array([x is None for x in found], pa.bool_()))
+    return each.take(coded.indices)
+
+
 def json_pairs(body: Column, dialect: Dialect = EVENT) -> Column:
     """Leaves of a JSON object or array; null for text that is neither."""
 
-    @F.pandas_udf(PAIRS)
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text: str | None):
-            if text is None:
-                return None
-            try:
-                found = json.loads(text)
-            except ValueError:
-                return None
-            return [{"name": n, "value": v} for n, v in flatten(found, dialect)] if isinstance(found, dict | list) else None
-
-        return texts.map(one)
+    def read(text: str) -> list[tuple[str, str]] | None:
+        try:
+            found = json.loads(text)
+        except ValueError:
+            return None
+        return list(flatten(found, dialect)) if isinstance(found, dict | list) else None
+
+    @F.arrow_udf(PAIRS)
+    def run(texts: pa.Array) -> pa.Array:
+        return lists(texts, read, [("name", pa.string()), ("value", pa.string())])
 
     return run(F.when(body.startswith("{") | body.startswith("["), body))
 
