@@ -6,9 +6,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftlog.functions.params import lists
+
 METHODS = ("get", "post", "put", "patch", "delete", "head", "options")
 FIELD = "struct<name:string,in:string,required:boolean,type:string>"
 JSON_BODY = "application/json"
@@ -35,18 +38,18 @@ def properties(schema: object) -> Iterator[tuple[str, bool, str]]:
 def body_fields(schema: Column) -> Column:
     """The properties of a JSON schema as parameters in the body; none for null or bad JSON."""
 
-    @F.pandas_udf(f"array<{FIELD}>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text: str | None):
-            try:
-                found = json.loads(text) if text else None
-            except ValueError:
-                found = None
-            return [{"name": n, "in": "body", "required": r, "type": t} for n, r, t in properties(found)]
+    def read(text: str) -> list[tuple[str, str, bool, str]]:
+        try:
+            found = json.loads(text) if text else None
+        except ValueError:
+            found = None
+        return [(n, "body", r, t) for n, r, t in properties(found)]
 
-        return texts.map(one)
+    @F.arrow_udf(f"array<{FIELD}>")
+    def run(texts: pa.Array) -> pa.Array:
+        return lists(texts, read, [("name", pa.string()), ("in", pa.string()), ("required", pa.bool_()), ("type", pa.string())])
 
-    return run(schema)
+    return run(F.coalesce(schema, F.lit("")))
 
 
 def tidy(schema: dict) -> dict:

@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt to two tasks a core: a file of few bytes is read by few tasks, however much is made of its rows."""
+    spark = df.sparkSession
+    return df.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(24, 2 * spark.sparkContext.defaultParallelism)), *by)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with ``sec`` (seconds) and ``k`` (the one property)."""
     e = table(spark, sf_dir, "events")
@@ -163,7 +169,7 @@ def openapi_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_documents(spark: SparkSession, sf_dir: str, last: str) -> DataFrame:
     """A document for each part: a path of its brand and column ``last``, a method by its size, parameters, and a nested body named from its name."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(table(spark, sf_dir, "part"), "p_partkey")
     word = lambda i: F.split("p_name", " ")[i]
     body = F.format_string('{"type":"object","required":["%1$s"],"properties":{"%1$s":{"type":"object","properties":{"role":{"type":"string"}}},"%2$s":{}}}', word(0), word(1))
     op = F.format_string('{"summary":"%s","parameters":[{"name":"partId","in":"path","required":true,"schema":{"type":"integer"}},{"name":"token","in":"body","schema":{"type":"string","format":null}}],"requestBody":{"content":{"application/json":{"schema":%s}}}}', F.col("p_name"), body)
