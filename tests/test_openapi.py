@@ -54,3 +54,14 @@ def test_empty(spark):
     none = openapi.entries(docs(spark))
     assert openapi.index(none).count() == 0
     assert openapi.merge(none, none.selectExpr("*", "1 as ordinal")).count() == 0
+
+
+def test_documents_of_a_small_file_are_made_by_all_tasks(spark, tmp_path):
+    """One file that one task reads: its rows are dealt before documents and scenarios are made of them."""
+    from weftlog.plans import queries, reviewed
+
+    row = "id as p_partkey, 'red bolt' as p_name, 'Brand#1' as p_brand, 'LARGE' as p_type, cast(id % 50 as int) as p_size"
+    spark.range(200).selectExpr(*row.split(", ")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert spark.read.parquet(f"{tmp_path}/part.parquet").rdd.getNumPartitions() == 1
+    for df in (queries.part_documents(spark, str(tmp_path), "p_partkey"), reviewed.rule_reviews(spark, str(tmp_path))):
+        assert df.rdd.getNumPartitions() == 4 and df.count() == 200

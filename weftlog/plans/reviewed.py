@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftlog.functions import url as u
 from weftlog.operators import apidocs, openapi, reviews, rules
-from weftlog.plans.queries import page_requests, table
+from weftlog.plans.queries import dealt, page_requests, table
 
 
 def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def rule_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(key, F.lit("sequence_order"), F.lit("parameter_consistency"), F.lit("both"), none), sequence, parameter, F.when(key % 29 == 0, none).otherwise(F.concat(F.lit("order of "), "p_name")), none,
         F.lit(0.5), *[F.lit("login area") if c == "target_asset" else none for c in reviews.DETAILS], angles,
     )
-    return table(spark, sf_dir, "part").select(key.cast("int").alias("cluster_index"), (size % 13 > 0).alias("is_trustworthy"), (size / 50.0).alias("trust_score"), F.col("p_brand").alias("business_pattern_name"), a().alias("mixed_member_session_ids"), F.array(scenario).cast(f"array<{reviews.SCENARIO_DDL}>").alias("possible_security_scenarios"))
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select(key.cast("int").alias("cluster_index"), (size % 13 > 0).alias("is_trustworthy"), (size / 50.0).alias("trust_score"), F.col("p_brand").alias("business_pattern_name"), a().alias("mixed_member_session_ids"), F.array(scenario).cast(f"array<{reviews.SCENARIO_DDL}>").alias("possible_security_scenarios"))
 
 
 def joined(c: Column | str, f=lambda x: x) -> Column:
@@ -100,7 +100,7 @@ def customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string('{"requestBody":{"required":true,"content":{"application/json":{"schema":%s}}}}', nested), F.lit('{"summary":"none"}'), F.lit('{"parameters":{"name":"x"},"requestBody":{"content":[1]}}'), F.lit('"no object"')), (F.col("c_custkey") % 6 + 1).cast("int"))
     method = F.element_at(F.array(*[F.lit(x) for x in ("get", "POST", "x-note", "delete")]), (F.col("c_custkey") % 4 + 1).cast("int"))
     doc = F.format_string('{"paths":{"/c/%1$s/{id}":{"%2$s":%3$s,"parameters":[]},"/odd":[1]}}', key, method, op)
-    return table(spark, sf_dir, "customer").select(F.concat(F.lit("s"), (F.col("c_custkey") % 5).cast("string")).alias("site_id"), F.when(F.col("c_custkey") % 11 == 0, F.substring(doc, F.lit(1), F.length(doc) - 1)).otherwise(doc).alias("doc"))
+    return dealt(table(spark, sf_dir, "customer"), "c_custkey").select(F.concat(F.lit("s"), (F.col("c_custkey") % 5).cast("string")).alias("site_id"), F.when(F.col("c_custkey") % 11 == 0, F.substring(doc, F.lit(1), F.length(doc) - 1)).otherwise(doc).alias("doc"))
 
 
 def openapi_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
